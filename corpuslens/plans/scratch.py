@@ -24,14 +24,13 @@ class Scratch:
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = self.path(name)
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        saved = self.spark.read.schema(df.schema).parquet(path)
+        saved._scratch_path = path
+        return saved
 
     def drop(self, *frames: DataFrame) -> None:
-        """Remove tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        """Remove saved tables that nothing reads any more."""
+        context = self.spark.sparkContext
         for frame in frames:
-            for folder in {f.rpartition("/")[0] for f in frame.inputFiles()}:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                if folder.startswith(self.root.replace("file:///", "file:///")) or self.root.split("://")[-1].lstrip("/") in folder:
-                    path.getFileSystem(conf).delete(path, True)
+            path = context._jvm.org.apache.hadoop.fs.Path(frame._scratch_path)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
