@@ -1,13 +1,16 @@
 """Registered queries of the corpus operators, and SQL for those that SQL can express."""
 
+from corpuslens.llm.chat import OP4_SQL, op4_chat_formatting
 from corpuslens.llm.packing import OP10_SQL, op10_packing
 from corpuslens.llm.sharding import op5_kd_tree_sharding
 
 QUERIES = {
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_kd_tree_sharding": op5_kd_tree_sharding,
     "op10_packing": op10_packing,
 }
 
 ORACLES = {
+    "op4_chat_formatting": OP4_SQL,
     "op10_packing": OP10_SQL,
 }
