@@ -4,15 +4,18 @@ from corpuslens.llm.chat import OP4_SQL, op4_chat_formatting
 from corpuslens.llm.packing import OP10_SQL, op10_packing
 from corpuslens.llm.quality import op2_quality_rules
 from corpuslens.llm.sharding import op5_kd_tree_sharding
+from corpuslens.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_kd_tree_sharding": op5_kd_tree_sharding,
+    "op7_warc": op7_warc,
     "op10_packing": op10_packing,
 }
 
 ORACLES = {
     "op4_chat_formatting": OP4_SQL,
+    "op7_warc": OP7_SQL,
     "op10_packing": OP10_SQL,
 }
