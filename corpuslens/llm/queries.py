@@ -1,12 +1,14 @@
 """Registered queries of the corpus operators, and SQL for those that SQL can express."""
 
 from corpuslens.llm.chat import OP4_SQL, op4_chat_formatting
+from corpuslens.llm.embedding_dedup import OP1_SQL, op1_embedding_near_dedup
 from corpuslens.llm.packing import OP10_SQL, op10_packing
 from corpuslens.llm.quality import op2_quality_rules
 from corpuslens.llm.sharding import op5_kd_tree_sharding
 from corpuslens.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_kd_tree_sharding": op5_kd_tree_sharding,
@@ -15,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_embedding_near_dedup": OP1_SQL,
     "op4_chat_formatting": OP4_SQL,
     "op7_warc": OP7_SQL,
     "op10_packing": OP10_SQL,
