@@ -2,6 +2,7 @@
 
 from corpuslens.llm.chat import OP4_SQL, op4_chat_formatting
 from corpuslens.llm.embedding_dedup import OP1_SQL, op1_embedding_near_dedup
+from corpuslens.llm.language_id import op8_language_id, pages_language_id
 from corpuslens.llm.packing import OP10_SQL, op10_packing
 from corpuslens.llm.quality import op2_quality_rules
 from corpuslens.llm.sharding import op5_kd_tree_sharding
@@ -13,6 +14,8 @@ QUERIES = {
     "op4_chat_formatting": op4_chat_formatting,
     "op5_kd_tree_sharding": op5_kd_tree_sharding,
     "op7_warc": op7_warc,
+    "op8_language_id": op8_language_id,
+    "pages_language_id": pages_language_id,
     "op10_packing": op10_packing,
 }
 
