@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 SEGMENT_BYTES = 2 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -29,7 +30,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE_VALUE = mix64(np.arange(256, dtype=np.uint64))
-_BYTE_VALUE_FOLDED = _BYTE_VALUE[[b + 32 if 65 <= b <= 90 else b for b in range(256)]]
+_SAME = np.arange(256, dtype=np.uint8)
+_FOLDED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_BYTE_VALUE_FOLDED = _BYTE_VALUE[_FOLDED]
 _IS_SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 _BASE = np.uint64(0xD1342543DE82EF95)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -54,6 +57,8 @@ class Words:
 
     hashes: np.ndarray
     offsets: np.ndarray
+    #: Last two bytes of each word.
+    tails: np.ndarray | None = None
 
     @property
     def counts(self) -> np.ndarray:
@@ -64,6 +69,17 @@ class Words:
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts)
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with about ``most`` bytes of text each (one row at least)."""
+    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, begin = np.cumsum(sizes), 0
+    while begin < len(sizes):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; null texts have no bytes."""
     if not pa.types.is_large_string(column.type):
@@ -96,7 +112,7 @@ def word_hashes(column: pa.Array, fold_case: bool = False) -> Words:
     """64-bit hashes of all words of all texts; fold_case lower-cases A-Z only."""
     raw, offsets = text_buffers(column)
     if not len(raw):
-        return Words(np.zeros(0, np.uint64), np.zeros(len(column) + 1, np.int64))
+        return Words(np.zeros(0, np.uint64), np.zeros(len(column) + 1, np.int64), np.zeros(0, np.uint16))
     space = _IS_SPACE[raw]
     table = _BYTE_VALUE_FOLDED if fold_case else _BYTE_VALUE
     full = offsets[:-1][np.diff(offsets) > 0]
@@ -118,7 +134,9 @@ def word_hashes(column: pa.Array, fold_case: bool = False) -> Words:
             s = starts[i:j] - begin
             hashes[i:j] = (sums[ends[i:j] - begin] - sums[s]) * _power_table(_BASE_INVERSE, end - begin)[s]
         hashes = mix64(hashes)
-    return Words(hashes, np.searchsorted(starts, offsets).astype(np.int64))
+    fold = _FOLDED if fold_case else _SAME
+    tails = np.where(ends - starts > 1, fold[raw[np.maximum(ends - 2, 0)]], 0).astype(np.uint16) << np.uint16(8) | fold[raw[ends - 1]]
+    return Words(hashes, np.searchsorted(starts, offsets).astype(np.int64), tails)
 
 
 def shingle_hashes(words: Words, size: int) -> Words:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.bytes_text import text_buffers
+from corpuslens.llm.bytes_text import slices, text_buffers
 from corpuslens.llm.tables import documents, table
 from corpuslens.plans.scratch import Scratch
 
@@ -73,7 +73,7 @@ def trigram_buckets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         languages = np.array(batch.column("declared").to_pylist(), dtype=object)
         for language in set(languages):
             chosen = batch.column("text").filter(pa.array(languages == language))
@@ -131,7 +131,8 @@ def _text_evidence(spark, model: TextModel) -> object:
 
     @F.arrow_udf("array<double>")
     def score(text: pa.Array) -> pa.Array:
-        return shared.value.log_likelihoods(text)
+        parts = slices(pa.RecordBatch.from_arrays([text], names=["text"]))
+        return pa.concat_arrays([shared.value.log_likelihoods(p.column("text")) for p in parts] or [pa.array([], pa.list_(pa.float64()))])
 
     return score
 

@@ -3,6 +3,7 @@
 from corpuslens.llm.chat import OP4_SQL, op4_chat_formatting
 from corpuslens.llm.embedding_dedup import OP1_SQL, op1_embedding_near_dedup
 from corpuslens.llm.language_id import op8_language_id, pages_language_id
+from corpuslens.llm.minhash_dedup import op3_minhash_near_dedup
 from corpuslens.llm.packing import OP10_SQL, op10_packing
 from corpuslens.llm.quality import op2_quality_rules
 from corpuslens.llm.sharding import op5_kd_tree_sharding
@@ -11,6 +12,7 @@ from corpuslens.llm.warc import OP7_SQL, op7_warc
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_kd_tree_sharding": op5_kd_tree_sharding,
     "op7_warc": op7_warc,
