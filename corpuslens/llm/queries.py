@@ -1,6 +1,7 @@
 """Registered queries of the corpus operators, and SQL for those that SQL can express."""
 
 from corpuslens.llm.chat import OP4_SQL, op4_chat_formatting
+from corpuslens.llm.class_lm import op9_class_lm
 from corpuslens.llm.embedding_dedup import OP1_SQL, op1_embedding_near_dedup
 from corpuslens.llm.language_id import op8_language_id, pages_language_id
 from corpuslens.llm.minhash_dedup import op3_minhash_near_dedup
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_warc": op7_warc,
     "op8_language_id": op8_language_id,
     "pages_language_id": pages_language_id,
+    "op9_class_lm": op9_class_lm,
     "op10_packing": op10_packing,
 }
 
