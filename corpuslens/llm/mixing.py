@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.tables import documents, n_words
+from corpuslens.llm.tables import documents, n_words, uniform
 from corpuslens.plans.scratch import Scratch
 
 CYCLES, ROUNDS = 12, 20
@@ -49,12 +49,6 @@ def genre(text: Column, tokens: Column) -> Column:
     )
 
 
-def uniform(id_column: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) that depends on the id alone."""
-    digest = F.md5(F.concat(F.coalesce(id_column.cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(16**13)
-
-
 def _share_targets(cells: DataFrame, dimension: str, given: dict[str, float] | None, temper: float) -> DataFrame:
     """cells with t_<dimension>: target tokens of the cell's value."""
     tokens = F.sum("tokens").over(Window.partitionBy(dimension))

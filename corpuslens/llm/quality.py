@@ -1,6 +1,7 @@
 r"""Quality rules: hashed n-gram log-likelihood ratio of trusted target against raw corpus.
 
-Features are the words and word pairs of a whole text, hashed by CRC-32 into BUCKETS buckets. Two
+Features are the words and word pairs of a whole text, hashed into BUCKETS buckets by the CRC-32 of
+a word and PAIR_FACTOR * (first word's CRC-32) + (second word's). Two
 multinomials over the buckets, one from trusted documents and one from all documents, give each
 bucket a log ratio; a document's score is the mean log ratio of its features. The threshold is the
 trusted documents' mean score minus SPREAD standard deviations, rounded to six decimals, and
@@ -8,9 +9,9 @@ every document is compared with it. Only DataFrame expressions are used and no t
 bucket counts are partially aggregated (BUCKETS rows), and the log ratios travel as one literal
 array of BUCKETS doubles in the plan.
 
-The trusted target is a classifier fit on a bounded sample of labelled rows: at most MAX_TRUSTED
-documents labelled quality 1 and toxic 0, those whose ids have the smallest md5; their ids (8 bytes
-each) are broadcast. The raw multinomial covers all documents.
+The trusted target is a classifier fit on a bounded sample of labelled rows: all documents labelled
+quality 1 and toxic 0 if there are at most MAX_TRUSTED, else the share of them, by a hash of the
+id, that makes MAX_TRUSTED expected; their ids (8 bytes each) are broadcast. The raw multinomial covers all documents.
 
 Defined cases: a null text or one without words has no features, scores 0 and fails the base rule
 (fewer than MIN_WORDS words); repeated rows are judged alike, each on its own row; without trusted
@@ -25,9 +26,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.tables import SPACE_CHARS, documents, table, words
+from corpuslens.llm.tables import SPACE_CHARS, documents, table, uniform, words
+from corpuslens.plans.scratch import Scratch
 
 BUCKETS = 1 << 16
+PAIR_FACTOR = 1_000_003
 SMOOTHING = 1.0
 MAX_TRUSTED = 100_000
 #: At most 1 in SPREAD**2 trusted documents can lie that far below the mean, whatever the distribution.
@@ -41,35 +44,45 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _bucket(text: Column) -> Column:
-    return F.crc32(text.cast("binary")) % BUCKETS
+def features(ws: Column) -> Column:
+    """Hashes of all words, then of all pairs of neighbouring words; a hash modulo BUCKETS is its bucket."""
+    singles = F.transform(ws, lambda w: F.crc32(w.cast("binary")))
 
+    def with_pairs(h: Column) -> Column:
+        n = F.greatest(F.size(h) - 1, F.lit(0))
+        return F.concat(h, F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(2), n), lambda x, y: x * PAIR_FACTOR + y))
 
-def features(ws: Column) -> Column:
-    """Buckets of all words, then of all pairs of neighbouring words."""
-    singles = F.transform(ws, _bucket)
-    pairs = F.zip_with(F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 1, F.lit(0))), lambda a, b: _bucket(F.concat_ws(" ", a, b)))
-    return F.concat(singles, pairs)
+    return let(singles, with_pairs)
 
 
 def repeated_words(ws: Column) -> Column:
     """Words inside 3-word windows that occur twice or more in the text, each word once.
 
-    Window hashes are sorted with their positions; neighbours with equal hashes are repeats, and the
+    Each window becomes one long: its hash shifted up by the bits that a position needs, and its
+    position. Sorted as primitive longs, windows with equal hashes are neighbours, and the
     repeats' positions in order cover min(3, gap) words each.
     """
-    n = F.greatest(F.size(ws) - 2, F.lit(0))
-    hashes = F.zip_with(F.slice(ws, F.lit(1), n), F.zip_with(F.slice(ws, F.lit(2), n), F.slice(ws, F.lit(3), n), lambda b, c: F.struct(b.alias("b"), c.alias("c"))), lambda a, t: F.xxhash64(a, t.b, t.c))
-    keyed = F.array_sort(F.arrays_zip(hashes.alias("h"), F.sequence(F.lit(0), n - 1).alias("i")))
+    n = F.size(ws) - 2
+    bits = F.length(F.bin(n.cast("long")))
+    bound = F.struct(ws.alias("ws"), F.slice(ws, F.lit(1), n).alias("firsts"), bits.alias("bits"), (F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1).alias("mask"))
+
+    def covered(t: Column) -> Column:
+        window = lambda w, i: F.call_function("shiftleft", F.xxhash64(w, F.get(t.ws, i + 1), F.get(t.ws, i + 2)), t.bits).bitwiseOR(i.cast("long"))
+
+        def repeats(k: Column) -> Column:
+            m = F.size(k) - 1
+            same = lambda x, y: F.when(F.call_function("shiftright", x.bitwiseXOR(y), t.bits) == 0, F.struct(x.alias("x"), y.alias("y")))
+            return F.array_compact(F.zip_with(F.slice(k, F.lit(1), m), F.slice(k, F.lit(2), m), same))
+
+        def count(pairs: Column) -> Column:
+            low = lambda x: x.bitwiseAND(t.mask).cast("int")
+            places = F.array_sort(F.array_distinct(F.concat(F.transform(pairs, lambda p: low(p.x)), F.transform(pairs, lambda p: low(p.y)))))
+            start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
+            return F.aggregate(places, start, lambda acc, p: F.struct(p.alias("last"), (acc.n + F.least(F.lit(3), p - acc.last)).alias("n")), lambda acc: acc.n)
 
-    def covered(s: Column) -> Column:
-        neighbours = F.arrays_zip(F.slice(s, F.lit(1), F.size(s) - 1).alias("a"), F.slice(s, F.lit(2), F.size(s) - 1).alias("b"))
-        equal = F.filter(neighbours, lambda p: p.a.h == p.b.h)
-        at = lambda e: F.array_sort(F.array_distinct(F.concat(F.transform(e, lambda p: p.a.i), F.transform(e, lambda p: p.b.i))))
-        start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
-        return let(equal, lambda e: F.aggregate(at(e), start, lambda acc, p: F.struct(p.alias("last"), (acc.n + F.least(F.lit(3), p - acc.last)).alias("n")), lambda acc: acc.n))
+        return let(let(F.sort_array(F.transform(t.firsts, window)), repeats), count)
 
-    return F.when(F.size(ws) > 3, let(keyed, covered)).otherwise(F.lit(0)).cast("long")
+    return F.when(F.size(ws) > 3, let(bound, covered)).otherwise(F.lit(0)).cast("long")
 
 
 def duplicate_lines(text: Column) -> Column:
@@ -79,17 +92,18 @@ def duplicate_lines(text: Column) -> Column:
 
 def trusted_ids(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
     good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
-    return good.orderBy(F.md5(F.col("__id").cast("string").cast("binary")), "__id").limit(most)
+    share = min(1.0, most / max(1, good.count()))
+    return good.filter(uniform(F.col("__id"), "trusted") < share)
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, most: int = MAX_TRUSTED) -> list[float]:
-    """log P(bucket | trusted) - log P(bucket | raw) for every bucket."""
-    ids = F.broadcast(trusted_ids(labels, most).withColumn("__t", F.lit(1).cast("long")))
+def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
+    """log P(bucket | trusted) - log P(bucket | raw) for every bucket; trusted: __id, at most about MAX_TRUSTED rows."""
+    ids = F.broadcast(trusted.withColumn("__t", F.lit(1).cast("long")))
     counted = (
         docs.select("doc_id", "text")
         .join(ids, F.col("doc_id") == F.col("__id"), "left")
-        .select(F.coalesce("__t", F.lit(0).cast("long")).alias("t"), F.explode(features_of(F.col("text"))).alias("bucket"))
-        .groupBy("bucket")
+        .select(F.coalesce("__t", F.lit(0).cast("long")).alias("t"), F.explode(features_of(F.col("text"))).alias("hash"))
+        .groupBy((F.col("hash") % BUCKETS).alias("bucket"))
         .agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
         .collect()  # BUCKETS rows at most
     )
@@ -109,14 +123,15 @@ def features_of(text: Column) -> Column:
 
 def mean_log_ratio(ws: Column, ratios: list[float]) -> Column:
     literal = F.from_json(F.lit("[" + ",".join(map(repr, ratios)) + "]"), "array<double>")
-    found = let(features(ws), lambda fs: F.aggregate(fs, F.lit(0.0), lambda a, f: a + F.get(literal, f.cast("int"))) / F.size(fs))
+    found = let(features(ws), lambda fs: F.aggregate(fs, F.lit(0.0), lambda a, f: a + F.get(literal, (f % BUCKETS).cast("int"))) / F.size(fs))
     return F.when(F.size(ws) > 0, found).otherwise(F.lit(0.0))
 
 
 def judge(docs: DataFrame, labels: DataFrame, most: int = MAX_TRUSTED, spread: float = SPREAD) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, threshold, kept."""
-    ratios = log_ratios(docs, labels, most)
-    ids = F.broadcast(trusted_ids(labels, most))
+    chosen = Scratch(docs.sparkSession, "quality").save(trusted_ids(labels, most), "trusted")
+    ratios = log_ratios(docs, chosen)
+    ids = F.broadcast(chosen)
     scored = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__id")).select(let(words(F.col("text")), lambda ws: mean_log_ratio(ws, ratios)).alias("s"))
     fit = scored.agg(F.avg("s").alias("m"), F.stddev_pop("s").alias("d")).first()
     threshold = round(fit["m"] - spread * fit["d"], 6) if fit["m"] is not None else 0.0
@@ -126,6 +141,7 @@ def judge(docs: DataFrame, labels: DataFrame, most: int = MAX_TRUSTED, spread: f
         ws,
         lambda x: F.struct(
             F.size(x.ws).cast("long").alias("n_words"),
+            F.length(F.array_join(x.ws, "")).cast("long").alias("word_chars"),
             repeated_words(x.ws).alias("n_repeat_words"),
             mean_log_ratio(x.ws, ratios).alias("score"),
         ),
@@ -133,8 +149,8 @@ def judge(docs: DataFrame, labels: DataFrame, most: int = MAX_TRUSTED, spread: f
     out = docs.withColumn("__m", measured).withColumns(
         {
             "n_words": F.col("__m.n_words"),
-            "word_chars": F.length(F.translate(text, SPACE_CHARS, "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+            "word_chars": F.col("__m.word_chars"),
+            "n_symbols": F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("long"),
             "n_dup_lines": duplicate_lines(F.col("text")),
             "n_repeat_words": F.col("__m.n_repeat_words"),
             "score": F.col("__m.score"),

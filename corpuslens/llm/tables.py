@@ -25,6 +25,12 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES))
 
 
+def uniform(id_column: Column, seed: str) -> Column:
+    """A number in [0, 1) that depends on the id and the seed alone: 52 bits of an md5."""
+    digest = F.md5(F.concat(F.coalesce(id_column.cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(16**13)
+
+
 def n_words(text: Column) -> Column:
     return F.when(F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS)) == "", F.lit(0)).otherwise(
         F.regexp_count(F.btrim(text, F.lit(SPACE_CHARS)), F.lit(SPACES)) + 1
