@@ -1,0 +1 @@
+"""Sources: evaluation and ground-truth JSON, images, recognition engines, settings."""
