@@ -10,8 +10,9 @@ Evidence for each language l of a text:
 * host: prior of l at the host, smoothed towards the prior of the host's suffix, which is smoothed towards
   the prior of all texts, by grouped aggregation of what the texts alone say.
 
-The trigram models are classifiers fitted on the FIT_TEXTS texts of each declared language with the
-smallest md5 of their id; host counts cover all rows. A text is kept if its best language is not
+The trigram models are classifiers fitted on a bounded sample of labelled rows: of each declared
+language, the share of texts, by a hash of the id, that makes FIT_TEXTS expected (all if there are
+fewer); host counts cover all rows. A text is kept if its best language is not
 "und" and has a posterior of at least MIN_POSTERIOR.
 
 Defined cases: null texts and texts of under three bytes have no text evidence and are "und", not kept;
@@ -27,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.bytes_text import slices, text_buffers
-from corpuslens.llm.tables import documents, table
+from corpuslens.llm.bytes_text import bounded_batches, slices, text_buffers
+from corpuslens.llm.tables import documents, table, uniform
 from corpuslens.plans.scratch import Scratch
 
 BUCKETS = 1 << 16
@@ -112,13 +113,12 @@ class TextModel:
 
 def fit_text_model(evidence: DataFrame, fit_texts: int = FIT_TEXTS) -> TextModel:
     declared = evidence.filter("declared IS NOT NULL AND text IS NOT NULL").select("id", "declared", "text")
-    common = [r[0] for r in declared.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(MAX_LANGUAGES).collect()]
-    languages = sorted(common)
-    ids = declared.select("id", "declared").withColumn("h", F.md5(F.col("id").cast("string").cast("binary")))
-    rank = F.row_number().over(Window.partitionBy("declared").orderBy("h", "id"))
-    chosen = ids.withColumn("r", rank).filter(F.col("r") <= fit_texts).filter(F.col("declared").isin(languages)).select(F.col("id").alias("i"), F.col("declared").alias("d")).distinct()
-    # at most FIT_TEXTS * MAX_LANGUAGES ids
-    sample = declared.join(F.broadcast(chosen), (F.col("id") == F.col("i")) & (F.col("declared") == F.col("d"))).select("declared", "text")
+    common = declared.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(MAX_LANGUAGES).collect()
+    languages = sorted(r["declared"] for r in common)
+    share = F.lit(0.0)
+    for r in common:
+        share = F.when(F.col("declared") == r["declared"], min(1.0, fit_texts / r["count"])).otherwise(share)
+    sample = declared.filter(uniform(F.col("id"), "fit") < share).select("declared", "text")
     counted = sample.mapInArrow(_count_trigrams, "declared string, bucket int, n long").groupBy("declared", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(languages), BUCKETS))
     if len(counted):
@@ -171,6 +171,7 @@ def host_priors(scored: DataFrame, languages: list[str], scratch: Scratch) -> tu
 def identify(evidence: DataFrame, fit_texts: int = FIT_TEXTS) -> DataFrame:
     """evidence (id, text, declared, host, suffix and any others) with lang_id, posterior, text_lang, kept."""
     spark = evidence.sparkSession
+    bounded_batches(spark)
     scratch = Scratch(spark, "language")
     model = fit_text_model(evidence, fit_texts)
     names = model.languages
