@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.bytes_text import mix64, slices, word_hashes
+from corpuslens.llm.bytes_text import bounded_batches, mix64, slices, word_hashes
 from corpuslens.llm.tables import documents
 from corpuslens.plans.scratch import Scratch
 
@@ -309,6 +309,7 @@ def _rows(rid, doc_id, held_out, h, m, known, base, score) -> pa.RecordBatch:
 def score_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     scratch = Scratch(spark, "class-lm")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (~training("doc_id")).alias("held_out"))
     model, vocabulary, n_total = train(rows.filter(~F.col("held_out")), scratch)
