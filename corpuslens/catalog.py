@@ -1,4 +1,453 @@
-"""Named queries of the document-fidelity operators and their SQL counterparts."""
+"""Named queries of the document-fidelity operators and their SQL counterparts.
 
-QUERIES = {}
-ORACLES = {}
+The tables hold no recognised pages, so inputs are derived from them by fixed rules that both sides
+share: transcription pairs corrupt whole texts by replacements, token tables are the words of every
+document line with arithmetic confidences and boxes, and classifier responses come from a rule.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corpuslens.functions import text as T
+from corpuslens.operators import classification as C
+from corpuslens.operators import experiment as X
+from corpuslens.operators import lines as L
+from corpuslens.operators import metrics as M
+from corpuslens.operators import reading_order as R
+from corpuslens.operators import tokens as K
+from corpuslens.sources.json_files import duplicates, stem
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+_ACCENTS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+
+
+def query(sql: str | None = None):
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in columns})
+
+
+# -- SQL fragments ---------------------------------------------------------------------------
+
+_CORRUPT = "replace(replace({0}, ' and ', ' '), 'the', 'teh')"
+#: Code points as single bytes, since the checking engine's distance counts bytes.
+_BYTES = "translate({0}, '" + _ACCENTS + "', " + " || ".join(f"chr({i})" for i in [*range(1, 9), *range(14, 28)][: len(_ACCENTS)]) + ")"
+_TOKENS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> '')"
+_FOLDED = r"list_distinct(list_filter(regexp_split_to_array(replace(lower({0}), 'ß', 'ss'), '\s+'), lambda w: w <> ''))"
+_SENTENCES = r"list_filter(list_transform(string_split(regexp_replace({0}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+_SENSITIVE = r"(NOT regexp_full_match({0}, '[a-z]+') OR regexp_matches({0}, 'a{{3}}|b{{3}}|c{{3}}|d{{3}}|e{{3}}|f{{3}}|g{{3}}|h{{3}}|i{{3}}|j{{3}}|k{{3}}|l{{3}}|m{{3}}|n{{3}}|o{{3}}|p{{3}}|q{{3}}|r{{3}}|s{{3}}|t{{3}}|u{{3}}|v{{3}}|w{{3}}|x{{3}}|y{{3}}|z{{3}}'))"
+
+
+def _alignment(name: str, diagonal_match: str, gap: str) -> str:
+    """Edit-distance rows over tokens g and p of ``pair``; the last element of the last row is the score."""
+    return f"""
+{name} AS (
+  SELECT id, 0 AS i, list_transform(range(0, len(p) + 1), lambda j: CAST(j * {gap} AS BIGINT)) AS row FROM pair
+  UNION ALL
+  SELECT id, i + 1, list_transform(range(0, len(c)), lambda j: list_min(c[1:j + 1]) + j * {gap}) FROM (
+    SELECT d.id, d.i, pair.g, pair.p, list_transform(range(0, len(pair.p) + 1), lambda j: CAST(
+      (CASE WHEN j = 0 THEN d.row[1] + {gap} ELSE least(d.row[j] + CASE WHEN pair.p[j] = pair.g[d.i + 1] THEN {diagonal_match} ELSE {gap} END, d.row[j + 1] + {gap}) END) - j * {gap} AS BIGINT)) AS c
+    FROM {name} d JOIN pair USING (id) WHERE d.i < len(pair.g)) pair)"""
+
+
+def _pairs(source: str) -> str:
+    return f"pair AS MATERIALIZED (SELECT id, truth, predicted, {_TOKENS.format('truth')} AS g, {_TOKENS.format('predicted')} AS p FROM ({source}))"
+
+
+_WER = _alignment("w", "0", "1")
+_SFS = _alignment("f", f"CASE WHEN {_SENSITIVE.format('pair.g[d.i + 1]')} THEN -1 ELSE 0 END", "(len(pair.g) + 1)")
+_METRICS = f"""
+{_WER},
+wer AS (SELECT w.id, w.row[-1] AS d, len(pair.g) AS n FROM w JOIN pair USING (id) WHERE w.i = len(pair.g)),
+{_SFS},
+kept AS (SELECT f.id, CAST(ceil(f.row[-1] / (len(pair.g) + 1.0)) AS BIGINT) * (len(pair.g) + 1) - f.row[-1] AS k, len(list_filter(pair.g, lambda t: {_SENSITIVE.format("t")})) AS n
+  FROM f JOIN pair USING (id) WHERE f.i = len(pair.g)),
+sent AS (SELECT id, {_SENTENCES.format("truth")} AS sg, {_SENTENCES.format("predicted")} AS sp FROM pair),
+fold AS (SELECT id, list_transform(sg, lambda s: {_FOLDED.format("s")}) AS fg, list_transform(sp, lambda s: {_FOLDED.format("s")}) AS fp FROM sent),
+near AS (SELECT id, len(fg) AS ng, len(fp) AS np, list_transform(fp, lambda b: CAST(coalesce(list_sum(list_transform(range(0, len(fg)), lambda k:
+    CASE WHEN (CASE WHEN len(fg[k + 1]) = 0 THEN (len(b) = 0)::INT::DOUBLE ELSE len(list_intersect(fg[k + 1], b)) / len(fg[k + 1])::DOUBLE END) >= 0.5 THEN 1 << k ELSE 0 END)), 0) AS BIGINT)) AS masks FROM fold),
+hall AS (SELECT id, ng, np, np - list_max(list_transform(range(0, 1 << np), lambda s: bit_count(s) - bit_count(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(0, np), lambda k:
+    CASE WHEN (s >> k) & 1 = 1 THEN masks[k + 1] ELSE 0 END)), lambda x, y: x | y)))) AS m FROM near),
+rates AS (SELECT pair.id, levenshtein({_BYTES.format("truth")}, {_BYTES.format("predicted")}) / greatest(length(truth), 1)::DOUBLE AS cer, wer.d / greatest(wer.n, 1)::DOUBLE AS wer, hall.m AS matched_sentences,
+    CASE WHEN ng = 0 AND np = 0 THEN 1 ELSE m / greatest(np, 1)::DOUBLE END AS sentence_precision, CASE WHEN ng = 0 AND np = 0 THEN 1 ELSE m / greatest(ng, 1)::DOUBLE END AS sentence_recall,
+    CASE WHEN kept.n = 0 THEN 1 ELSE kept.k / kept.n::DOUBLE END AS sfs
+  FROM pair JOIN wer USING (id) JOIN hall USING (id) JOIN kept USING (id)),
+f1 AS (SELECT *, CASE WHEN sentence_precision + sentence_recall = 0 THEN 0 ELSE 2 * sentence_precision * sentence_recall / (sentence_precision + sentence_recall) END AS sentence_f1 FROM rates),
+m AS MATERIALIZED (SELECT *, least(1, greatest(0, 0.35 * greatest(0, 1 - cer) + 0.35 * greatest(0, 1 - wer) + 0.3 * sentence_f1)) AS composite_score FROM f1)"""
+
+
+# -- transcription metrics -------------------------------------------------------------------
+
+
+def corrupted(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit(" and "), F.lit(" ")), F.lit("the"), F.lit("teh"))
+
+
+def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as transcription pairs."""
+    turns = _table(spark, sf_dir, "conversations")
+    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("sample_id"), F.col("text").alias("ground_truth"), corrupted(F.col("text")).alias("predicted"))
+
+
+def item_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _table(spark, sf_dir, "benchmark")
+    return items.select(F.col("item_id").alias("sample_id"), F.col("text").alias("ground_truth"), corrupted(F.col("text")).alias("predicted"))
+
+
+_TURNS = f"SELECT conv_id * 1000 + turn AS id, text AS truth, {_CORRUPT.format('text')} AS predicted FROM conversations"
+_ITEMS = f"SELECT item_id AS id, text AS truth, {_CORRUPT.format('text')} AS predicted FROM benchmark"
+_METRIC_COLUMNS = ["cer", "wer", "sentence_precision", "sentence_recall", "sentence_f1", "composite_score"]
+
+
+@query(f"SELECT id AS sample_id, round(levenshtein({_BYTES.format('truth')}, {_BYTES.format('predicted')}) / greatest(length(truth), 1)::DOUBLE, 6) AS cer FROM ({_TURNS})")
+def character_error_rate(spark, sf_dir):
+    return _rounded(turn_pairs(spark, sf_dir).select("sample_id", T.character_error_rate(F.col("ground_truth"), F.col("predicted")).alias("cer")), "cer")
+
+
+@query(f"WITH RECURSIVE {_pairs(_TURNS)}, {_WER} SELECT w.id AS sample_id, round(w.row[-1] / greatest(len(pair.g), 1)::DOUBLE, 6) AS wer FROM w JOIN pair USING (id) WHERE w.i = len(pair.g)")
+def word_error_rate(spark, sf_dir):
+    return _rounded(turn_pairs(spark, sf_dir).select("sample_id", T.word_error_rate(F.col("ground_truth"), F.col("predicted")).alias("wer")), "wer")
+
+
+@query(f"SELECT doc_id, CAST(unnest(range(0, len(s))) AS INTEGER) AS ord, unnest(s) AS sentence FROM (SELECT doc_id, {_SENTENCES.format('text')} AS s FROM documents)")
+def sentence_split(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("ord", "sentence"))
+
+
+@query(f"SELECT id AS sample_id, round(CASE WHEN len(g) = 0 THEN (len(p) = 0)::INT ELSE len(list_intersect(g, p)) / len(g)::DOUBLE END, 6) AS overlap FROM (SELECT id, {_FOLDED.format('truth')} AS g, {_FOLDED.format('predicted')} AS p FROM ({_TURNS}))")
+def sentence_overlap(spark, sf_dir):
+    return _rounded(turn_pairs(spark, sf_dir).select("sample_id", T.sentence_overlap(F.col("ground_truth"), F.col("predicted")).alias("overlap")), "overlap")
+
+
+@query(f"WITH RECURSIVE {_pairs(_ITEMS)}, {_METRICS} SELECT id AS sample_id, CAST(matched_sentences AS INTEGER) AS matched_sentences, {', '.join(f'round({c}, 6) AS {c}' for c in _METRIC_COLUMNS)} FROM m")
+def eval_per_sample(spark, sf_dir):
+    return _rounded(M.evaluate(item_pairs(spark, sf_dir)), *_METRIC_COLUMNS).select("sample_id", "matched_sentences", *_METRIC_COLUMNS)
+
+
+@query(f"WITH RECURSIVE {_pairs(_ITEMS)}, {_METRICS} SELECT count(*) AS sample_count, {', '.join(f'round(avg({c}), 6) AS {c}' for c in _METRIC_COLUMNS)} FROM m")
+def eval_macro(spark, sf_dir):
+    return _rounded(M.macro_average(M.evaluate(item_pairs(spark, sf_dir))), *_METRIC_COLUMNS)
+
+
+@query()
+def eval_turns(spark, sf_dir):
+    """Whole metrics of all conversation turns; too many sentences a text for the SQL matching."""
+    return _rounded(M.evaluate(turn_pairs(spark, sf_dir)), *_METRIC_COLUMNS).select("sample_id", "matched_sentences", *_METRIC_COLUMNS)
+
+
+@query(f"SELECT id AS sample_id, CAST(len(g) AS BIGINT) AS n_tokens, CAST(len(list_filter(g, lambda t: {_SENSITIVE.format('t')})) AS BIGINT) AS n_sensitive FROM (SELECT id, {_TOKENS.format('truth')} AS g FROM ({_TURNS}))")
+def sensitive_tokens(spark, sf_dir):
+    rows = turn_pairs(spark, sf_dir).select("sample_id", T.tokens(F.col("ground_truth")).alias("t"))
+    return rows.select("sample_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.filter("t", lambda t: T.is_sensitive(t))).cast("long").alias("n_sensitive"))
+
+
+@query(f"WITH RECURSIVE {_pairs(_TURNS)}, {_SFS} SELECT id AS sample_id, round(CASE WHEN n = 0 THEN 1 ELSE k / n::DOUBLE END, 6) AS sfs FROM (SELECT f.id, CAST(ceil(f.row[-1] / (len(pair.g) + 1.0)) AS BIGINT) * (len(pair.g) + 1) - f.row[-1] AS k, len(list_filter(pair.g, lambda t: {_SENSITIVE.format('t')})) AS n FROM f JOIN pair USING (id) WHERE f.i = len(pair.g))")
+def source_fidelity(spark, sf_dir):
+    return _rounded(M.source_fidelity_arrow(turn_pairs(spark, sf_dir)), "sfs").select("sample_id", "sfs")
+
+
+# -- tokens, lines, pages --------------------------------------------------------------------
+
+
+def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of every document line as a recognised token."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "line_text"))
+    words = docs.select("doc_id", "line", F.posexplode(T.tokens(F.col("line_text"))).alias("word", "text"))
+    ord_ = F.col("line") * 100000 + F.col("word")
+    return words.select(
+        "doc_id", ord_.alias("ord"), "text", ((F.col("doc_id") * 31 + ord_ * 17) % 101).cast("double").alias("confidence"),
+        (F.col("word") * 50).alias("left"), (F.col("line") * 20).alias("top"), F.lit(45).alias("width"), F.lit(15).alias("height"),
+        F.lit(1).alias("page_num"), F.lit(1).alias("block_num"), F.lit(0).alias("paragraph_num"), F.when(F.col("line") % 4 != 3, F.col("line") + 1).alias("line_num"),
+    )
+
+
+_WORDS = rf"""
+l AS (SELECT doc_id, unnest(range(0, len(x))) AS line, unnest(x) AS line_text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+v AS (SELECT doc_id, line, unnest(range(0, len(x))) AS word, unnest(x) AS text FROM (SELECT doc_id, line, {_TOKENS.format("line_text")} AS x FROM l)),
+t AS MATERIALIZED (SELECT doc_id, line, line * 100000 + word AS ord, text, CAST((doc_id * 31 + (line * 100000 + word) * 17) % 101 AS DOUBLE) AS confidence, line * 20 AS top FROM v),
+lines AS MATERIALIZED (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS INTEGER) AS line_idx, string_agg(text, ' ' ORDER BY ord) AS text, CAST(any_value(top) AS INTEGER) AS top FROM t GROUP BY doc_id, line)"""
+
+
+@query(f"WITH {_WORDS} SELECT doc_id, line_idx, text, top FROM lines")
+def line_assembly(spark, sf_dir):
+    return L.assemble_lines(document_tokens(spark, sf_dir))
+
+
+@query(f"WITH {_WORDS} SELECT doc_id, count(*) AS n_low, round(avg(confidence), 6) AS mean_low, min(ord) AS first_ord FROM t WHERE confidence < 60 GROUP BY doc_id")
+def low_confidence_regions(spark, sf_dir):
+    low = L.low_confidence_regions(document_tokens(spark, sf_dir)).groupBy("doc_id")
+    return low.agg(F.count(F.lit(1)).alias("n_low"), F.round(F.avg("confidence"), 6).alias("mean_low"), F.min("ord").cast("long").alias("first_ord"))
+
+
+_DAYS, _MONTHS = "(?:0?[1-9]|[12][0-9]|3[01])", "(?:0?[1-9]|1[0-2])"
+_NAMES = "(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
+_IS_DATE = f"{_DAYS}[-/.]{_MONTHS}[-/.](?:[0-9]{{2}}|[0-9]{{4}})|[0-9]{{4}}[-/.]{_MONTHS}[-/.]{_DAYS}|{_NAMES}\\s+{_DAYS}(?:st|nd|rd|th)?,?\\s+[0-9]{{4}}|{_DAYS}(?:st|nd|rd|th)?\\s+{_NAMES}\\s+[0-9]{{4}}"
+_MARKED = rf"""{_WORDS},
+w AS (SELECT *, regexp_extract_all(text, '[A-Za-z][A-Za-z''’-]*') AS words FROM lines),
+marked AS MATERIALIZED (SELECT doc_id, line_idx, text, line_idx < 5 AND top <= 1000 * 0.2 AND (
+    regexp_full_match(text, '\s*(?:name|date|title|subject)\s*:\s*\S.*', 'i') OR regexp_full_match(text, '{_IS_DATE}', 'i')
+    OR (line_idx = 0 AND length(text) <= 80 AND NOT regexp_matches(text, '[.?!;]$') AND len(words) BETWEEN 1 AND 8
+      AND len(list_filter(words, lambda w: NOT regexp_matches(w, '^[A-Z][^a-z]*$|^[A-Z][a-z]*([^A-Za-z]+[A-Z][a-z]*)*[^A-Za-z]*$'))) = 0)) AS excluded FROM w)"""
+
+
+def _marked(spark, sf_dir):
+    heights = _table(spark, sf_dir, "documents").select("doc_id", F.lit(1000).alias("image_height"))
+    return L.mark_metadata(L.assemble_lines(document_tokens(spark, sf_dir)), heights)
+
+
+@query(f"WITH {_MARKED} SELECT doc_id, line_idx, text, excluded FROM marked")
+def metadata_lines(spark, sf_dir):
+    return _marked(spark, sf_dir).select("doc_id", "line_idx", "text", "excluded")
+
+
+@query(rf"""WITH {_MARKED}, pages AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY line_idx) AS raw_text, coalesce(string_agg(text, chr(10) ORDER BY line_idx) FILTER (WHERE NOT excluded), '') AS body_text, count(*) FILTER (WHERE excluded) AS n_excluded FROM marked GROUP BY doc_id)
+SELECT doc_id, md5(raw_text) AS raw_md5, md5(body_text) AS body_md5, CAST(len({_SENTENCES.format("body_text")}) AS INTEGER) AS n_sentences, CAST(n_excluded AS INTEGER) AS n_excluded FROM pages""")
+def page_texts(spark, sf_dir):
+    pages = L.page_texts(_marked(spark, sf_dir))
+    return pages.select("doc_id", F.md5(F.col("raw_text").cast("binary")).alias("raw_md5"), F.md5(F.col("body_text").cast("binary")).alias("body_md5"), F.size("sentences").alias("n_sentences"), F.size("excluded_metadata_lines").alias("n_excluded"))
+
+
+@query(f"WITH {_WORDS} SELECT doc_id, round(avg(confidence), 6) AS mean_confidence, median(confidence) AS median_confidence, round(avg((confidence < 60)::INT), 6) AS low_confidence_token_ratio, count(*) AS non_empty_token_count FROM t GROUP BY doc_id")
+def confidence_statistics(spark, sf_dir):
+    stats = L.confidence_statistics(document_tokens(spark, sf_dir)).drop("raw_text")
+    return _rounded(stats, "mean_confidence", "low_confidence_token_ratio")
+
+
+_EVEN = "CASE WHEN {0} - floor({0}) = 0.5 THEN 2 * floor(({0} + 1) / 2) ELSE floor({0} + 0.5) END"
+_PLACE = "CAST(least(greatest(" + _EVEN + ", 0), {1}) AS INTEGER)"
+
+
+@query(
+    "WITH b AS (SELECT l_orderkey, l_linenumber, (l_partkey % 240 - 20) / 0.5 AS x1, (l_partkey % 240 - 20 + l_quantity) / 0.5 AS x2, (l_suppkey % 90 - 10) / 0.8 AS y1, (l_suppkey % 90 - 10 + l_linenumber) / 0.8 AS y2 FROM lineitem), "
+    f"p AS (SELECT l_orderkey, l_linenumber, {_PLACE.format('x1', 400)} AS l, {_PLACE.format('x2', 400)} AS r, {_PLACE.format('y1', 100)} AS t, {_PLACE.format('y2', 100)} AS bt FROM b) "
+    'SELECT l_orderkey, l_linenumber, l AS "left", t AS top, greatest(r - l, 0) AS width, greatest(bt - t, 0) AS height FROM p'
+)
+def box_remap(spark, sf_dir):
+    items = _table(spark, sf_dir, "lineitem")
+    left, top = (F.col("l_partkey") % 240 - 20).cast("double"), (F.col("l_suppkey") % 90 - 10).cast("double")
+    edges = F.struct(left.alias("left"), top.alias("top"), (left + F.col("l_quantity").cast("double")).alias("right"), (top + F.col("l_linenumber")).alias("bottom"))
+    return items.select("l_orderkey", "l_linenumber", *[c.alias(n) for n, c in K.remap(edges, F.lit(400), F.lit(100), F.lit(0.5), F.lit(0.8)).items()])
+
+
+@query("WITH p AS (SELECT DISTINCT CAST(p_size * 97 AS BIGINT) AS w, p_partkey % 1000 + 1 AS h FROM part), r AS (SELECT w, h, CASE WHEN greatest(w, h) > 2000 THEN 2000.0::DOUBLE / greatest(w, h) ELSE 1.0::DOUBLE END AS k FROM p), "
+    f"s AS (SELECT w, h, w * k AS a, h * k AS b FROM r), i AS (SELECT w, h, greatest(1, CAST({_EVEN.format('a')} AS INTEGER)) AS inference_width, greatest(1, CAST({_EVEN.format('b')} AS INTEGER)) AS inference_height FROM s), "
+    "d AS (SELECT *, least(31, w, h) AS side FROM i) SELECT w, h, inference_width, inference_height, round(inference_width / w::DOUBLE, 6) AS scale_x, round(inference_height / h::DOUBLE, 6) AS scale_y, "
+    "CAST(CASE WHEN side - (side % 2 = 0)::INT >= 3 THEN side - (side % 2 = 0)::INT END AS BIGINT) AS window_size FROM d")
+def resize_geometry(spark, sf_dir):
+    sizes = _table(spark, sf_dir, "part").select((F.col("p_size") * 97).cast("long").alias("w"), (F.col("p_partkey") % 1000 + 1).cast("long").alias("h")).distinct()
+    out = sizes.select("*", *[c.alias(n) for n, c in K.resize_geometry(F.col("w"), F.col("h")).items()], K.window_size(F.col("w"), F.col("h")).cast("long").alias("window_size"))
+    return _rounded(out, "scale_x", "scale_y")
+
+
+@query()
+def reading_order(spark, sf_dir):
+    """Lines rebuilt from boxes alone; sequential best-match grouping has no SQL form (see the tests)."""
+    jitter = F.pmod(F.xxhash64("doc_id", "ord"), F.lit(5)).cast("int")
+    return R.reconstruct(document_tokens(spark, sf_dir).withColumn("top", F.col("top") + jitter)).select("doc_id", "ord", "text", "line_num")
+
+
+# -- experiment ------------------------------------------------------------------------------
+
+_EDITS = {"grayscale": ("e", "c"), "clahe_median_adaptive": ("th", "t"), "median_adaptive_no_clahe": ("n", "m"), "otsu": (" of ", " "), "adaptive_line_removal": ("a", "o")}
+_MODE_EDITS = {4: None, 6: (".", ""), 11: (",", ""), 12: (" the ", " ")}
+
+
+def recognised(text: Column) -> Column:
+    out = text
+    for profile, (a, b) in _EDITS.items():
+        out = F.when(F.col("profile") == profile, F.replace(text, F.lit(a), F.lit(b))).otherwise(out)
+    done = out
+    for mode, edit in _MODE_EDITS.items():
+        if edit:
+            done = F.when(F.col("psm") == mode, F.replace(out, F.lit(edit[0]), F.lit(edit[1]))).otherwise(done)
+    return done
+
+
+def experiment_records(spark, sf_dir):
+    items = _table(spark, sf_dir, "benchmark").select(F.concat(F.lit("p"), "item_id").alias("page"), "item_id", "text")
+    cells = X.grid(items)
+    records = cells.select("page", "profile", "psm", recognised(F.col("text")).alias("raw_text"))
+    truth = items.filter("item_id % 5 <> 0").select("page", F.col("text").alias("ground_truth"))
+    return X.with_truth(records, truth)
+
+
+_SQL_PROFILE = "CASE profile " + " ".join(f"WHEN '{p}' THEN replace(text, '{a}', '{b}')" for p, (a, b) in _EDITS.items()) + " END"
+_SQL_MODE = "CASE psm WHEN 4 THEN x " + " ".join(f"WHEN {m} THEN replace(x, '{e[0]}', '{e[1]}')" for m, e in _MODE_EDITS.items() if e) + " END"
+_GRID = (
+    "cells AS (SELECT item_id, 'p' || item_id AS page, text, profile, psm FROM benchmark, (VALUES " + ", ".join(f"('{p}')" for p in _EDITS) + ") a(profile), (VALUES (4), (6), (11), (12)) b(psm)), "
+    f"seen AS (SELECT item_id, page, text, profile, psm, {_SQL_MODE} AS raw_text FROM (SELECT *, {_SQL_PROFILE} AS x FROM cells)), "
+    + _pairs("SELECT page || '/' || profile || '/' || psm AS id, text AS truth, raw_text AS predicted FROM seen WHERE item_id % 5 <> 0")
+    + f", {_METRICS}, rec AS MATERIALIZED (SELECT s.page, s.profile, s.psm, m.id IS NOT NULL AS ground_truth_available, cer, wer, sentence_f1, composite_score, sfs FROM seen s LEFT JOIN m ON m.id = s.page || '/' || s.profile || '/' || s.psm)"
+)
+_ORDER = "round(composite_score, 9) DESC, round(sfs, 9) DESC, round(sentence_f1, 9) DESC, round(wer, 9), round(cer, 9), profile, psm"
+_SCORES = ["cer", "wer", "sentence_f1", "composite_score", "sfs"]
+
+
+def _comparable(records: DataFrame) -> DataFrame:
+    """Metrics rounded before they are ranked, so that both engines see the same ties."""
+    return records.withColumns({c: F.round(c, 9) for c in _SCORES})
+
+
+@query(f"WITH RECURSIVE {_GRID}, k AS (SELECT profile, psm, row_number() OVER (ORDER BY round(c, 9) DESC, round(s, 9) DESC, round(f, 9) DESC, round(w, 9), round(r, 9), profile, psm) AS overall_rank FROM (SELECT profile, psm, avg(round(composite_score, 9)) AS c, avg(round(sfs, 9)) AS s, avg(round(sentence_f1, 9)) AS f, avg(round(wer, 9)) AS w, avg(round(cer, 9)) AS r FROM rec WHERE ground_truth_available GROUP BY ALL)) "
+    f"SELECT page, profile, psm, ground_truth_available, {', '.join(f'round({c}, 6) AS {c}' for c in _SCORES)}, CAST(CASE WHEN ground_truth_available THEN row_number() OVER (PARTITION BY page, ground_truth_available ORDER BY {_ORDER}) END AS INTEGER) AS page_rank, CAST(overall_rank AS INTEGER) AS overall_rank FROM rec JOIN k USING (profile, psm)")
+def profile_ranking(spark, sf_dir):
+    records = _comparable(experiment_records(spark, sf_dir))
+    means = _comparable(X.configuration_means(records))
+    ranking = X.overall_ranking(means).select("profile", "psm", "overall_rank")
+    out = X.page_ranks(records).join(F.broadcast(ranking), ["profile", "psm"], "left")
+    return _rounded(out, *_SCORES).select("page", "profile", "psm", "ground_truth_available", *_SCORES, "page_rank", "overall_rank")
+
+
+@query(f"WITH RECURSIVE {_GRID} SELECT profile, psm, count(*) AS evaluated_pages, {', '.join(f'round(avg({c}), 6) AS {c}' for c in _SCORES)} FROM rec WHERE ground_truth_available GROUP BY profile, psm")
+def configuration_means(spark, sf_dir):
+    return _rounded(X.configuration_means(experiment_records(spark, sf_dir)), *_SCORES)
+
+
+# -- classification --------------------------------------------------------------------------
+
+
+def batch_sentences(spark, sf_dir):
+    """Sentences of each conversation as one batch, in turn and sentence order."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(T.sentences(F.col("text"))).alias("k", "sentence"))
+    index = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "k")) - 1
+    return turns.select(F.col("conv_id").cast("string").alias("batch_id"), index.alias("input_index"), "sentence")
+
+
+def rule_responses(inputs: DataFrame) -> DataFrame:
+    """Responses in reverse order; every seventh input is left out and every eleventh comes with a stray copy."""
+    n = F.size(T.tokens(F.col("sentence")))
+    category = F.when(n < 4, "Incomplete").when(F.col("sentence").contains(" and "), "Compound").when(F.col("sentence").contains(" that "), "Complex").otherwise("Simple")
+    answered = inputs.filter("input_index % 7 <> 3").select("batch_id", (-F.col("input_index")).alias("pos"), "sentence", category.alias("category"), F.concat(n.cast("string"), F.lit(" words")).alias("reason"))
+    stray = inputs.filter("input_index % 11 = 5").select("batch_id", (100000 - F.col("input_index")).alias("pos"), F.concat("sentence", F.lit("?")).alias("sentence"), F.lit("Simple").alias("category"), F.lit("stray").alias("reason"))
+    return answered.unionByName(stray)
+
+
+_BATCHES = rf"""
+s AS (SELECT conv_id, turn, unnest(range(0, len(x))) AS k, unnest(x) AS sentence FROM (SELECT conv_id, turn, {_SENTENCES.format("text")} AS x FROM conversations)),
+i AS MATERIALIZED (SELECT CAST(conv_id AS VARCHAR) AS batch_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS INTEGER) AS input_index, sentence FROM s),
+c AS (SELECT *, len({_TOKENS.format("sentence")}) AS n FROM i),
+r AS MATERIALIZED (
+  SELECT batch_id, -input_index AS pos, sentence, CASE WHEN n < 4 THEN 'Incomplete' WHEN contains(sentence, ' and ') THEN 'Compound' WHEN contains(sentence, ' that ') THEN 'Complex' ELSE 'Simple' END AS category, n || ' words' AS reason FROM c WHERE input_index % 7 <> 3
+  UNION ALL SELECT batch_id, 100000 - input_index, sentence || '?', 'Simple', 'stray' FROM i WHERE input_index % 11 = 5),
+io AS (SELECT *, row_number() OVER (PARTITION BY batch_id, sentence ORDER BY input_index) AS occ FROM i),
+ro AS (SELECT *, row_number() OVER (PARTITION BY batch_id, sentence ORDER BY pos) AS occ FROM r)"""
+
+
+@query(f"WITH {_BATCHES} SELECT batch_id, input_index, sentence, category, reason FROM io JOIN ro USING (batch_id, sentence, occ)")
+def batch_match(spark, sf_dir):
+    inputs = batch_sentences(spark, sf_dir)
+    return C.match_responses(inputs, rule_responses(inputs))
+
+
+@query(f"WITH {_BATCHES} SELECT batch_id, input_index, sentence FROM io ANTI JOIN ro USING (batch_id, sentence, occ)")
+def missing_recovery(spark, sf_dir):
+    inputs = batch_sentences(spark, sf_dir)
+    return C.missing_inputs(inputs, rule_responses(inputs)).select("batch_id", "input_index", "sentence")
+
+
+@query(f"WITH {_BATCHES} SELECT batch_id, CAST(pos AS INTEGER) AS pos, sentence, category FROM ro ANTI JOIN io USING (batch_id, sentence, occ)")
+def surplus_responses(spark, sf_dir):
+    inputs = batch_sentences(spark, sf_dir)
+    return C.surplus_responses(inputs, rule_responses(inputs)).select("batch_id", "pos", "sentence", "category")
+
+
+def derived_embedded(primary: DataFrame) -> DataFrame:
+    """Embedded responses from comma-separated parts; the length of a part makes it complete or not."""
+    parts = F.filter(F.split("sentence", ", "), lambda x: x != "")
+    n = lambda x: F.length(x)
+    kind = lambda x: F.when(n(x) % 4 == 0, "Simple").when(n(x) % 4 == 1, "Compound").when(n(x) % 4 == 2, "Complex").otherwise("Compound-Complex")
+    spans = F.transform(parts, lambda x: F.struct(x.alias("text"), (n(x) > 8).alias("is_complete"), F.when(n(x) > 8, kind(x)).alias("category")))
+    whole = F.size(F.filter(spans, lambda s: s.is_complete))
+    status = F.when(whole == 0, "incomplete_only").when((F.size(spans) == 1) & (whole == 1), "single").otherwise("multiple")
+    return primary.select("batch_id", "input_index", F.col("sentence").alias("input_sentence"), status.alias("status"), spans.alias("embedded_spans"), F.lit("by commas").alias("embedded_reason"))
+
+
+def routed(spark, sf_dir):
+    """All sentences put on the embedded route, for the span rules."""
+    rows = batch_sentences(spark, sf_dir).select("*", F.lit("Incomplete").alias("category"), F.lit("routed").alias("reason"))
+    return rows, derived_embedded(rows)
+
+
+_SPANS = rf"""
+s AS (SELECT conv_id, turn, unnest(range(0, len(x))) AS k, unnest(x) AS sentence FROM (SELECT conv_id, turn, {_SENTENCES.format("text")} AS x FROM conversations)),
+i AS (SELECT CAST(conv_id AS VARCHAR) AS batch_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS INTEGER) AS input_index, sentence, list_filter(string_split(sentence, ', '), lambda x: x <> '') AS parts FROM s),
+e AS (SELECT *, list_filter(list_transform(parts, lambda x, j: {{'text': x, 'c': CASE WHEN length(x) > 8 THEN [1, 2, 3, 4][length(x) % 4 + 1] ELSE 0 END, 'j': j}}), lambda x: x.c > 0) AS whole FROM i),
+b AS (SELECT *, CASE WHEN len(whole) = 0 THEN 'incomplete_only' WHEN len(parts) = 1 THEN 'single' ELSE 'multiple' END AS status,
+  list_filter(whole, lambda x: x.c = list_max(list_transform(whole, lambda y: y.c)))[1] AS best FROM e)"""
+
+
+@query(f"WITH {_SPANS} SELECT batch_id, input_index, status, best.text AS span, CASE best.c WHEN 1 THEN 'Simple' WHEN 2 THEN 'Compound' WHEN 3 THEN 'Complex' WHEN 4 THEN 'Compound-Complex' END AS category FROM b")
+def span_argmax(spark, sf_dir):
+    _, embedded = routed(spark, sf_dir)
+    best = C.select_span(F.col("embedded_spans"))
+    return embedded.select("batch_id", "input_index", "status", best.text.alias("span"), best.category.alias("category"))
+
+
+@query(f"""WITH {_SPANS} SELECT batch_id, input_index, CASE WHEN status = 'incomplete_only' THEN 'Incomplete' ELSE CASE best.c WHEN 1 THEN 'Simple' WHEN 2 THEN 'Compound' WHEN 3 THEN 'Complex' ELSE 'Compound-Complex' END END AS final_category,
+CASE WHEN status <> 'incomplete_only' THEN best.text END AS embedded_sentence, 'Classifier: routed Embedded agent: by commas' || CASE WHEN status = 'incomplete_only' THEN ' Outcome: Only incomplete nested content was found.' ELSE '' END AS reason, CAST(NULL AS VARCHAR) AS error,
+CASE WHEN status = 'incomplete_only' THEN 'unresolved' ELSE 'recovered' END AS recovery FROM b""")
+def final_route(spark, sf_dir):
+    primary, embedded = routed(spark, sf_dir)
+    return C.recovery_outcome(C.finalise(primary, embedded)).select("batch_id", "input_index", "final_category", "embedded_sentence", "reason", "error", "recovery")
+
+
+@query()
+def classify_batches(spark, sf_dir):
+    """The whole pipeline with the rule client (Python clients have no SQL form)."""
+    out = C.classify(batch_sentences(spark, sf_dir))
+    return out.withColumn("agent_path", F.array_join("agent_path", ">"))
+
+
+@query("WITH p AS (SELECT o_orderkey, CAST(o_orderkey % 5 + 1 AS INTEGER) AS max_attempts, 0.25::DOUBLE * (o_custkey % 4) AS initial_delay FROM orders), a AS (SELECT *, unnest(range(1, max_attempts)) AS attempt FROM p) SELECT o_orderkey, CAST(attempt AS INTEGER) AS attempt, least(initial_delay * pow(2, attempt - 1), 2.0::DOUBLE) AS delay FROM a")
+def backoff_schedule(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders")
+    policies = orders.select("o_orderkey", (F.col("o_orderkey") % 5 + 1).cast("int").alias("max_attempts"), (F.lit(0.25) * (F.col("o_custkey") % 4)).alias("initial_delay"), F.lit(2.0).alias("multiplier"), F.lit(2.0).alias("max_delay"))
+    return C.backoff_schedule(policies).select("o_orderkey", "attempt", "delay")
+
+
+# -- sources and summaries -------------------------------------------------------------------
+
+
+@query("SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicate_keys(spark, sf_dir):
+    return duplicates(_table(spark, sf_dir, "documents"), "text")
+
+
+@query(r"SELECT page_id, regexp_replace(regexp_extract(regexp_replace(url, '/+$', ''), '([^/]*)$', 1), '(.)\.[^.]+$', '\1') AS stem FROM pages")
+def url_stem(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", stem(F.col("url")).alias("stem"))
+
+
+def _judged(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return _table(spark, sf_dir, "labels").join(docs, "doc_id").select(F.col("quality").cast("string").alias("gold"), F.when(F.col("n_chars") > 1000, "1").otherwise("0").alias("predicted"))
+
+
+_JUDGED = "j AS (SELECT CAST(quality AS VARCHAR) AS gold, CASE WHEN n_chars > 1000 THEN '1' ELSE '0' END AS predicted FROM labels JOIN documents USING (doc_id))"
+
+
+@query(f"WITH {_JUDGED} SELECT gold, count(*) FILTER (WHERE predicted = '0') AS \"0\", count(*) FILTER (WHERE predicted = '1') AS \"1\" FROM j GROUP BY gold")
+def confusion_matrix(spark, sf_dir):
+    return M.confusion_matrix(_judged(spark, sf_dir), "gold", "predicted", ["0", "1"])
+
+
+@query(f"""WITH {_JUDGED}, l AS (SELECT gold AS label FROM j UNION SELECT predicted FROM j) SELECT label, (SELECT count(*) FROM j WHERE gold = label) AS support, (SELECT count(*) FROM j WHERE predicted = label) AS predicted,
+(SELECT count(*) FROM j WHERE gold = label AND predicted = label) AS correct, round((SELECT count(*) FROM j WHERE gold = label AND predicted = label) / nullif((SELECT count(*) FROM j WHERE predicted = label), 0)::DOUBLE, 6) AS precision,
+round((SELECT count(*) FROM j WHERE gold = label AND predicted = label) / nullif((SELECT count(*) FROM j WHERE gold = label), 0)::DOUBLE, 6) AS recall FROM l""")
+def precision_recall(spark, sf_dir):
+    return _rounded(M.precision_recall(_judged(spark, sf_dir), "gold", "predicted"), "precision", "recall")
