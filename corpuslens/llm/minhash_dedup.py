@@ -1,7 +1,7 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles.
 
 A document is the weighted set of its five-word shingles: weight = count in the text times
-1 + log10((1 + N) / (1 + df)), where df counts, over all distinct texts, the texts with a shingle in the
+1 + IDF_WEIGHT * log10((1 + N) / (1 + df)), where df counts, over all distinct texts, the texts with a shingle in the
 same one of FEATURES hashed features (hashed document frequencies have a fixed size at any scale).
 
 * Signatures: for each of BANDS * ROWS hash functions, improved consistent weighted sampling draws
@@ -11,8 +11,8 @@ same one of FEATURES hashed features (hashed document frequencies have a fixed s
 * Bands of ROWS signatures give buckets. Each member is compared with its bucket's smallest document,
   by weighted Jaccard over the whole texts; pairs at THRESHOLD or more are links.
 * Exact way for the rest: members of one bucket that are still in different components are compared
-  with each other too (those that agree in at least half of all samples), so no link between band
-  partners is lost, while a group of thousands of copies needs one comparison a member.
+  with each other too, in blocks and by matrix products, so no link between band partners is lost,
+  while a group of thousands of copies needs one comparison a member.
 * Classes are the connected components, named by their smallest doc_id.
 
 Equal texts are collapsed first. Ids that a later step needs are broadcast if there are at most
@@ -28,11 +28,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.bytes_text import mix64, shingle_hashes, slices, word_hashes
+from corpuslens.llm.bytes_text import bounded_batches, mix64, shingle_hashes, slices, word_hashes
 from corpuslens.llm.components import connected_components
 from corpuslens.llm.tables import SPACE_CHARS, documents
 from corpuslens.plans.scratch import Scratch
@@ -41,6 +42,9 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 3
 FEATURE_BITS = 18
+#: Share of the logarithm in a weight; the passages that a large group of copies has in common keep half of theirs.
+IDF_WEIGHT = 0.5
+BLOCK, COLUMNS = 512, 4_096
 MAX_BROADCAST_IDS = 2_000_000
 _CHUNK = 1 << 15
 
@@ -69,7 +73,7 @@ def feature(hashes: np.ndarray) -> np.ndarray:
 
 
 def inverse_document_frequency(df: np.ndarray, n: int) -> np.ndarray:
-    return 1 + np.log10((1 + n) / (1 + df))
+    return 1 + IDF_WEIGHT * np.log10((1 + n) / (1 + df))
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -185,7 +189,7 @@ def _signer(shared) -> Callable:
                     bands[:, b] = value
             ids = batch.column("id").take(pa.array(some))
             lists = lambda x, width: pa.ListArray.from_arrays(np.arange(0, width * len(some) + 1, width, dtype=np.int32), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([ids, lists(signatures.view(np.int32), BANDS * ROWS), lists(bands.view(np.int64), BANDS)], names=["id", "signature", "bands"])
+            yield pa.RecordBatch.from_arrays([ids, lists(bands.view(np.int64), BANDS)], names=["id", "bands"])
 
     return sign
 
@@ -216,30 +220,94 @@ def _verified(pairs: DataFrame, texts: DataFrame, shared, threshold: float, scra
     return scratch.save(links, "links")
 
 
-def _left_apart(bands: DataFrame, buckets: DataFrame, parts: DataFrame, signatures: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs of one bucket in different components, neither its smallest member, that agree in half of all samples."""
+def jaccard_matrix(texts: pa.Array, idf: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarities of all pairs of a block of texts.
+
+    A shingle that occurs m times is m binary features of equal weight, so sums of minima are
+    products of binary matrices; features are taken COLUMNS at a time.
+    """
+    hashes, counts, offsets = weighted_sets(texts)
+    owner = np.repeat(np.repeat(np.arange(len(texts)), np.diff(offsets)), counts)
+    level = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    repeated = np.repeat(hashes, counts)
+    weight = idf[feature(repeated)]
+    total = np.bincount(owner, weights=weight, minlength=len(texts))
+    with np.errstate(over="ignore"):
+        keys = mix64(repeated + mix64(level.astype(np.uint64)))
+    _, first, column, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(n > 1)
+    place = np.full(len(n), -1)
+    place[shared] = np.arange(len(shared))
+    column = place[column]
+    owner, column = owner[column >= 0], column[column >= 0]
+    least = np.zeros((len(texts), len(texts)))
+    for i in range(0, len(shared), COLUMNS):
+        here = (column >= i) & (column < i + COLUMNS)
+        x = np.zeros((len(texts), min(COLUMNS, len(shared) - i)))
+        x[owner[here], column[here] - i] = 1.0
+        least += (x * weight[first[shared[i : i + COLUMNS]]]) @ x.T
+    most = total[:, None] + total[None, :] - least
+    return np.divide(least, most, out=np.zeros_like(least), where=most > 0)
+
+
+def _block_linker(shared, threshold: float) -> Callable:
+    def link(group: pd.DataFrame) -> pd.DataFrame:
+        """Links between components of one block pair, one for each two components that they join."""
+        similar = jaccard_matrix(pa.array(group["text"], pa.large_string()), shared.value) >= threshold
+        parts, ids, left = group["component"].to_numpy(), group["id"].to_numpy(), group["left"].to_numpy()
+        similar &= (parts[:, None] != parts[None, :]) & left[:, None]
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        links = []
+        for i, j in zip(*np.nonzero(similar), strict=True):
+            a, b = find(int(parts[i])), find(int(parts[j]))
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                links.append((int(ids[i]), int(ids[j])))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return link
+
+
+def _links_left_apart(bands: DataFrame, buckets: DataFrame, parts: DataFrame, texts: DataFrame, shared, threshold: float, scratch: Scratch) -> DataFrame:
+    """Links between members of one bucket in different components, its smallest member aside.
+
+    The members outside the bucket's largest component (strays) are compared with each other and with all
+    others, in blocks of about BLOCK members; a group returns at most one link for two components.
+    """
     inside = bands.join(buckets.select(F.col("band").alias("k"), "least"), F.col("band") == F.col("k")).filter("id <> least").select("band", "id")
     placed = scratch.save(inside.join(parts, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("component", "id").alias("component")), "placed")
     by_part = placed.groupBy("band", "component").count()
-    mixed = by_part.groupBy("band").agg(F.max(F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    mixed = scratch.save(mixed.select(F.col("band").alias("k"), F.col("main.component").alias("main")), "mixed")
-    members = scratch.save(placed.join(mixed, F.col("band") == F.col("k")).select("band", "id", "component", "main"), "members")
-    strays = members.filter("component <> main").select(F.col("band").alias("k"), F.col("id").alias("s"), F.col("component").alias("sc"))
-    apart = (F.col("component") != F.col("sc")) & ((F.col("component") == F.col("main")) | (F.col("id") < F.col("s")))
-    pairs = members.join(strays, (F.col("band") == F.col("k")) & apart).select(F.least("id", "s").alias("a"), F.greatest("id", "s").alias("b")).distinct()
-    pairs = scratch.save(pairs, "pairs")
-    wanted = scratch.save(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
-    known = keep_ids(signatures, "id", wanted, "left_semi")
-    both = pairs.join(known.select(F.col("id").alias("ia"), F.col("signature").alias("sa")), F.col("a") == F.col("ia")).join(
-        known.select(F.col("id").alias("ib"), F.col("signature").alias("sb")), F.col("b") == F.col("ib")
+    main = F.max(F.struct("count", "component"))
+    mixed = by_part.groupBy("band").agg(main.alias("main"), F.sum("count").alias("n"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = scratch.save(mixed.select(F.col("band").alias("k"), F.col("main.component").alias("main"), blocks(F.col("n") - F.col("main.count")).alias("strays"), blocks(F.col("main.count")).alias("others")), "mixed")
+    stray = F.col("component") != F.col("main")
+    own = F.pmod(F.xxhash64("id"), F.when(stray, F.col("strays")).otherwise(F.col("others"))).cast("int")
+    members = placed.join(mixed, F.col("band") == F.col("k")).select("band", "id", "component", "strays", "others", stray.alias("left"), own.alias("own"))
+    members = scratch.save(members, "members")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    strays = members.filter("left")
+    pairs = (
+        strays.select("band", "id", "component", "left", "own", numbers("strays").alias("other")).select("band", "id", "component", "left", F.lit(True).alias("both"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        .unionByName(strays.select("band", "id", "component", "left", F.lit(False).alias("both"), F.col("own").alias("i"), numbers("others").alias("j")))
+        .unionByName(members.filter("NOT left").select("band", "id", "component", "left", F.lit(False).alias("both"), numbers("strays").alias("i"), F.col("own").alias("j")))
     )
-    agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
-    return scratch.save(both.filter(agree * 2 >= BANDS * ROWS).select("a", "b"), "apart")
+    wanted = scratch.save(members.select("id").distinct(), "wanted")
+    found = keep_ids(texts, "id", wanted, "left_semi").select(F.col("id").alias("t"), "text")
+    grouped = pairs.join(found, F.col("id") == F.col("t")).groupBy("band", "both", "i", "j")
+    return scratch.save(grouped.applyInPandas(_block_linker(shared, threshold), "a long, b long").distinct(), "apart")
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, kept) for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     scratch = Scratch(spark, "minhash")
     has_word = F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACE_CHARS)) != ""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
@@ -249,18 +317,15 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     copies = scratch.save(copies.select("id").distinct(), "copies")
     distinct = keep_ids(texts.filter(has_word & F.col("id").isNotNull()), "id", copies, "left_anti")
     shared = spark.sparkContext.broadcast(corpus_idf(distinct))
-    signed = scratch.save(distinct.mapInArrow(_signer(shared), "id long, signature array<int>, bands array<long>"), "signed")
-    bands = scratch.save(signed.select("id", F.explode("bands").alias("band")), "bands")
+    bands = scratch.save(distinct.mapInArrow(_signer(shared), "id long, bands array<long>").select("id", F.explode("bands").alias("band")), "bands")
     buckets = scratch.save(bands.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most"), "buckets")
     stars = bands.join(buckets.select(F.col("band").alias("k"), "least"), F.col("band") == F.col("k")).filter("id <> least")
     stars = scratch.save(stars.select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     links = _verified(stars, distinct, shared, threshold, scratch)
     parts = scratch.save(connected_components(links, scratch), "parts")
-    apart = _left_apart(bands, buckets, parts, signed.select("id", "signature"), scratch)
-    if not apart.isEmpty():
-        more = _verified(apart, distinct, shared, threshold, scratch)
-        if not more.isEmpty():
-            parts = scratch.save(connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch), "parts")
+    more = _links_left_apart(bands, buckets, parts, distinct, shared, threshold, scratch)
+    if not more.isEmpty():
+        parts = scratch.save(connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch), "parts")
     named = classes.join(parts, F.col("least") == F.col("node"), "left").select(F.col("key").alias("k"), F.coalesce("component", "least").alias("class"))
     named = scratch.save(named, "named")
     out = rows.join(named, F.col("key") == F.col("k"), "left").select(F.col("id").alias("doc_id"), F.coalesce("class", "id").alias("class_id"))
