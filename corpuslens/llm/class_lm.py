@@ -11,7 +11,7 @@ A text is its words, lower-cased A-Z, and one end token. Counts are taken over a
   towards class frequencies with TRANSITION_PRIOR pseudo-counts; emissions add 1/2 to each word of a
   class and to one unknown word.
 * Scoring: classes depend on a word alone, so transitions are summed where the text is. The counts of
-  the HEAD most frequent words are broadcast (a fixed size); rarer words of a text go to the full
+  the most frequent words (at most HEAD) are broadcast; rarer words of a text go to the full
   vocabulary by a join on the hash, in which no key is frequent, and come back as one sum per text.
 
 The base score is the unigram model with 1/2 added to each word. Both scores are sums of log10
@@ -227,12 +227,25 @@ class ClassModel:
     log_base_total: float
 
 
+def _head_threshold(vocabulary: DataFrame) -> int:
+    """Least count that at most HEAD words reach, to seven significant bits: a histogram instead of a global sort."""
+    step = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin("n")) - 7, F.lit(0)))
+    bins = vocabulary.groupBy((F.floor(F.col("n") / step).cast("long") * step).alias("least")).count().collect()  # at most 64 rows an octave
+    total, threshold = 0, 1 << 62
+    for r in sorted(bins, key=lambda r: -r["least"]):
+        total += r["count"]
+        if total > HEAD:
+            break
+        threshold = r["least"]
+    return threshold
+
+
 def train(texts: DataFrame, scratch: Scratch) -> tuple[ClassModel, DataFrame, int]:
     """Model, vocabulary table (h, bundle, n) and N, from all texts given."""
     spark = texts.sparkSession
     vocabulary = texts.select("text").mapInArrow(_count_words, "h long, bundle int, n long").groupBy("h", "bundle").agg(F.sum("n").alias("n"))
     vocabulary = scratch.save(vocabulary, "vocabulary")
-    top = vocabulary.orderBy(F.desc("n"), "h").limit(HEAD).toPandas()
+    top = vocabulary.filter(F.col("n") >= _head_threshold(vocabulary)).toPandas().sort_values(["n", "h"], ascending=[False, True], ignore_index=True)
     head = Head(top)
     shared = spark.sparkContext.broadcast(head)
     slices_ = texts.select("text").mapInArrow(_count_bigrams(shared), "slice int, cell binary, n binary").groupBy("slice").applyInArrow(_add_up, "cell binary, n binary").collect()
