@@ -16,8 +16,8 @@ group, so a crowded list is many small tasks. A group returns a link count for e
 spanning forest of its links, never all pairs. Equal vectors are collapsed first and counted by
 their number, so copies cost nothing.
 
-The model (centroids, codebooks) is fitted on at most FIT_ROWS vectors with the smallest md5 of
-their id, and has a fixed size; the number of lists grows with the square root of the row count up to
+The model (centroids, codebooks) is fitted on a bounded sample: the share of the vectors, by a hash of
+the id, that makes FIT_ROWS expected (all if there are fewer). It has a fixed size; the number of lists grows with the square root of the row count up to
 MAX_LISTS. Every vector is indexed.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm.components import connected_components
-from corpuslens.llm.tables import table
+from corpuslens.llm.tables import table, uniform
 from corpuslens.plans.scratch import Scratch
 
 THRESHOLD = 0.9
@@ -189,7 +189,7 @@ def near_duplicate_vectors(df: DataFrame, id_column: str = "vec_id", vector_colu
     n, width = classes.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     if n:
         width = -(-width // SUBSPACES) * SUBSPACES
-        sample = classes.select("id", "v").orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(FIT_ROWS).toPandas()
+        sample = classes.filter(uniform(F.col("id"), "fit") < min(1.0, FIT_ROWS / n)).select("id", "v").toPandas().sort_values("id")
         links, edges = _links(spark, scratch, classes, _fit(sample, width, n), threshold)
         parts = connected_components(edges, scratch)
     else:
