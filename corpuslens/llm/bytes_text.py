@@ -151,7 +151,7 @@ def shingle_hashes(words: Words, size: int) -> Words:
     with np.errstate(over="ignore"):
         factors = mix64(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
         total = np.zeros(n, np.uint64)
-        for j in range(size):
+        for j in range(min(size, n)):
             total[: n - j] += words.hashes[j:] * factors[j]
         per_text = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
         short = np.flatnonzero((counts > 0) & (counts < size))

@@ -176,6 +176,8 @@ def identify(evidence: DataFrame, fit_texts: int = FIT_TEXTS) -> DataFrame:
     model = fit_text_model(evidence, fit_texts)
     names = model.languages
     languages = names[:-1]
+    if not languages:
+        return evidence.withColumns({"text_lang": F.lit("und"), "lang_id": F.lit("und"), "posterior": F.lit(0.0), "kept": F.lit(False)})
     score = _text_evidence(spark, model)
     scored = evidence.withColumn("__ll", score(F.col("text")))
     by_text = [F.get("__ll", F.lit(i)) for i in range(len(names))]

@@ -313,7 +313,8 @@ class WarcReader(DataSourceReader):
 
     def pushFilters(self, filters):
         for f in filters:
-            column = f.attribute[0] if len(f.attribute) == 1 else None
+            path = getattr(f, "attribute", ())
+            column = path[0] if len(path) == 1 else None
             if column in HEADER_COLUMNS and isinstance(f, IsNotNull):
                 self.predicates.append((column, ("notnull", None)))
             elif column in HEADER_COLUMNS and type(f) in _PUSHED:
