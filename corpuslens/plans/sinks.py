@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import struct
+import zlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from corpuslens.errors import ProfileExecutionError
 from corpuslens.operators.experiment import MODES, PROFILES, configuration_means, overall_ranking
 from corpuslens.operators.lines import page_payload
 from corpuslens.operators.metrics import evaluate, format_report, macro_average, require_samples
-from corpuslens.sources.json_files import load_samples
+from corpuslens.sources.json_files import load_samples, stem
 
 
 def write_pages(pages: DataFrame, path: str) -> None:
@@ -29,6 +31,30 @@ def write_page_file(pages: DataFrame, path: str) -> None:
         f.write(json.dumps(json.loads(row["json"]), ensure_ascii=False, indent=2) + "\n")
 
 
+def png(data: bytes, height: int, width: int) -> bytes:
+    """A grey 8-bit PNG file."""
+    rows = b"".join(b"\0" + data[i * width : (i + 1) * width] for i in range(height))
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def write_profile_images(made: DataFrame, uri: str) -> None:
+    """One PNG per row of preprocess_images, named page_profile.png, written by the executors to a shared URI."""
+    rows = made.filter("error IS NULL").select(F.concat_ws("_", stem(F.col("origin")), "profile").alias("name"), "height", "width", "data")
+
+    def save(partition) -> None:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(uri)
+        store.create_dir(root, recursive=True)
+        for r in partition:
+            with store.open_output_stream(f"{root}/{r['name']}.png") as f:
+                f.write(png(bytes(r["data"]), r["height"], r["width"]))
+
+    rows.foreachPartition(save)
+
+
 def write_experiment(records: DataFrame, path: str, threshold: float) -> None:
     """records as JSON lines and CSV folders, and a small results.json with the ranking."""
     try:

@@ -8,6 +8,8 @@ from pyspark import cloudpickle
 
 from corpuslens import cli
 from corpuslens.errors import ConfigurationError, EngineNotFoundError, EngineNotInstalledError, EvaluationInputError, ImageLoadError, ProfileInputError, UnsupportedEngineError
+from corpuslens.operators import imaging
+from corpuslens.plans import sinks
 from corpuslens.sources import engines, images, json_files
 from corpuslens.streaming import jobs
 
@@ -104,6 +106,13 @@ def test_recognition_and_experiment_end_to_end(spark, tmp_path):
     assert len(records) == 20 and {r["page_rank"] for r in records} == set(range(1, 21)) and all(r["composite_score"] == 1 for r in records)
 
 
+def test_profile_images_are_written(spark, tmp_path):
+    png(tmp_path / "p.png", 40, 40)
+    made = imaging.preprocess_images(images.load(spark, tmp_path / "p.png"), all_profiles=True)
+    sinks.write_profile_images(made, f"file://{tmp_path}/out")
+    assert images.load(spark, tmp_path / "out").select("image.width", "image.height").distinct().collect() == [(40, 40)] and len(list((tmp_path / "out").iterdir())) == 5
+
+
 def test_cli(spark, tmp_path, capsys):
     assert cli.main(["evaluate", write(tmp_path, [sample(g="hello.", p="hello.")])]) == 0
     assert "MACRO (1) | 0.0000" in capsys.readouterr().out
