@@ -7,7 +7,7 @@ bucket a log ratio; a document's score is the mean log ratio of its features. Th
 trusted documents' mean score minus SPREAD standard deviations, rounded to six decimals, and
 every document is compared with it. Only DataFrame expressions are used and no text is shuffled:
 bucket counts are partially aggregated (BUCKETS rows), and the log ratios travel as one literal
-array of BUCKETS doubles in the plan.
+array of BUCKETS integers in the plan.
 
 The trusted target is a classifier fit on a bounded sample of labelled rows: all documents labelled
 quality 1 and toxic 0 if there are at most MAX_TRUSTED, else the share of them, by a hash of the
@@ -21,15 +21,16 @@ gives no rows; columns other than doc_id and text are passed over.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm.tables import SPACE_CHARS, documents, table, uniform, words
 from corpuslens.plans.scratch import Scratch
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 15
+#: Log ratios are whole multiples of 1/UNITS, so that sums are exact whatever their order.
+UNITS = 1_000
 PAIR_FACTOR = 1_000_003
 SMOOTHING = 1.0
 MAX_TRUSTED = 100_000
@@ -96,8 +97,8 @@ def trusted_ids(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
     return good.filter(uniform(F.col("__id"), "trusted") < share)
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
-    """log P(bucket | trusted) - log P(bucket | raw) for every bucket; trusted: __id, at most about MAX_TRUSTED rows."""
+def log_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
+    """log P(bucket | trusted) - log P(bucket | raw) in units of 1/UNITS, by bucket; trusted: __id, about MAX_TRUSTED rows at most."""
     ids = F.broadcast(trusted.withColumn("__t", F.lit(1).cast("long")))
     counted = (
         docs.select("doc_id", "text")
@@ -105,25 +106,26 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
         .select(F.coalesce("__t", F.lit(0).cast("long")).alias("t"), F.explode(features_of(F.col("text"))).alias("hash"))
         .groupBy((F.col("hash") % BUCKETS).alias("bucket"))
         .agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
-        .collect()  # BUCKETS rows at most
     )
-    raw, target = [0] * BUCKETS, [0] * BUCKETS
-    for r in counted:
-        raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
-    n_raw, n_target = sum(raw), sum(target)
-    if not n_target:
-        return [0.0] * BUCKETS
-    shift = math.log(n_raw + SMOOTHING * BUCKETS) - math.log(n_target + SMOOTHING * BUCKETS)
-    return [math.log(t + SMOOTHING) - math.log(r + SMOOTHING) + shift for t, r in zip(target, raw, strict=True)]
+    # at most BUCKETS rows, as one string of numbers
+    packed = counted.agg(F.array_join(F.flatten(F.collect_list(F.array("bucket", "raw", "target"))), " ")).first()[0]
+    rows = np.array((packed or "").split(), np.int64).reshape(-1, 3)
+    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    raw[rows[:, 0]], target[rows[:, 0]] = rows[:, 1], rows[:, 2]
+    if not target.sum():
+        return np.zeros(BUCKETS, np.int64)
+    log = lambda n: np.log(n + SMOOTHING) - np.log(n.sum() + SMOOTHING * BUCKETS)
+    return np.rint((log(target) - log(raw)) * UNITS).astype(np.int64)
 
 
 def features_of(text: Column) -> Column:
     return let(words(text), features)
 
 
-def mean_log_ratio(ws: Column, ratios: list[float]) -> Column:
-    literal = F.from_json(F.lit("[" + ",".join(map(repr, ratios)) + "]"), "array<double>")
-    found = let(features(ws), lambda fs: F.aggregate(fs, F.lit(0.0), lambda a, f: a + F.get(literal, (f % BUCKETS).cast("int"))) / F.size(fs))
+def mean_log_ratio(ws: Column, ratios: np.ndarray) -> Column:
+    literal = F.from_json(F.lit("[" + ",".join(map(str, ratios.tolist())) + "]"), "array<int>")
+    total = lambda fs: F.aggregate(fs, F.lit(0).cast("long"), lambda a, f: a + F.get(literal, (f % BUCKETS).cast("int")))
+    found = let(features(ws), lambda fs: total(fs) / F.size(fs) / float(UNITS))
     return F.when(F.size(ws) > 0, found).otherwise(F.lit(0.0))
 
 
@@ -164,3 +166,30 @@ def judge(docs: DataFrame, labels: DataFrame, most: int = MAX_TRUSTED, spread: f
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
     out = judge(documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 6).alias("score"))
+
+
+#: The CRC-32 table comes from its generating rule (polynomial 0xEDB88320).
+OP2_SQL = rf"""
+WITH crc AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+tok AS MATERIALIZED (SELECT doc_id, unnest(range(0, len(ws))) AS i, unnest(ws) AS w FROM d),
+u AS (SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT w FROM tok)),
+b AS (SELECT w, list_transform(range(0, len(x) // 2), lambda k: CAST('0x' || substr(x, CAST(2 * k + 1 AS INTEGER), 2) AS BIGINT)) AS bytes FROM u),
+h AS MATERIALIZED (SELECT w, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, y: xor(c >> 8, tab[CAST((xor(c, y) & 255) + 1 AS INTEGER)])), 4294967295) AS h FROM b, crc),
+s AS MATERIALIZED (SELECT doc_id, i, w, h, lead(h) OVER o AS h2, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM tok JOIN h USING (w) WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+f AS MATERIALIZED (SELECT doc_id, h % {BUCKETS} AS k FROM s UNION ALL SELECT doc_id, (h * {PAIR_FACTOR} + h2) % {BUCKETS} FROM s WHERE h2 IS NOT NULL),
+good AS MATERIALIZED (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND coalesce(toxic, 0) = 0),
+n AS (SELECT k, count(*) AS raw, count(good.doc_id) AS target FROM f LEFT JOIN good USING (doc_id) GROUP BY k),
+r AS MATERIALIZED (SELECT k, CASE WHEN (SELECT sum(target) FROM n) = 0 THEN 0 ELSE round({UNITS} * (ln(target + {SMOOTHING}) - ln((SELECT sum(target) FROM n) + {SMOOTHING * BUCKETS})
+  - ln(raw + {SMOOTHING}) + ln((SELECT sum(raw) FROM n) + {SMOOTHING * BUCKETS}))) END AS ratio FROM n),
+z AS MATERIALIZED (SELECT d.doc_id, coalesce(any_value(x.score), 0) AS score FROM d LEFT JOIN (SELECT doc_id, sum(ratio) / count(*) / {UNITS} AS score FROM f JOIN r USING (k) GROUP BY doc_id) x USING (doc_id) GROUP BY d.doc_id),
+cut AS (SELECT coalesce(round(avg(score) - {SPREAD} * stddev_pop(score), 6), 0) AS threshold FROM z JOIN good USING (doc_id)),
+tri AS MATERIALIZED (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w, w2, w3) AS c FROM s WHERE w3 IS NOT NULL),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM tri, (VALUES (0), (1), (2)) v(k) WHERE c > 1 GROUP BY doc_id),
+base AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d) d LEFT JOIN rep USING (doc_id))
+SELECT base.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND score >= threshold AS kept, round(score, 6) AS score FROM base JOIN z USING (doc_id), cut
+"""

@@ -7,7 +7,7 @@ from corpuslens.llm.language_id import op8_language_id, pages_language_id
 from corpuslens.llm.minhash_dedup import op3_minhash_near_dedup
 from corpuslens.llm.mixing import OP6_SQL, op6_mixing
 from corpuslens.llm.packing import OP10_SQL, op10_packing
-from corpuslens.llm.quality import op2_quality_rules
+from corpuslens.llm.quality import OP2_SQL, op2_quality_rules
 from corpuslens.llm.sharding import op5_kd_tree_sharding
 from corpuslens.llm.warc import OP7_SQL, op7_warc
 
@@ -27,6 +27,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_embedding_near_dedup": OP1_SQL,
+    "op2_quality_rules": OP2_SQL,
     "op4_chat_formatting": OP4_SQL,
     "op6_mixing": OP6_SQL,
     "op7_warc": OP7_SQL,
