@@ -245,7 +245,7 @@ def train(texts: DataFrame, scratch: Scratch) -> tuple[ClassModel, DataFrame, in
     spark = texts.sparkSession
     vocabulary = texts.select("text").mapInArrow(_count_words, "h long, bundle int, n long").groupBy("h", "bundle").agg(F.sum("n").alias("n"))
     vocabulary = scratch.save(vocabulary, "vocabulary")
-    top = vocabulary.filter(F.col("n") >= _head_threshold(vocabulary)).toPandas().sort_values(["n", "h"], ascending=[False, True], ignore_index=True)
+    top = vocabulary.filter(F.col("n") >= _head_threshold(vocabulary)).toArrow().to_pandas().sort_values(["n", "h"], ascending=[False, True], ignore_index=True)
     head = Head(top)
     shared = spark.sparkContext.broadcast(head)
     slices_ = texts.select("text").mapInArrow(_count_bigrams(shared), "slice int, cell binary, n binary").groupBy("slice").applyInArrow(_add_up, "cell binary, n binary").collect()

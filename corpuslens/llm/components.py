@@ -28,7 +28,9 @@ def _to_smallest(edges: DataFrame, scratch: Scratch, only_smaller: bool) -> Data
         out = moved.select(F.col("v").alias("a"), F.col("m").alias("b")).union(smallest.select(F.col("k").alias("a"), F.col("m").alias("b")))
     else:
         out = moved.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return scratch.save(out.filter("a <> b").distinct(), "edges")
+    saved = scratch.save(out.filter("a <> b").distinct(), "edges")
+    scratch.drop(edges, smallest)
+    return saved
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:

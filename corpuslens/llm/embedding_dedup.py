@@ -189,7 +189,7 @@ def near_duplicate_vectors(df: DataFrame, id_column: str = "vec_id", vector_colu
     n, width = classes.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     if n:
         width = -(-width // SUBSPACES) * SUBSPACES
-        sample = classes.filter(uniform(F.col("id"), "fit") < min(1.0, FIT_ROWS / n)).select("id", "v").toPandas().sort_values("id")
+        sample = classes.filter(uniform(F.col("id"), "fit") < min(1.0, FIT_ROWS / n)).select("id", "v").toArrow().to_pandas().sort_values("id")
         links, edges = _links(spark, scratch, classes, _fit(sample, width, n), threshold)
         parts = connected_components(edges, scratch)
     else:

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,10 +120,11 @@ def fit_text_model(evidence: DataFrame, fit_texts: int = FIT_TEXTS) -> TextModel
     for r in common:
         share = F.when(F.col("declared") == r["declared"], min(1.0, fit_texts / r["count"])).otherwise(share)
     sample = declared.filter(uniform(F.col("id"), "fit") < share).select("declared", "text")
-    counted = sample.mapInArrow(_count_trigrams, "declared string, bucket int, n long").groupBy("declared", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = sample.mapInArrow(_count_trigrams, "declared string, bucket int, n long").groupBy("declared", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(languages), BUCKETS))
     if len(counted):
-        counts[counted["declared"].map(languages.index).to_numpy(), counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+        row = pa.compute.index_in(counted.column("declared"), value_set=pa.array(languages)).to_numpy()
+        counts[row, counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
     return TextModel(languages, counts)
 
 

@@ -163,11 +163,11 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def corpus_idf(texts: DataFrame) -> np.ndarray:
-    counted = texts.select("text").mapInArrow(_document_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
+    counted = texts.select("text").mapInArrow(_document_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    at, n = (counted.column(c).to_numpy() for c in ("feature", "n"))
     df = np.zeros(1 << FEATURE_BITS)
-    inside = counted["feature"] >= 0
-    df[counted["feature"][inside].to_numpy()] = counted["n"][inside].to_numpy()
-    return inverse_document_frequency(df, int(counted["n"][~inside].sum()))
+    df[at[at >= 0]] = n[at >= 0]
+    return inverse_document_frequency(df, int(n[at < 0].sum()))
 
 
 def _signer(shared) -> Callable:
