@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
-SEGMENT_BYTES = 1 << 20
-BATCH_BYTES = 4 << 20
+SEGMENT_BYTES = 1 << 19
+BATCH_BYTES = 2 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,7 +75,7 @@ def bounded_batches(spark) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with about ``most`` bytes of text each (one row at least)."""
     sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, begin = np.cumsum(sizes), 0
