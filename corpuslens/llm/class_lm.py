@@ -3,16 +3,20 @@
 A text is its words, lower-cased A-Z, and one end token. Counts are taken over all training texts:
 
 * Vocabulary: every task counts its words by 64-bit hash; a partially aggregated group-by sums them.
-* Classes: the ITEMS most frequent words are items of their own and all others are bundled by their
-  last two bytes into BUNDLES items. Item bigrams (a fixed ITEMS + BUNDLES + 1 squared matrix, summed
-  over all training texts by slices) feed exchange clustering on the driver: every item moves to
-  the class that most raises the likelihood of the class bigrams, until a sweep moves none.
-* Probabilities: P(word | history) = P(class | class before) P(word | class). Transitions are smoothed
-  towards class frequencies with TRANSITION_PRIOR pseudo-counts; emissions add 1/2 to each word of a
-  class and to one unknown word.
-* Scoring: classes depend on a word alone, so transitions are summed where the text is. The counts of
-  the most frequent words (at most HEAD) are broadcast; rarer words of a text go to the full
-  vocabulary by a join on the hash, in which no key is frequent, and come back as one sum per text.
+* First classes: the ITEMS most frequent words are items of their own and all others are bundled by
+  their last two bytes into BUNDLES items. Item bigrams (a fixed ITEMS + BUNDLES + 1 squared matrix,
+  summed over all training texts by slices) feed exchange clustering on the driver: every item moves
+  to the class that most raises the likelihood of the class bigrams, until a sweep moves none.
+* Classes of all words: every other word of the full vocabulary moves from its bundle to its own best
+  class, by its counts of first classes before and after it over all training texts (grouped by
+  word in one shuffle) and the gain in likelihood to first order in these counts. One such sweep is made; a
+  bundle's class remains for words that training texts don't have.
+* Probabilities: P(word | history) = P(class | class before) P(word | class), counted with the final
+  classes. Transitions are smoothed towards class frequencies with TRANSITION_PRIOR pseudo-counts;
+  emissions add 1/2 to each word of a class and to one unknown word.
+* Scoring: counts and classes of the most frequent words (at most HEAD) are broadcast; rarer words of
+  a text go to the full class table by a join on the hash, in which no key is frequent, and their
+  classes come back by text. Transitions are summed over the classes of whole texts.
 
 The base score is the unigram model with 1/2 added to each word. Both scores are sums of log10
 over all tokens of the whole text.
@@ -30,6 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +51,9 @@ _ALL = ITEMS + BUNDLES + 1
 _END_ITEM = _ALL - 1
 _END = mix64(np.array([0xE0F], np.uint64))[0]
 _SLICES = 64
-_COUNT_CHUNK = 4 << 20
+_COUNT_CHUNK, _CONTEXT_CHUNK = 4 << 20, 1 << 19
+_END_CLASS, _CLASSES = CLASSES, CLASSES + 1
+_CONTEXTS = 2 * _CLASSES
 
 
 def training(id_column: str) -> Column:
@@ -81,17 +88,16 @@ def tokens_of(column: pa.Array) -> Tokens:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[Tokens] = []
+    held: list[np.ndarray] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        hashes, bundles = np.concatenate([t.hashes for t in held]), np.concatenate([t.bundles for t in held])
-        h, at, n = np.unique(hashes, return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(bundles[at].astype(np.int32)), pa.array(n)], names=["h", "bundle", "n"])
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     for batch in (part for whole in batches for part in slices(whole)):
-        held.append(tokens_of(batch.column("text")))
-        size += len(held[-1].hashes)
+        held.append(tokens_of(batch.column("text")).hashes)
+        size += len(held[-1])
         if size >= _COUNT_CHUNK:
             yield flush()
             held, size = [], 0
@@ -100,7 +106,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Head:
-    """The most frequent words: sorted hashes with their counts and item numbers (-1 beyond ITEMS)."""
+    """The most frequent words: sorted hashes with their counts and item numbers (beyond ITEMS: -1, then _ALL + class)."""
 
     def __init__(self, top: pd.DataFrame):
         hashes = top["h"].to_numpy(np.int64).view(np.uint64)
@@ -215,16 +221,106 @@ def exchange_classes(bigrams: np.ndarray, n_classes: int = CLASSES, sweeps: int
     return cls
 
 
-# -- model -----------------------------------------------------------------------------------
+# -- classes of all words --------------------------------------------------------------------
+
+
+def smoothed_transitions(pairs: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """P(class | class before), smoothed towards class frequencies."""
+    alone = (tokens + 0.5) / (tokens.sum() + 0.5 * len(tokens))
+    return (pairs + TRANSITION_PRIOR * alone[None, :]) / (pairs.sum(1)[:, None] + TRANSITION_PRIOR)
+
+
+def context_gains(pairs: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """What one neighbour adds to a word's gain in each class: rows are classes before, then classes after.
+
+    The likelihood of the class bigrams to first order in the word's count.
+    """
+    log_transition = np.log(smoothed_transitions(pairs, tokens))
+    alone = (tokens + 0.5) / (tokens.sum() + 0.5 * len(tokens))
+    return np.vstack([log_transition - np.log(alone)[None, :], log_transition.T])[:, :CLASSES]
+
+
+def _count_contexts(shared):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per chunk and word that is no item: counts of classes before and after, each packed with its class."""
+        head, classes = shared.value
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            hashes, left, right = (np.concatenate(x) for x in zip(*held, strict=True))
+            words, word = np.unique(hashes, return_inverse=True)
+            cell, n = np.unique(np.concatenate([word * _CONTEXTS + left, word * _CONTEXTS + _CLASSES + right]), return_counts=True)
+            packed = n.astype(np.int64) * _CONTEXTS + cell % _CONTEXTS
+            bounds = np.searchsorted(cell, np.arange(len(words) + 1) * _CONTEXTS).astype(np.int32) * 8
+            contexts = pa.BinaryArray.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(bounds), pa.py_buffer(packed)])
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), contexts], names=["h", "contexts"])
+
+        for batch in (part for whole in batches for part in slices(whole)):
+            if not batch.num_rows:
+                continue
+            t = tokens_of(batch.column("text"))
+            items = head.item(t, head.find(t.hashes))
+            cls = classes[items]
+            at = np.flatnonzero((items >= ITEMS) & (items != _END_ITEM))
+            held.append((t.hashes[at], classes[_before(items, t.offsets)[at]], cls[at + 1]))
+            size += len(at)
+            if size >= _CONTEXT_CHUNK:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
+
+    return count
+
+
+def _assign(shared):
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Count and best class of every word; rows come in the order of h."""
+        gains, closed = shared.value
+
+        def best(h: np.ndarray, packed: np.ndarray) -> pa.RecordBatch:
+            first = np.concatenate([[True], h[1:] != h[:-1]])
+            cell = (np.cumsum(first) - 1) * _CONTEXTS + packed % _CONTEXTS
+            counts = np.bincount(cell, weights=packed // _CONTEXTS, minlength=int(first.sum()) * _CONTEXTS).reshape(-1, _CONTEXTS)
+            cls = (counts @ gains + closed).argmax(1)
+            return pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(counts[:, :_CLASSES].sum(1).astype(np.int64)), pa.array(cls.astype(np.int32))], names=["h", "n", "cls"])
+
+        rest = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for batch in batches:
+            raw, offsets = _bytes_of(batch.column("contexts"))
+            h = np.concatenate([rest[0], np.repeat(batch.column("h").to_numpy(), np.diff(offsets) // 8)])
+            packed = np.concatenate([rest[1], np.frombuffer(raw.tobytes(), np.int64)])
+            if len(h):
+                whole = int(np.searchsorted(h, h[-1]))  # the last word may go on in the next batch
+                rest = (h[whole:], packed[whole:])
+                if whole:
+                    yield best(h[:whole], packed[:whole])
+        if len(rest[0]):
+            yield best(*rest)
+
+    return assign
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a binary array without nulls."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    starts = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw[starts[0] : starts[-1]], starts - starts[0]
 
 
 @dataclass
-class ClassModel:
+class Classes:
     head: Head
-    classes: np.ndarray  # of items
-    log_transition: np.ndarray  # [class before, class]
-    log_emission_total: np.ndarray  # of classes: log10(tokens + (words + 1) / 2)
-    log_base_total: float
+    numbers: np.ndarray  # class of each item, then of each number from _ALL on: the classes themselves
+    assigned: DataFrame  # h, n, cls of every word that is no item
+    threshold: int  # words with this count or more are in the head
+    tokens: np.ndarray  # of each class
+    words: np.ndarray  # of each class
+    n_total: int
+    v_total: int
 
 
 def _head_threshold(vocabulary: DataFrame) -> int:
@@ -240,12 +336,13 @@ def _head_threshold(vocabulary: DataFrame) -> int:
     return threshold
 
 
-def train(texts: DataFrame, scratch: Scratch) -> tuple[ClassModel, DataFrame, int]:
-    """Model, vocabulary table (h, bundle, n) and N, from all texts given."""
+def fit_classes(texts: DataFrame, scratch: Scratch) -> Classes:
+    """A class for every word of all texts given."""
     spark = texts.sparkSession
-    vocabulary = texts.select("text").mapInArrow(_count_words, "h long, bundle int, n long").groupBy("h", "bundle").agg(F.sum("n").alias("n"))
+    vocabulary = texts.select("text").mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     vocabulary = scratch.save(vocabulary, "vocabulary")
-    top = vocabulary.filter(F.col("n") >= _head_threshold(vocabulary)).toArrow().to_pandas().sort_values(["n", "h"], ascending=[False, True], ignore_index=True)
+    threshold = _head_threshold(vocabulary)
+    top = vocabulary.filter(F.col("n") >= threshold).toArrow().to_pandas().sort_values(["n", "h"], ascending=[False, True], ignore_index=True)
     head = Head(top)
     shared = spark.sparkContext.broadcast(head)
     slices_ = texts.select("text").mapInArrow(_count_bigrams(shared), "slice int, cell binary, n binary").groupBy("slice").applyInArrow(_add_up, "cell binary, n binary").collect()
@@ -254,32 +351,34 @@ def train(texts: DataFrame, scratch: Scratch) -> tuple[ClassModel, DataFrame, in
         bigrams[np.frombuffer(r["cell"], np.int32)] = np.frombuffer(r["n"], np.int64)
     bigrams = bigrams.reshape(_ALL, _ALL)
     classes = exchange_classes(bigrams)
-    # distinct words of each item: one for an item word, all that are not item words for a bundle
-    per_bundle = vocabulary.groupBy("bundle").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).collect()  # BUNDLES + 1 rows
-    n_total, v_total = sum(r["n"] for r in per_bundle), sum(r["v"] for r in per_bundle)
-    words = np.zeros(_ALL)
-    for r in per_bundle:
-        words[ITEMS + r["bundle"] if r["bundle"] >= 0 else _END_ITEM] = r["v"]
-    item_rows = top[top["h"].isin(head.hashes[(head.items >= 0) & (head.items < ITEMS)].view(np.int64))]
-    for bundle, count in item_rows["bundle"].value_counts().items():
-        words[ITEMS + bundle] -= count
-    words[: len(item_rows)] = 1
-    k = int(classes.max()) + 1
-    tokens = bigrams.sum(0).astype(np.float64)
-    class_tokens, class_words = np.bincount(classes, weights=tokens, minlength=k), np.bincount(classes, weights=words, minlength=k)
-    one_hot = np.eye(k)[classes]
-    pairs = one_hot.T @ bigrams @ one_hot
-    alone = (class_tokens + 0.5) / (n_total + 0.5 * k)
-    transition = (pairs + TRANSITION_PRIOR * alone[None, :]) / (pairs.sum(1)[:, None] + TRANSITION_PRIOR)
-    model = ClassModel(head, classes, np.log10(transition), np.log10(class_tokens + 0.5 * (class_words + 1)), float(np.log10(n_total + 0.5 * (v_total + 1))))
-    return model, vocabulary, n_total
-
-
-def _score(shared):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row per text (h null) with what is known here, and rows (rid, h, m) for its rarer words."""
-        model: ClassModel = shared.value
-        head = model.head
+    one_hot = np.eye(_CLASSES)[classes]
+    item_tokens = bigrams.sum(0).astype(np.float64)
+    started = np.bincount(classes, weights=item_tokens, minlength=_CLASSES)
+    gains = spark.sparkContext.broadcast((context_gains(one_hot.T @ bigrams @ one_hot, started), np.where(started[:CLASSES] > 0, 0.0, -np.inf)))
+    first = spark.sparkContext.broadcast((head, classes))
+    contexts = texts.select("text").mapInArrow(_count_contexts(first), "h long, contexts binary")
+    assigned = scratch.save(contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_assign(gains), "h long, n long, cls int"), "assigned")
+    found = assigned.filter(F.col("n") >= threshold).select("h", "cls").toArrow()  # at most HEAD rows
+    at = head.find(found.column("h").to_numpy().view(np.uint64))
+    head.items[at] = _ALL + found.column("cls").to_numpy()
+    is_item = (head.items >= 0) & (head.items < ITEMS)
+    own = np.append(classes[head.items[is_item]], _END_CLASS)
+    counts = np.append(head.counts[is_item], item_tokens[_END_ITEM])
+    tokens, words = np.bincount(own, weights=counts, minlength=_CLASSES), np.bincount(own, minlength=_CLASSES).astype(np.float64)
+    words[_END_CLASS] = (head.items == _END_ITEM).sum()
+    for r in assigned.groupBy("cls").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).collect():  # at most CLASSES rows
+        tokens[r["cls"]] += r["n"]
+        words[r["cls"]] += r["v"]
+    return Classes(head, np.append(classes, np.arange(_CLASSES)), assigned, threshold, tokens, words, int(tokens.sum()), int(words.sum()))
+
+
+# -- class sequences -------------------------------------------------------------------------
+
+
+def _sequence(shared):
+    def sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per text (h null) with what is known here, and a row (rid, h, m = place) for each word beyond the head."""
+        head, numbers = shared.value
         rid = TaskContext.get().partitionId() << 40
         log_count = np.log10(head.counts + 0.5)
         for batch in (part for whole in batches for part in slices(whole)):
@@ -288,35 +387,141 @@ def _score(shared):
                 continue
             t = tokens_of(batch.column("text"))
             at = head.find(t.hashes)
-            items = head.item(t, at)
-            cls = model.classes[items]
-            local = model.log_transition[model.classes[_before(items, t.offsets)], cls] - model.log_emission_total[cls]
+            cls = numbers[head.item(t, at)].astype(np.uint8)
             known = at >= 0
-            seen = np.where(known, log_count[np.maximum(at, 0)] if len(log_count) else 0.0, 0.0)
+            seen = np.where(known, log_count[np.maximum(at, 0)] if len(log_count) else 0.0, np.log10(0.5))
             sums = lambda x: np.add.reduceat(x, t.offsets[:-1])
             sizes = np.diff(t.offsets)
             ids = rid + np.arange(n)
             rid += n
-            yield _rows(ids, batch.column("doc_id"), batch.column("held_out"), None, sizes, sums(known.astype(np.int64)), sums(seen) - sizes * model.log_base_total, sums(seen + local))
+            classes = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(t.offsets.astype(np.int32)), pa.py_buffer(cls)])
+            yield _rows(ids, batch.column("doc_id"), batch.column("held_out"), None, sizes, sums(known.astype(np.int64)), sums(seen), classes)
             rare = np.flatnonzero(~known)
             if len(rare):
-                owner = np.repeat(ids, sizes)[rare]
-                order = np.lexsort((t.hashes[rare], owner))
-                o, h = owner[order], t.hashes[rare][order]
-                first = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (h[1:] != h[:-1])]))
-                m = np.diff(np.append(first, len(o)))
-                yield _rows(o[first], None, None, h[first].view(np.int64), m, None, None, None)
+                owner = np.repeat(np.arange(n), sizes)[rare]
+                yield _rows(ids[owner], None, None, t.hashes[rare].view(np.int64), rare - t.offsets[owner], None, None, None)
 
-    return score
+    return sequence
 
 
-_SCORED = "rid long, doc_id long, held_out boolean, h long, m long, known long, base double, score double"
+_SEQUENCE = "rid long, doc_id long, held_out boolean, h long, m long, known long, seen double, classes binary"
 
 
-def _rows(rid, doc_id, held_out, h, m, known, base, score) -> pa.RecordBatch:
+def _rows(rid, doc_id, held_out, h, m, known, seen, classes) -> pa.RecordBatch:
     n = len(rid)
-    made = [(rid, pa.int64()), (doc_id, pa.int64()), (held_out, pa.bool_()), (h, pa.int64()), (m, pa.int64()), (known, pa.int64()), (base, pa.float64()), (score, pa.float64())]
-    return pa.RecordBatch.from_arrays([pa.nulls(n, kind) if x is None else x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in made], names=[c.split(" ")[0] for c in _SCORED.split(", ")])
+    made = [(rid, pa.int64()), (doc_id, pa.int64()), (held_out, pa.bool_()), (h, pa.int64()), (m, pa.int64()), (known, pa.int64()), (seen, pa.float64()), (classes, pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.nulls(n, kind) if x is None else x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in made], names=[c.split(" ")[0] for c in _SEQUENCE.split(", ")])
+
+
+def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Put the classes of words beyond the head into the texts' classes.
+
+    Rows come in the order of rid, each text before its words (m = place, known = class).
+    """
+
+    def texts(doc_id, held_out, m, known, seen, cls, offsets) -> pa.RecordBatch:
+        classes = pa.BinaryArray.from_buffers(pa.binary(), len(m), [None, pa.py_buffer((offsets - offsets[0]).astype(np.int32)), pa.py_buffer(cls[offsets[0] : offsets[-1]].copy())])
+        return pa.RecordBatch.from_arrays([doc_id, held_out, *(pa.array(x) for x in (m, known, seen)), classes], names=[c.split(" ")[0] for c in _FILLED.split(", ")])
+
+    last: pa.RecordBatch | None = None  # its words may go on in the next batch
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        is_text = batch.column("classes").is_valid()
+        whole = batch.filter(is_text).select(["doc_id", "held_out", "m", "known", "seen", "classes"])
+        words = batch.filter(pa.compute.invert(is_text))
+        at = np.cumsum(is_text.to_numpy(zero_copy_only=False))[~is_text.to_numpy(zero_copy_only=False)] - 1
+        if last is not None:
+            whole, at = pa.concat_batches([last, whole]), at + 1
+        n = whole.num_rows
+        raw, offsets = _bytes_of(whole.column("classes"))
+        cls = raw.copy()
+        cls[offsets[at] + words.column("m").to_numpy()] = words.column("known").to_numpy()
+        known = whole.column("known").to_numpy() + np.bincount(at, minlength=n)
+        seen = whole.column("seen").to_numpy() + np.bincount(at, weights=words.column("seen").to_numpy(), minlength=n)
+        done = texts(whole.column("doc_id"), whole.column("held_out"), whole.column("m").to_numpy(), known, seen, cls, offsets)
+        if n > 1:
+            yield done.slice(0, n - 1)
+        last = done.slice(n - 1)
+    if last is not None:
+        yield last
+
+
+_FILLED = "doc_id long, held_out boolean, m long, known long, seen double, classes binary"
+
+
+def class_sequences(rows: DataFrame, fitted: Classes, scratch: Scratch) -> DataFrame:
+    """(doc_id, held_out, m tokens, known of them, sum of log10(count + 1/2), class of each token) for every row."""
+    shared = rows.sparkSession.sparkContext.broadcast((fitted.head, fitted.numbers))
+    made = scratch.save(rows.mapInArrow(_sequence(shared), _SEQUENCE), "sequences")
+    beyond = fitted.assigned.filter(F.col("n") < fitted.threshold).select(F.col("h").alias("k"), "n", "cls")
+    rare = made.filter("h IS NOT NULL").select("rid", "h", "m").join(beyond, F.col("h") == F.col("k"))
+    rare = rare.select("rid", "m", F.col("cls").cast("long").alias("known"), (F.log10(F.col("n") + F.lit(0.5)) - F.log10(F.lit(0.5))).alias("seen"))
+    both = made.filter("h IS NULL").drop("h").unionByName(rare, allowMissingColumns=True)
+    return scratch.save(both.repartition("rid").sortWithinPartitions("rid", F.col("classes").isNull()).mapInArrow(_fill, _FILLED), "filled")
+
+
+# -- model -----------------------------------------------------------------------------------
+
+
+@dataclass
+class ClassModel:
+    head: Head
+    classes: np.ndarray  # of items
+    log_transition: np.ndarray  # [class before, class]
+    log_emission_total: np.ndarray  # of classes: log10(tokens + (words + 1) / 2)
+    log_base_total: float
+
+
+def _class_pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class before, class, offsets) of all tokens; the end token stands before a text."""
+    raw, offsets = _bytes_of(column)
+    cls = raw.astype(np.int64)
+    previous = np.empty_like(cls)
+    previous[1:] = cls[:-1]
+    previous[offsets[:-1]] = _END_CLASS
+    return previous, cls, offsets
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(_CLASSES * _CLASSES, np.int64)
+    for batch in batches:
+        if batch.num_rows:
+            previous, cls, _ = _class_pairs(batch.column("classes"))
+            total += np.bincount(previous * _CLASSES + cls, minlength=len(total))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
+
+
+def fit_model(fitted: Classes, sequences: DataFrame) -> ClassModel:
+    """Transitions and emissions of the final classes; sequences: those of the training texts."""
+    pairs = np.zeros(_CLASSES * _CLASSES)
+    for r in sequences.select("classes").mapInArrow(_count_pairs, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most 49 squared
+        pairs[r["cell"]] = r["n"]
+    transition = smoothed_transitions(pairs.reshape(_CLASSES, _CLASSES), fitted.tokens)
+    return ClassModel(fitted.head, fitted.numbers, np.log10(transition), np.log10(fitted.tokens + 0.5 * (fitted.words + 1)), float(np.log10(fitted.n_total + 0.5 * (fitted.v_total + 1))))
+
+
+def train(texts: DataFrame, scratch: Scratch) -> tuple[ClassModel, DataFrame, int]:
+    """Model, class table (h, n, cls) of the words that are no items, and N, from all texts given."""
+    fitted = fit_classes(texts, scratch)
+    rows = texts.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(False).alias("held_out"))
+    return fit_model(fitted, class_sequences(rows, fitted, scratch)), fitted.assigned, fitted.n_total
+
+
+def _score(shared):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: ClassModel = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            previous, cls, offsets = _class_pairs(batch.column("classes"))
+            local = np.add.reduceat(model.log_transition[previous, cls] - model.log_emission_total[cls], offsets[:-1])
+            m, seen = batch.column("m").to_numpy(), batch.column("seen").to_numpy()
+            made = [pa.array(seen - m * model.log_base_total), pa.array(seen + local)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "held_out", "m", "known")), *made], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    return score
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -325,23 +530,12 @@ def score_texts(docs: DataFrame) -> DataFrame:
     bounded_batches(spark)
     scratch = Scratch(spark, "class-lm")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (~training("doc_id")).alias("held_out"))
-    model, vocabulary, n_total = train(rows.filter(~F.col("held_out")), scratch)
-    shared = spark.sparkContext.broadcast(model)
-    scored = scratch.save(rows.mapInArrow(_score(shared), _SCORED), "scored")
-    counts = vocabulary.select(F.col("h").alias("k"), "n")
-    rare = scored.filter("h IS NOT NULL").select("rid", "h", "m").join(counts, F.col("h") == F.col("k"), "left")
-    n = F.coalesce("n", F.lit(0))
-    back = rare.groupBy("rid").agg(F.sum(F.when(n > 0, F.col("m")).otherwise(0)).alias("more_known"), F.sum(F.col("m") * F.log10(n + F.lit(0.5))).alias("more")).withColumnRenamed("rid", "r")
-    texts = scored.filter("h IS NULL").join(back, F.col("rid") == F.col("r"), "left")
-    return texts.select(
-        "doc_id",
-        "held_out",
-        F.col("m").alias("n_tokens"),
-        (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(n_total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
-    )
+    fitted = fit_classes(rows.filter(~F.col("held_out")), scratch)
+    sequences = class_sequences(rows, fitted, scratch)
+    model = fit_model(fitted, sequences.filter(~F.col("held_out")))
+    shared = spark.sparkContext.broadcast(ClassModel(None, None, model.log_transition, model.log_emission_total, model.log_base_total))
+    scored = sequences.mapInArrow(_score(shared), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(fitted.n_total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op9_class_lm(spark, sf_dir: str) -> DataFrame:

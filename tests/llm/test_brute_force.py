@@ -249,6 +249,30 @@ def test_class_lm_base_and_mass(spark, docs, rows):
         assert m + 0.5 / 10 ** model.log_emission_total[k] == pytest.approx(1)
 
 
+def test_words_beyond_the_items_get_their_own_classes(spark, docs, monkeypatch):
+    rng = random.Random(5)
+    first, second = [f"f{i}" for i in range(600)] * 10, [f"s{i}" for i in range(600)] * 10
+    first += [f"x{i}zz" for i in range(200)] * 3
+    second += [f"y{i}zz" for i in range(200)] * 3
+    rng.shuffle(first)
+    rng.shuffle(second)
+    tokens = [t for pair in zip(first, second, strict=True) for t in pair]
+    texts = spark.createDataFrame([(" ".join(tokens[i : i + 200]),) for i in range(0, len(tokens), 200)], "text string")
+    model, assigned, _ = class_lm.train(texts, Scratch(spark, "lm"))
+    classes = []
+    for letter in "xy":
+        batch = class_lm.tokens_of(pa.array([" ".join(f"{letter}{i}zz" for i in range(200))]))
+        classes.append(model.classes[model.head.item(batch, model.head.find(batch.hashes))][:-1])
+    assert len(set(classes[0]) & set(classes[1])) == 0  # one bundle, but unlike neighbours
+    assert assigned.count() == 1_600 - class_lm.ITEMS
+    # words beyond the head get the same classes through the join
+    whole = {r["doc_id"]: r for r in class_lm.score_texts(docs).collect()}
+    monkeypatch.setattr(class_lm, "HEAD", 1_500)
+    for r in class_lm.score_texts(docs).collect():
+        w = whole[r["doc_id"]]
+        assert r["n_known"] == w["n_known"] and (r["score"], r["base_score"]) == (pytest.approx(w["score"]), pytest.approx(w["base_score"]))
+
+
 def test_exchange_finds_planted_classes():
     rng = np.random.default_rng(0)
     truth = np.arange(41) % 4
