@@ -10,6 +10,12 @@ Evidence for each language l of a text:
 * host: prior of l at the host, smoothed towards the prior of the host's suffix, which is smoothed towards
   the prior of all texts, by grouped aggregation of what the texts alone say.
 
+Every declared language has a model, however many there are. Codes are compared by their primary subtag in lower case
+("EN", "en-GB" and "en_US" are "en"); "und" and empty codes are no declaration. The one minimum: a code
+whose sampled texts have fewer than MIN_TRIGRAMS trigrams in all has no model and is no evidence. Models
+are sparse (about 12 bytes per bucket that occurs) and are laid out one language at a time, so memory on the driver and in
+each worker grows with what the languages' samples hold; time grows with the number of languages.
+
 The trigram models are classifiers fitted on a bounded sample of labelled rows: of each declared
 language, the share of texts, by a hash of the id, that makes FIT_TEXTS expected (all if there are
 fewer); host counts cover all rows. A text is kept if its best language is not
@@ -38,7 +44,8 @@ from corpuslens.plans.scratch import Scratch
 
 BUCKETS = 1 << 16
 FIT_TEXTS = 2_000
-MAX_LANGUAGES = 64
+MIN_TRIGRAMS = 20
+_COUNT_CHUNK = 2 << 20
 EFFECTIVE = 200.0
 #: Share of a uniform model in each language's trigram model, for numbers, names and markup in its texts.
 UNIFORM_SHARE = 0.2
@@ -48,6 +55,10 @@ PRIOR_STRENGTH = 20.0
 MIN_POSTERIOR = 0.5
 #: Host tables up to this many rows are broadcast; larger ones are joined with salted hosts.
 MAX_BROADCAST_HOSTS = 50_000
+#: Beyond so many languages a host's row is wider, and fewer hosts are broadcast.
+HOST_WIDTH = 64
+#: Likelihoods in one Arrow batch at most.
+BATCH_VALUES = 2 << 20
 SALTS = 32
 #: Address suffixes and first path segments that name a language.
 SUFFIX_LANGUAGE = {
@@ -73,27 +84,50 @@ def trigram_buckets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bucket[inside[:-2]], starts
 
 
+def primary_code(declared: Column) -> Column:
+    """Primary subtag in lower case; null if nothing is declared."""
+    code = F.regexp_extract(F.lower(declared), r"^\s*([^\s_-]+)", 1)
+    return F.when(~code.isin("", "und"), code)
+
+
 def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals: dict[str, np.ndarray] = {}
+    """Counts by language number * BUCKETS + bucket."""
+    held: list[np.ndarray] = []
+
+    def flush() -> pa.RecordBatch:
+        cell, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n.astype(np.int64))], names=["cell", "n"])
+
     for batch in (part for whole in batches for part in slices(whole)):
-        languages = np.array(batch.column("declared").to_pylist(), dtype=object)
-        for language in set(languages):
-            chosen = batch.column("text").filter(pa.array(languages == language))
-            bucket, _ = trigram_buckets(chosen)
-            totals[language] = totals.get(language, 0) + np.bincount(bucket, minlength=BUCKETS)
-    for language, total in totals.items():
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([language] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], names=["declared", "bucket", "n"])
+        bucket, starts = trigram_buckets(batch.column("text"))
+        held.append(np.repeat(batch.column("at").to_numpy().astype(np.int64), np.diff(starts)) * BUCKETS + bucket)
+        if sum(map(len, held)) >= _COUNT_CHUNK:
+            yield flush()
+            held = []
+    if held:
+        yield flush()
 
 
 class TextModel:
-    """Log probabilities of trigram buckets by language, "und" (uniform) last."""
+    """Log probabilities of trigram buckets by language, "und" (uniform) last; only buckets that occur are held."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
-        smooth = counts + 0.5
-        table = np.log((1 - UNIFORM_SHARE) * smooth / smooth.sum(1)[:, None] + UNIFORM_SHARE / BUCKETS)
+    def __init__(self, languages: list[str], cells: np.ndarray, n: np.ndarray):
+        """cells: language number * BUCKETS + bucket, sorted, with counts n."""
         self.languages = [*languages, "und"]
-        self.table = np.vstack([table, np.full((1, BUCKETS), -math.log(BUCKETS))]).astype(np.float64)
+        cuts = np.searchsorted(cells, np.arange(len(languages) + 1) * BUCKETS)
+        self.buckets, self.values, self.floors = [], [], []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            log = lambda smooth, total=n[a:b].sum() + 0.5 * BUCKETS: np.log((1 - UNIFORM_SHARE) * smooth / total + UNIFORM_SHARE / BUCKETS)
+            self.buckets.append((cells[a:b] % BUCKETS).astype(np.int32))
+            self.values.append(log(n[a:b] + 0.5))
+            self.floors.append(float(log(0.5)))
+
+    def _rows(self) -> Iterator[np.ndarray]:
+        for bucket, value, floor in zip(self.buckets, self.values, self.floors, strict=True):
+            row = np.full(BUCKETS, floor)
+            row[bucket] = value
+            yield row
+        yield np.full(BUCKETS, -math.log(BUCKETS))
 
     def log_likelihoods(self, column: pa.Array) -> pa.Array:
         """array<double> per text: tempered log likelihood of each language; null without trigrams."""
@@ -101,31 +135,37 @@ class TextModel:
         n = np.diff(starts)
         out = np.zeros((len(column), len(self.languages)))
         some = np.flatnonzero(n)
-        for i in range(0, len(some), 256):
-            texts = some[i : i + 256]
-            a, b = starts[texts[0]], starts[texts[-1] + 1]
-            for k, row in enumerate(self.table):
-                out[texts, k] = np.add.reduceat(row[bucket[a:b]], starts[texts] - a)
+        if len(some):
+            for k, row in enumerate(self._rows()):
+                out[some, k] = np.add.reduceat(row[bucket], starts[some])
         out /= np.maximum(n, 1)[:, None]
         out *= (n / (1 + n / EFFECTIVE))[:, None]
         width = len(self.languages)
         return pa.ListArray.from_arrays(np.arange(0, width * len(n) + 1, width, dtype=np.int32), pa.array(out.ravel()), mask=pa.array(n == 0))
 
 
+def _place(names: list[str], said: Column) -> Column:
+    """Number of a name, -1 if it isn't one of them, null for null."""
+    return (F.array_position(F.array(*[F.lit(x) for x in names]), said) - 1).cast("int")
+
+
 def fit_text_model(evidence: DataFrame, fit_texts: int = FIT_TEXTS) -> TextModel:
-    declared = evidence.filter("declared IS NOT NULL AND text IS NOT NULL").select("id", "declared", "text")
-    common = declared.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r["declared"] for r in common)
-    share = F.lit(0.0)
-    for r in common:
-        share = F.when(F.col("declared") == r["declared"], min(1.0, fit_texts / r["count"])).otherwise(share)
-    sample = declared.filter(uniform(F.col("id"), "fit") < share).select("declared", "text")
-    counted = sample.mapInArrow(_count_trigrams, "declared string, bucket int, n long").groupBy("declared", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((len(languages), BUCKETS))
-    if len(counted):
-        row = pa.compute.index_in(counted.column("declared"), value_set=pa.array(languages)).to_numpy()
-        counts[row, counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
-    return TextModel(languages, counts)
+    declared = evidence.filter("text IS NOT NULL").select("id", primary_code(F.col("declared")).alias("declared"), "text").filter("declared IS NOT NULL")
+    found = sorted(declared.groupBy("declared").count().collect(), key=lambda r: r["declared"])
+    if not found:
+        return TextModel([], np.zeros(0, np.int64), np.zeros(0, np.int64))
+    languages = [r["declared"] for r in found]
+    shares = F.array(*[F.lit(min(1.0, fit_texts / r["count"])) for r in found])
+    numbered = declared.withColumn("at", _place(languages, F.col("declared")))
+    sample = numbered.filter(uniform(F.col("id"), "fit") < F.get(shares, F.col("at"))).select("at", "text")
+    counted = sample.mapInArrow(_count_trigrams, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells, n = (counted.column(c).to_numpy() for c in ("cell", "n"))
+    order = np.argsort(cells)
+    cells, n = cells[order], n[order]
+    enough = np.bincount(cells // BUCKETS, weights=n, minlength=len(languages)) >= MIN_TRIGRAMS
+    keep = enough[cells // BUCKETS]
+    number = np.cumsum(enough) - 1
+    return TextModel([x for x, e in zip(languages, enough, strict=True) if e], number[cells[keep] // BUCKETS] * BUCKETS + cells[keep] % BUCKETS, n[keep])
 
 
 def _text_evidence(spark, model: TextModel) -> object:
@@ -139,35 +179,36 @@ def _text_evidence(spark, model: TextModel) -> object:
     return score
 
 
-def _agreement(said: Column, languages: list[str], agrees: float) -> list[Column]:
-    """log P(what is said | language) for each language and "und"."""
-    known = len(languages)
+def _agreement(said: Column, at: Column, known: int, agrees: float) -> Column:
+    """log P(what is said | language) for language number at; said: number of the language, none if it is null or -1."""
     rest = math.log((1 - agrees) / max(1, known - 1)) if known > 1 else 0.0
-    even = -math.log(max(1, known))
-    heard = said.isin(languages)
-    return [F.when(heard, F.when(said == x, math.log(agrees)).otherwise(rest)).otherwise(0.0) for x in languages] + [F.when(heard, even).otherwise(0.0)]
+    return F.when(said >= 0, F.when(at == known, -math.log(max(1, known))).when(at == said, math.log(agrees)).otherwise(rest)).otherwise(0.0)
 
 
-def _arg_max(scores: list[Column], names: list[str]) -> Column:
-    best = F.greatest(*[F.struct(s.alias("s"), F.lit(-i).alias("i"), F.lit(x).alias("x")) for i, (s, x) in enumerate(zip(scores, names, strict=True))])
-    return best.x
+def _arg_max(scores: Column, names: list[str]) -> Column:
+    """Name of the greatest score, the first of equals."""
+    return F.get(F.array(*[F.lit(x) for x in names]), (F.array_position(scores, F.array_max(scores)) - 1).cast("int"))
 
 
 def host_priors(scored: DataFrame, languages: list[str], scratch: Scratch) -> tuple[DataFrame, list[float]]:
     """host -> log priors, smoothed host -> suffix -> all; counts are what the texts alone say."""
     counts = scored.filter("text_lang <> 'und'").groupBy("host", "suffix", "text_lang").count()
-    per = lambda *by: counts.groupBy(*by).agg(*[F.sum(F.when(F.col("text_lang") == x, F.col("count")).otherwise(0)).cast("double").alias(f"n{i}") for i, x in enumerate(languages)])
-    counts = scratch.save(counts, "counts")
-    k, span = len(languages), range(len(languages))
-    overall = per().select(*[F.coalesce(f"n{i}", F.lit(0.0)).alias(f"n{i}") for i in span]).first()
-    total = sum(overall) + k
-    top = [(overall[i] + 1) / total for i in span]
-    suffixes = per("suffix").select(F.col("suffix").alias("sx"), sum((F.col(f"n{i}") for i in span), F.lit(0.0)).alias("all"), *[F.col(f"n{i}").alias(f"s{i}") for i in span])
-    suffixes = suffixes.select("sx", *[((F.col(f"s{i}") + PRIOR_STRENGTH * top[i]) / (F.col("all") + PRIOR_STRENGTH)).alias(f"s{i}") for i in span])
+    counts = scratch.save(counts.select("host", "suffix", _place(languages, F.col("text_lang")).alias("at"), F.col("count").cast("double").alias("n")), "counts")
+    k = len(languages)
+
+    def per(*by: str) -> DataFrame:
+        """n by language number as a map, and the sum of all."""
+        each = counts.groupBy(*by, "at").agg(F.sum("n").alias("n"))
+        return each.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("by_language"), F.sum("n").alias("all"))
+
+    overall = {r["at"]: r["n"] for r in counts.groupBy("at").agg(F.sum("n").alias("n")).collect()}  # a row a language
+    total = sum(overall.values()) + k
+    top = [(overall.get(i, 0.0) + 1) / total for i in range(k)]
+    smoothed = lambda towards: F.transform(towards, lambda p, i: (F.coalesce(F.try_element_at("by_language", i), F.lit(0.0)) + PRIOR_STRENGTH * p) / (F.col("all") + PRIOR_STRENGTH))
+    suffixes = per("suffix").select(F.col("suffix").alias("sx"), smoothed(F.array(*[F.lit(t) for t in top])).alias("of_suffix"))
     hosts = per("host", "suffix").filter("host IS NOT NULL").join(suffixes, F.col("suffix").eqNullSafe(F.col("sx")))
-    all_here = sum((F.col(f"n{i}") for i in span), F.lit(0.0))
-    fused = [F.log((F.col(f"n{i}") + PRIOR_STRENGTH * F.col(f"s{i}")) / (all_here + PRIOR_STRENGTH)) for i in span]
-    return scratch.save(hosts.select(F.col("host").alias("__host"), F.col("suffix").alias("__suffix"), F.array(*fused).alias("__prior")), "hosts"), [math.log(t) for t in top]
+    fused = F.transform(smoothed(F.col("of_suffix")), lambda p: F.log(p))
+    return scratch.save(hosts.select(F.col("host").alias("__host"), F.col("suffix").alias("__suffix"), fused.alias("__prior")), "hosts"), [math.log(t) for t in top]
 
 
 def identify(evidence: DataFrame, fit_texts: int = FIT_TEXTS) -> DataFrame:
@@ -180,31 +221,38 @@ def identify(evidence: DataFrame, fit_texts: int = FIT_TEXTS) -> DataFrame:
     languages = names[:-1]
     if not languages:
         return evidence.withColumns({"text_lang": F.lit("und"), "lang_id": F.lit("und"), "posterior": F.lit(0.0), "kept": F.lit(False)})
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    most = max(1, BATCH_VALUES // len(names))
+    if rows <= 0 or rows > most:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(most))
     score = _text_evidence(spark, model)
     scored = evidence.withColumn("__ll", score(F.col("text")))
-    by_text = [F.get("__ll", F.lit(i)) for i in range(len(names))]
-    scored = scored.withColumn("text_lang", F.when(F.col("__ll").isNull(), "und").otherwise(_arg_max(by_text, names)))
+    scored = scored.withColumn("text_lang", F.when(F.col("__ll").isNull(), "und").otherwise(_arg_max(F.col("__ll"), names)))
     hosts, overall = host_priors(scored.select("host", "suffix", "text_lang"), languages, scratch)
     same = (F.col("host") == F.col("__host")) & F.col("suffix").eqNullSafe(F.col("__suffix"))
-    if hosts.count() <= MAX_BROADCAST_HOSTS:
+    if hosts.count() * max(1.0, len(languages) / HOST_WIDTH) <= MAX_BROADCAST_HOSTS:
         joined = scored.join(F.broadcast(hosts), same, "left")
     else:
         salted = hosts.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
         joined = scored.withColumn("__s", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("__s") == F.col("__salt")), "left").drop("__s", "__salt")
-    prior = [F.coalesce(F.get("__prior", F.lit(i)), F.lit(overall[i])) + math.log(1 - UND_PRIOR) for i in range(len(languages))] + [F.lit(math.log(UND_PRIOR))]
-    declared = _agreement(F.col("declared"), languages, DECLARED_AGREES)
-    suffix = _agreement(F.element_at(F.create_map(*[F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv]), F.col("suffix")), languages, SUFFIX_AGREES)
-    fused = F.array(*[t + d + s + p for t, d, s, p in zip(by_text, declared, suffix, prior, strict=True)])
-    judged = joined.withColumn("__f", fused)
-    at = [F.get("__f", F.lit(i)) for i in range(len(names))]
+    k = len(languages)
+    overall_prior = F.array(*[F.lit(p) for p in overall])
+    by_suffix = F.element_at(F.create_map(*[F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv]), F.col("suffix"))
+    joined = joined.withColumns({"__declared": _place(languages, primary_code(F.col("declared"))), "__by_suffix": _place(languages, by_suffix)})
+
+    def fuse(t: Column, i: Column) -> Column:
+        prior = F.when(i == k, math.log(UND_PRIOR)).otherwise(F.coalesce(F.get("__prior", i), F.get(overall_prior, i)) + math.log(1 - UND_PRIOR))
+        return t + _agreement(F.col("__declared"), i, k, DECLARED_AGREES) + _agreement(F.col("__by_suffix"), i, k, SUFFIX_AGREES) + prior
+
+    judged = joined.withColumn("__f", F.transform("__ll", fuse))
     most = F.array_max("__f")
     posterior = 1 / F.aggregate("__f", F.lit(0.0), lambda a, x: a + F.exp(x - most))
     no_text = F.col("__ll").isNull()
     return (
-        judged.withColumn("lang_id", F.when(no_text, "und").otherwise(_arg_max(at, names)))
+        judged.withColumn("lang_id", F.when(no_text, "und").otherwise(_arg_max(F.col("__f"), names)))
         .withColumn("posterior", F.when(no_text, 0.0).otherwise(posterior))
         .withColumn("kept", (F.col("lang_id") != "und") & (F.col("posterior") >= MIN_POSTERIOR))
-        .drop("__ll", "__f", "__host", "__suffix", "__prior")
+        .drop("__ll", "__f", "__host", "__suffix", "__prior", "__declared", "__by_suffix")
     )
 
 

@@ -320,6 +320,20 @@ def test_language_evidence_is_fused(spark):
         language_id.MAX_BROADCAST_HOSTS = salted
 
 
+def test_every_declared_language_is_modelled(spark):
+    rng = random.Random(8)
+    codes = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqrst"]
+    texts = []
+    for c in codes:
+        alphabet = rng.sample("abcdefghijklmnopqrstuvwxyz", 9)
+        lexicon = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(3, 8))) for _ in range(40)]
+        texts += [(c, " ".join(rng.choice(lexicon) for _ in range(80))) for _ in range(4)]
+    told = [(i, t, None if i % 4 == 3 else (c, c.upper(), f"{c}-GB")[i % 4], "h", c) for i, (c, t) in enumerate(texts)]
+    frame = spark.createDataFrame(told, "id long, text string, declared string, host string, truth string").withColumn("suffix", F.lit(None).cast("string"))
+    rows = language_id.identify(frame).collect()
+    assert len(rows) == 320 and all(r["lang_id"] == r["truth"] and r["kept"] for r in rows)
+
+
 def test_trees(spark):
     schema = "conv_id long, node long, parent long, role string, text string, score double"
     rows = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "a", 1.0), (1, 3, 1, "assistant", "b", 5.0), (1, 4, 3, "user", "c", 0.0), (1, 5, 4, "assistant", "d", -9.0), (2, 1, 2, "u", "loop", 0.0), (2, 2, 1, "u", "loop", 0.0)]
