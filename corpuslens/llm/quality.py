@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from corpuslens.llm.tables import SPACE_CHARS, documents, table, uniform, words
 from corpuslens.plans.scratch import Scratch
 
-BUCKETS = 1 << 15
+BUCKETS = 1 << 16
 #: Log ratios are whole multiples of 1/UNITS, so that sums are exact whatever their order.
 UNITS = 1_000
 PAIR_FACTOR = 1_000_003

@@ -87,6 +87,11 @@ def test_quality_by_hand(spark, docs, rows):
         assert r["base_failed"] == failed and r["kept"] == (not failed and r["score"] >= r["threshold"])
 
 
+def test_quality_feature_space():
+    assert quality.BUCKETS == 65_536
+
+
+
 def components(nodes, links):
     up = {n: n for n in nodes}
 
