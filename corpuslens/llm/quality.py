@@ -5,13 +5,12 @@ a word and PAIR_FACTOR * (first word's CRC-32) + (second word's). Two
 multinomials over the buckets, one from trusted documents and one from all documents, give each
 bucket a log ratio; a document's score is the mean log ratio of its features. The threshold is the
 trusted documents' mean score minus SPREAD standard deviations, rounded to six decimals, and
-every document is compared with it. Only DataFrame expressions are used and no text is shuffled:
+every document is compared with it. Only DataFrame expressions are used and no text is shuffled (but by that join):
 bucket counts are partially aggregated (BUCKETS rows), and the log ratios travel as one literal
 array of BUCKETS integers in the plan.
 
-The trusted target is a classifier fit on a bounded sample of labelled rows: all documents labelled
-quality 1 and toxic 0 if there are at most MAX_TRUSTED, else the share of them, by a hash of the
-id, that makes MAX_TRUSTED expected; their ids (8 bytes each) are broadcast. The raw multinomial covers all documents.
+The trusted target, its mean and its deviation cover all documents labelled quality 1 and toxic 0. Their ids (8 bytes each)
+are broadcast if there are at most MAX_TRUSTED, and joined by a shuffle beyond. The raw multinomial covers all documents.
 
 Defined cases: a null text or one without words has no features, scores 0 and fails the base rule
 (fewer than MIN_WORDS words); repeated rows are judged alike, each on its own row; without trusted
@@ -25,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.tables import SPACE_CHARS, documents, table, uniform, words
+from corpuslens.llm.tables import SPACE_CHARS, documents, table, words
 from corpuslens.plans.scratch import Scratch
 
 BUCKETS = 1 << 16
@@ -33,6 +32,7 @@ BUCKETS = 1 << 16
 UNITS = 1_000
 PAIR_FACTOR = 1_000_003
 SMOOTHING = 1.0
+#: Trusted ids up to this many are broadcast.
 MAX_TRUSTED = 100_000
 #: At most 1 in SPREAD**2 trusted documents can lie that far below the mean, whatever the distribution.
 SPREAD = 5.0
@@ -91,15 +91,13 @@ def duplicate_lines(text: Column) -> Column:
     return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
-def trusted_ids(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
-    good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
-    share = min(1.0, most / max(1, good.count()))
-    return good.filter(uniform(F.col("__id"), "trusted") < share)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    return labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """log P(bucket | trusted) - log P(bucket | raw) in units of 1/UNITS, by bucket; trusted: __id, about MAX_TRUSTED rows at most."""
-    ids = F.broadcast(trusted.withColumn("__t", F.lit(1).cast("long")))
+    """log P(bucket | trusted) - log P(bucket | raw) in units of 1/UNITS, by bucket; trusted: __id, marked for a broadcast if it is small."""
+    ids = trusted.withColumn("__t", F.lit(1).cast("long"))
     counted = (
         docs.select("doc_id", "text")
         .join(ids, F.col("doc_id") == F.col("__id"), "left")
@@ -131,9 +129,10 @@ def mean_log_ratio(ws: Column, ratios: np.ndarray) -> Column:
 
 def judge(docs: DataFrame, labels: DataFrame, most: int = MAX_TRUSTED, spread: float = SPREAD) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, threshold, kept."""
-    chosen = Scratch(docs.sparkSession, "quality").save(trusted_ids(labels, most), "trusted")
-    ratios = log_ratios(docs, chosen)
-    ids = F.broadcast(chosen)
+    ids = Scratch(docs.sparkSession, "quality").save(trusted_ids(labels), "trusted")
+    if ids.count() <= most:
+        ids = F.broadcast(ids)
+    ratios = log_ratios(docs, ids)
     scored = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__id")).select(let(words(F.col("text")), lambda ws: mean_log_ratio(ws, ratios)).alias("s"))
     fit = scored.agg(F.avg("s").alias("m"), F.stddev_pop("s").alias("d")).first()
     threshold = round(fit["m"] - spread * fit["d"], 6) if fit["m"] is not None else 0.0

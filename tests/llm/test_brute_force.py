@@ -92,6 +92,15 @@ def test_quality_feature_space():
 
 
 
+def test_quality_uses_all_trusted_documents(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    columns = ["doc_id", "kept", "score", "threshold"]
+    wanted = {r["doc_id"]: r for r in quality.judge(docs, labels).select(*columns).collect()}
+    found = {r["doc_id"]: r for r in quality.judge(docs, labels, most=5).select(*columns).collect()}
+    assert found == wanted
+
+
+
 def components(nodes, links):
     up = {n: n for n in nodes}
 
