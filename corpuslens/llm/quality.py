@@ -56,32 +56,52 @@ def features(ws: Column) -> Column:
     return let(singles, with_pairs)
 
 
+def window_hash(*three: Column) -> Column:
+    return F.xxhash64(*three)
+
+
 def repeated_words(ws: Column) -> Column:
     """Words inside 3-word windows that occur twice or more in the text, each word once.
 
     Each window becomes one long: its hash shifted up by the bits that a position needs, and its
     position. Sorted as primitive longs, windows with equal hashes are neighbours, and the
-    repeats' positions in order cover min(3, gap) words each.
+    repeats' positions in order cover min(3, gap) words each. Neighbours with equal hashes have their
+    words compared; a text in which they differ is counted by its words instead of hashes.
     """
     n = F.size(ws) - 2
     bits = F.length(F.bin(n.cast("long")))
     bound = F.struct(ws.alias("ws"), F.slice(ws, F.lit(1), n).alias("firsts"), bits.alias("bits"), (F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1).alias("mask"))
 
     def covered(t: Column) -> Column:
-        window = lambda w, i: F.call_function("shiftleft", F.xxhash64(w, F.get(t.ws, i + 1), F.get(t.ws, i + 2)), t.bits).bitwiseOR(i.cast("long"))
+        window = lambda w, i: F.call_function("shiftleft", window_hash(w, F.get(t.ws, i + 1), F.get(t.ws, i + 2)), t.bits).bitwiseOR(i.cast("long"))
+        low = lambda x: x.bitwiseAND(t.mask).cast("int")
 
         def repeats(k: Column) -> Column:
             m = F.size(k) - 1
             same = lambda x, y: F.when(F.call_function("shiftright", x.bitwiseXOR(y), t.bits) == 0, F.struct(x.alias("x"), y.alias("y")))
             return F.array_compact(F.zip_with(F.slice(k, F.lit(1), m), F.slice(k, F.lit(2), m), same))
 
+        def differ(p: Column) -> Column:
+            i, j = low(p.x), low(p.y)
+            return (F.get(t.ws, i) != F.get(t.ws, j)) | (F.get(t.ws, i + 1) != F.get(t.ws, j + 1)) | (F.get(t.ws, i + 2) != F.get(t.ws, j + 2))
+
+        def by_words() -> Column:
+            """The pairs of neighbours among windows sorted by their words and positions."""
+            spelt = F.sort_array(F.transform(t.firsts, lambda w, i: F.struct(F.struct(w.alias("a"), F.get(t.ws, i + 1).alias("b"), F.get(t.ws, i + 2).alias("c")).alias("w"), i.cast("long").alias("i"))))
+
+            def repeats(k: Column) -> Column:
+                m = F.size(k) - 1
+                return F.array_compact(F.zip_with(F.slice(k, F.lit(1), m), F.slice(k, F.lit(2), m), lambda x, y: F.when(x.w == y.w, F.struct(x.i.alias("x"), y.i.alias("y")))))
+
+            return let(spelt, repeats)
+
         def count(pairs: Column) -> Column:
-            low = lambda x: x.bitwiseAND(t.mask).cast("int")
             places = F.array_sort(F.array_distinct(F.concat(F.transform(pairs, lambda p: low(p.x)), F.transform(pairs, lambda p: low(p.y)))))
             start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
             return F.aggregate(places, start, lambda acc, p: F.struct(p.alias("last"), (acc.n + F.least(F.lit(3), p - acc.last)).alias("n")), lambda acc: acc.n)
 
-        return let(let(F.sort_array(F.transform(t.firsts, window)), repeats), count)
+        checked = lambda pairs: F.when(F.exists(pairs, differ), by_words()).otherwise(pairs)
+        return let(let(let(F.sort_array(F.transform(t.firsts, window)), repeats), checked), count)
 
     return F.when(F.size(ws) > 3, let(bound, covered)).otherwise(F.lit(0)).cast("long")
 

@@ -101,6 +101,19 @@ def test_quality_uses_all_trusted_documents(spark, docs):
 
 
 
+def test_repeats_with_colliding_hashes(spark, monkeypatch):
+    monkeypatch.setattr(quality, "window_hash", lambda a, b, c: F.xxhash64(F.length(a)))
+    texts = ["a b c d e f g h", "a b c x y a b c z w a b c", "aa b c d aa b c", "one two"]
+    found = []
+    for w in (x.split() for x in texts):
+        triples = Counter(zip(w, w[1:], w[2:]))
+        found.append(len({i + k for i in range(len(w) - 2) if triples[tuple(w[i : i + 3])] > 1 for k in range(3)}))
+    frame = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    rows = frame.select("i", quality.repeated_words(F.split("text", " ")).alias("n")).collect()
+    assert [r["n"] for r in sorted(rows)] == found == [0, 9, 6, 0]
+
+
+
 def components(nodes, links):
     up = {n: n for n in nodes}
 
