@@ -1,8 +1,9 @@
 """WARC archives as a Python data source: ``spark.read.format("warc")`` and ``df.write.format("warc")``.
 
 Writing makes one ``.warc.gz`` per task, each record a gzip member of its own whose extra field "sl"
-holds the member's compressed and plain length. The driver commits a manifest of the finished
-files, so files of lost or repeated attempts are never read. Reading plans partitions of whole files
+holds the member's compressed and plain length. Every write commits a manifest of its finished files, so
+files of lost or repeated attempts are never read; reading takes the files of all manifests, and an overwrite removes
+the manifests and files that were there before. Reading plans partitions of whole files
 of about ``partition_bytes``; in each member only the first bytes are inflated until the headers are
 complete, record-type and header predicates (pushed down by Spark or given as options) are tested,
 and the payload of an unwanted record is skipped by its length without being inflated. Files
@@ -20,6 +21,7 @@ import base64
 import hashlib
 import io
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -49,7 +51,7 @@ from pyspark.sql.datasource import (
 from corpuslens.llm.tables import table
 from corpuslens.plans.scratch import Scratch
 
-MANIFEST = "_files.json"
+_MANIFEST = re.compile(r"_files-[0-9a-f]{32}\.json")
 SCHEMA = (
     "record_type string, record_id string, target_uri string, warc_date string, content_type string, content_length long, "
     "refers_to string, payload_digest string, payload_bytes long, payload binary, path string, offset long"
@@ -289,6 +291,20 @@ def _shown(headers: dict[str, str], column: str):
 # -- data source -----------------------------------------------------------------------------
 
 
+def _manifests(fs, root: str) -> list[str]:
+    """Paths of the manifests directly under root."""
+    from pyarrow import fs as afs
+
+    listed = fs.get_file_info(afs.FileSelector(root, allow_not_found=True))
+    return sorted(i.path for i in listed if i.type == afs.FileType.File and _MANIFEST.fullmatch(i.base_name))
+
+
+def _listed(fs, manifest: str) -> list[tuple[str, int]]:
+    """(name, size) of the files of one manifest."""
+    with fs.open_input_stream(manifest) as f:
+        return [(n, s) for n, s in json.loads(f.read())]
+
+
 class Files(InputPartition):
     def __init__(self, paths: list[str]):
         super().__init__(paths)
@@ -330,11 +346,9 @@ class WarcReader(DataSourceReader):
         if info.type == afs.FileType.File:
             found = [(root, info.size)]
         else:
-            manifest = fs.get_file_info(f"{root}/{MANIFEST}")
-            if manifest.type == afs.FileType.File:
-                with fs.open_input_stream(manifest.path) as f:
-                    found = [(f"{root}/{n}", s) for n, s in json.loads(f.read())]
-            else:
+            manifests = _manifests(fs, root)
+            found = [(f"{root}/{n}", s) for m in manifests for n, s in _listed(fs, m)]
+            if not manifests:
                 listed = fs.get_file_info(afs.FileSelector(root, recursive=True))
                 found = [(i.path, i.size) for i in listed if i.type == afs.FileType.File and i.path.endswith((".warc", ".warc.gz"))]
         parts: list[Files] = []
@@ -420,8 +434,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 class WarcWriter(DataSourceArrowWriter):
     """Rows of page_id, url, html, record_type, refers_to; one archive per task."""
 
-    def __init__(self, options):
-        self.path, self.level = options["path"], int(options.get("level", 4))
+    def __init__(self, options, overwrite: bool = False):
+        self.path, self.level, self.overwrite = options["path"], int(options.get("level", 4)), overwrite
 
     def write(self, iterator):
         fs, root = _open_fs(self.path)
@@ -443,16 +457,24 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages):
         fs, root = _open_fs(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/{MANIFEST}") as f:
+        old = _manifests(fs, root) if self.overwrite else []
+        with fs.open_output_stream(f"{root}/_files-{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps([[m.name, m.size] for m in messages if m and m.name]).encode())
+        for manifest in old:
+            names = [n for n, _ in _listed(fs, manifest)]
+            fs.delete_file(manifest)
+            self._delete(fs, root, names)
 
     def abort(self, messages):
+        self._delete(*_open_fs(self.path), [m.name for m in messages if m and m.name])
+
+    @staticmethod
+    def _delete(fs, root: str, names: list[str]) -> None:
         from pyarrow import fs as afs
 
-        fs, root = _open_fs(self.path)
-        for m in messages:
-            if m and m.name and fs.get_file_info(f"{root}/{m.name}").type == afs.FileType.File:
-                fs.delete_file(f"{root}/{m.name}")
+        for name in names:
+            if fs.get_file_info(f"{root}/{name}").type == afs.FileType.File:
+                fs.delete_file(f"{root}/{name}")
 
 
 class WarcSource(DataSource):
@@ -467,10 +489,11 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
+    """Make the format known to the session, with filters pushed to Python sources (a setting that stays on)."""
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
@@ -498,11 +521,11 @@ def op7_warc(spark, sf_dir: str) -> DataFrame:
     records = spark.read.format("warc").option("payload", "digest").option("partition_bytes", 16 << 20).load(archive)
     number = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1)
     return records.filter(F.col("record_type").isin("response", "revisit")).select(
-        number(F.col("record_id")).cast("long").alias("page_id"),
+        number(F.col("record_id")).try_cast("long").alias("page_id"),
         "payload_bytes",
         "payload_digest",
         "record_type",
-        F.when(F.col("refers_to").isNotNull(), number(F.col("refers_to")).cast("long")).alias("refers_to"),
+        F.when(F.col("refers_to").isNotNull(), number(F.col("refers_to")).try_cast("long")).alias("refers_to"),
     )
 
 
