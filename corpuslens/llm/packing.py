@@ -1,20 +1,22 @@
 """Optimal length buckets and token-budget batches.
 
-The global histogram of lengths is one partially aggregated group-by. Its bins keep the seven
-leading bits of a length (lengths below 128 are exact), so there are at most 64 bins an octave
-whatever the input; each bin's width is its longest length. Dynamic programming over the bins
-finds the bucket boundaries with the least total padding. Inside a bucket, rows are numbered
+The global histogram of lengths is one partially aggregated group-by with a row for every length that occurs. Texts of D
+different lengths have D (D - 1) / 2 tokens or more, so T tokens in all give at most sqrt(2 T) + 1 rows (about six million for
+100 TB of text, 16 bytes each on the driver). Dynamic programming over all lengths finds the bucket boundaries with the least
+total padding: the best cost up to a length is a minimum of lines in that length, kept as a convex hull, so the time
+is proportional to buckets times lengths. Inside a bucket, rows are numbered
 without gaps in the order of md5(id), id, and each run of ``budget // width`` rows is a batch.
 
 Defined cases: null and empty texts have 0 tokens and go to the narrowest bucket; a text longer
 than the budget is a batch of its own, never cut; equal ids are numbered in any order; an empty
-table gives no rows; fewer distinct bins than buckets give one bucket per bin. Ties in the dynamic
+table gives no rows; fewer distinct lengths than buckets give one bucket per length. Ties in the dynamic
 program take the smallest boundary index. Input columns other than id and text aren't read.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from collections import deque
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,55 +28,61 @@ N_BUCKETS = 8
 TOKEN_BUDGET = 65_536
 
 
-def length_bin(n: Column) -> Column:
-    """Length rounded up to seven significant bits."""
-    step = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(n)) - 7, F.lit(0)))
-    return F.ceil(n / step).cast("long") * step
-
-
-def optimal_buckets(counts: np.ndarray, tokens: np.ndarray, widths: np.ndarray, n_buckets: int) -> list[int]:
-    """Indices of the last bin of each bucket, minimising sum(bucket width - length) over all rows."""
+def optimal_buckets(counts: list[int], lengths: list[int], n_buckets: int) -> list[int]:
+    """Indices of the last length of each bucket, minimising sum(bucket width - length) over all rows; lengths ascend."""
     h = len(counts)
-    k = min(n_buckets, h)
-    if not k:
-        return []
-    n, t = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(tokens)])
-    # padding[i, j]: bins i..j-1 in one bucket
-    padding = (n[None, :] - n[:, None]) * np.concatenate([[0], widths])[None, :] - (t[None, :] - t[:, None])
-    big = np.iinfo(np.int64).max // 4
-    padding = np.where(np.arange(h + 1)[:, None] < np.arange(h + 1)[None, :], padding, big)
-    best, back = np.full(h + 1, big), []
-    best[0] = 0
-    for _ in range(k):
-        through = np.minimum(best[:, None] + padding, big)
-        back.append(through.argmin(0))
-        best = through.min(0)
+    rows, tokens = [0], [0]
+    for n, length in zip(counts, lengths, strict=True):
+        rows.append(rows[-1] + n)
+        tokens.append(tokens[-1] + n * length)
+    # a bucket of lengths i .. j-1 pads (rows[j] - rows[i]) * lengths[j-1] - (tokens[j] - tokens[i]):
+    # for given i a line in the width, with slope -rows[i] and height best[i] + tokens[i]
+    best: list[int | None] = [0] + [None] * h
+    choices = []
+    for _ in range(min(n_buckets, h)):
+        hull: deque[tuple[int, int, int]] = deque()  # (slope, height, i) in the order in which they become least
+        after: list[int | None] = [None] * (h + 1)
+        choice = [0] * (h + 1)
+        for j in range(1, h + 1):
+            if best[j - 1] is not None:
+                line = (-rows[j - 1], best[j - 1] + tokens[j - 1], j - 1)
+                while len(hull) > 1 and _never_least(hull[-2], hull[-1], line):
+                    hull.pop()
+                hull.append(line)
+            width = lengths[j - 1]
+            while len(hull) > 1 and hull[1][0] * width + hull[1][1] < hull[0][0] * width + hull[0][1]:
+                hull.popleft()
+            if hull:
+                slope, height, choice[j] = hull[0]
+                after[j] = slope * width + height + rows[j] * width - tokens[j]
+        best = after
+        choices.append(choice)
     ends, j = [], h
-    for step in reversed(back):
+    for choice in reversed(choices):
         ends.append(j - 1)
-        j = int(step[j])
+        j = choice[j]
     return ends[::-1]
 
 
+def _never_least(a: tuple[int, int, int], b: tuple[int, int, int], c: tuple[int, int, int]) -> bool:
+    """Line b is nowhere below both a and c; slopes fall from a to c."""
+    return (c[1] - a[1]) * (a[0] - b[0]) <= (b[1] - a[1]) * (a[0] - c[0])
+
+
 def pack(df: DataFrame, id_column: str = "doc_id", length: Column | None = None, n_buckets: int = N_BUCKETS, token_budget: int = TOKEN_BUDGET) -> DataFrame:
     """(id, n_tokens, bucket, bucket_width, batch, slot, padding) for every row."""
     spark = df.sparkSession
     scratch = Scratch(spark, "packing")
     lengths = scratch.save(df.select(F.col(id_column), (n_words(F.col("text")) if length is None else length).cast("long").alias("n_tokens")), "lengths")
-    histogram = (
-        lengths.groupBy(length_bin(F.col("n_tokens")).alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("width"))
-        .orderBy("bin")
-        .collect()  # at most 64 rows an octave
-    )
-    counts, tokens, widths = (np.array([r[c] for r in histogram], dtype=np.int64) for c in ("n", "tokens", "width"))
-    ends = [int(widths[i]) for i in optimal_buckets(counts, tokens, widths, n_buckets)]
+    histogram = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by("n_tokens")
+    counts, widths = histogram.column("n").to_pylist(), histogram.column("n_tokens").to_pylist()
+    ends = [widths[i] for i in optimal_buckets(counts, widths, n_buckets)]
     bucket, width = F.lit(None).cast("int"), F.lit(None).cast("long")
     for b in reversed(range(len(ends))):
         inside = F.col("n_tokens") <= ends[b]
         bucket, width = F.when(inside, b).otherwise(bucket), F.when(inside, F.lit(ends[b])).otherwise(width)
     placed = lengths.withColumn("bucket", bucket).withColumn("bucket_width", width.cast("long"))
-    numbered = number_within(placed, "bucket", id_column, "__at", int(counts.sum()))
+    numbered = number_within(placed, "bucket", id_column, "__at", sum(counts))
     per_batch = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(token_budget) / F.greatest(F.col("bucket_width"), F.lit(1))))
     return numbered.select(
         id_column,
@@ -94,9 +102,8 @@ def op10_packing(spark, sf_dir: str) -> DataFrame:
 OP10_SQL = rf"""
 WITH RECURSIVE
 w AS (SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS n_tokens FROM documents),
-s AS (SELECT doc_id, n_tokens, CAST(pow(2, greatest(length(bin(n_tokens)) - 7, 0)) AS BIGINT) AS step FROM w),
-h AS (SELECT ((n_tokens + step - 1) // step) * step AS bin, count(*) AS n, CAST(sum(n_tokens) AS BIGINT) AS tokens, max(n_tokens) AS width FROM s GROUP BY 1),
-c AS (SELECT row_number() OVER (ORDER BY bin) AS j, width, CAST(sum(n) OVER (ORDER BY bin) AS BIGINT) AS cn, CAST(sum(tokens) OVER (ORDER BY bin) AS BIGINT) AS ct FROM h),
+h AS (SELECT n_tokens AS width, count(*) AS n FROM w GROUP BY 1),
+c AS (SELECT row_number() OVER (ORDER BY width) AS j, width, CAST(sum(n) OVER (ORDER BY width) AS BIGINT) AS cn, CAST(sum(n * width) OVER (ORDER BY width) AS BIGINT) AS ct FROM h),
 z AS MATERIALIZED (SELECT j, cn, ct FROM c UNION ALL SELECT 0, 0, 0),
 pad AS MATERIALIZED (SELECT z.j AS i, c.j AS j, (c.cn - z.cn) * c.width - (c.ct - z.ct) AS p FROM z JOIN c ON z.j < c.j),
 dp AS (

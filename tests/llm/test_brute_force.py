@@ -235,18 +235,48 @@ def test_skewed_source_is_cut(spark):
 
 def test_packing_is_optimal():
     rng = random.Random(4)
-    for _ in range(30):
-        widths = np.array(sorted(rng.sample(range(1, 60), 7)))
-        counts = np.array([rng.randrange(1, 9) for _ in widths])
-        tokens = counts * widths
-        ends = packing.optimal_buckets(counts, tokens, widths, 3)
+    for _ in range(60):
+        widths = sorted(rng.sample(range(0, 60), 7))
+        counts = [rng.randrange(1, 9) for _ in widths]
+        ends = packing.optimal_buckets(counts, widths, 3)
 
         def padding(cuts):
-            return sum(int(counts[i]) * int(widths[next(e for e in cuts if e >= i)] - widths[i]) for i in range(7))
+            return sum(counts[i] * (widths[next(e for e in cuts if e >= i)] - widths[i]) for i in range(7))
 
         assert padding(ends) == min(padding((*c, 6)) for c in itertools.combinations(range(6), 2))
 
 
+def test_packing_against_the_plain_program():
+    """Every pair of boundaries, ties to the smallest index; lengths of up to 14 bits, all of them exact."""
+    rng = random.Random(9)
+    for size, buckets in ((1, 8), (5, 8), (80, 4), (300, 8)):
+        widths = sorted(rng.sample(range(0, 1 << 14), size))
+        counts = [rng.choice((1, 2, 1000)) for _ in widths]
+        n, t = [0, *itertools.accumulate(counts)], [0, *itertools.accumulate(c * w for c, w in zip(counts, widths))]
+        best, back = {0: 0}, []
+        for _ in range(min(buckets, size)):
+            tried = {j: min((best[i] + (n[j] - n[i]) * widths[j - 1] - (t[j] - t[i]), i) for i in best if i < j) for j in range(1, size + 1) if min(best) < j}
+            best, choice = {j: c for j, (c, _) in tried.items()}, {j: i for j, (_, i) in tried.items()}
+            back.append(choice)
+        ends, j = [], size
+        for choice in reversed(back):
+            ends.append(j - 1)
+            j = choice[j]
+        assert packing.optimal_buckets(counts, widths, buckets) == ends[::-1]
+
+
+def test_packing_pads_least_over_all_lengths(docs, rows):
+    found = packing.pack(docs, n_buckets=4).collect()
+    counts = Counter(len(WORD.findall(r["text"])) for r in rows)
+    lengths = sorted(counts)
+    n, t = [0, *itertools.accumulate(counts[x] for x in lengths)], [0, *itertools.accumulate(counts[x] * x for x in lengths)]
+    pad = lambda i, j: (n[j] - n[i]) * lengths[j - 1] - (t[j] - t[i])
+    best = [0] + [math.inf] * len(lengths)
+    for _ in range(4):
+        best = [math.inf] + [min(best[i] + pad(i, j) for i in range(j)) for j in range(1, len(lengths) + 1)]
+    assert sum(r["padding"] for r in found) == best[-1] and len({r["bucket"] for r in found}) == 4
+
+
 def test_class_lm_base_and_mass(spark, docs, rows):
     low = lambda s: re.sub("[A-Z]", lambda m: m[0].lower(), s)
     tokens = {r["doc_id"]: [*WORD.findall(low(r["text"])), "\n"] for r in rows}
