@@ -10,6 +10,7 @@ never shortened.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,9 +71,24 @@ class Words:
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts)
 
 
-def bounded_batches(spark) -> None:
-    """Let no Arrow batch of texts exceed BATCH_BYTES (or one row); called by every operator that reads texts in Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+@contextmanager
+def bounded_batches(spark, rows: int | None = None) -> Iterator[None]:
+    """While open, no Arrow batch exceeds BATCH_BYTES (or one row), or that many rows; the session's settings come back after.
+
+    Every operator that reads texts in Python runs those jobs inside.
+    """
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    records = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if rows is not None and not 0 < int(spark.conf.get(records)) <= rows:
+        wanted[records] = str(rows)
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -98,6 +114,15 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[starts[0] : starts[-1]] if len(starts) else raw[:0], starts - (starts[0] if len(starts) else 0)
 
 
+def binary_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a binary array without nulls."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    starts = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw[starts[0] : starts[-1]], starts - starts[0]
+
+
 def _segments(space: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
     """Cut points at text starts or spaces, about SEGMENT_BYTES apart."""
     begin, n = 0, len(space)

@@ -153,25 +153,76 @@ def planted(spark, rows):
     return data, spark.createDataFrame(data, "doc_id long, text string")
 
 
-def test_minhash_against_all_pairs(spark, rows):
-    data, frame = planted(spark, rows)
-    sets, first = {}, {}
-    for i, t in data:
-        first.setdefault(t, i)
-    df = Counter()
-    for t, i in first.items():
+def weighted_by_hand(texts):
+    """{text: (sorted shingle hashes, weights)} with exact document frequencies over distinct texts."""
+    sets = {}
+    for t in set(texts):
         h, c, _ = minhash_dedup.weighted_sets(pa.array([t]))
-        sets[i] = (h, c)
-        df.update(minhash_dedup.feature(h).tolist())
-    n = sum(len(h) > 0 for h, _ in sets.values())
-    weighted = {i: (h, c * minhash_dedup.inverse_document_frequency(np.array([df[f] for f in minhash_dedup.feature(h).tolist()]), n)) for i, (h, c) in sets.items() if len(h)}
-    links = [(a, b) for a, b in itertools.combinations(sorted(weighted), 2) if minhash_dedup.weighted_jaccard(weighted[a], weighted[b]) >= 0.8]
-    wanted = components(sets, links)
+        if len(h):
+            sets[t] = h, c
+    df = Counter(x for h, _ in sets.values() for x in h.tolist())
+    return {t: (h, c * (1 + np.log10((1 + len(sets)) / np.array([1 + df[x] for x in h.tolist()])))) for t, (h, c) in sets.items()}
+
+
+def classes_by_hand(data):
+    """Components over ids: equal texts, similar texts and texts of one id."""
+    weighted = weighted_by_hand([t for _, t in data])
+    holders = defaultdict(set)
+    for i, t in data:
+        if t in weighted:
+            holders[t].add(i)
+    links = [(min(ids), i) for ids in holders.values() for i in ids]
+    links += [(min(holders[a]), min(holders[b])) for a, b in itertools.combinations(weighted, 2) if minhash_dedup.weighted_jaccard(weighted[a], weighted[b]) >= 0.8]
+    return components({i for i, _ in data}, links)
+
+
+@pytest.mark.parametrize("chunk, block, ids", [(2 << 20, 512, 2_000_000), (3_000, 8, 0)])
+def test_minhash_against_all_pairs(spark, rows, monkeypatch, chunk, block, ids):
+    for name, value in (("CHUNK_BYTES", chunk), ("BLOCK", block), ("MAX_BROADCAST_IDS", ids), ("RANGE_SHINGLES", chunk // 100)):
+        monkeypatch.setattr(minhash_dedup, name, value)
+    data, frame = planted(spark, rows)
+    wanted = classes_by_hand(data)
     found = {r["doc_id"]: (r["class_id"], r["kept"]) for r in minhash_dedup.near_duplicate_classes(frame).collect()}
-    assert found == {i: (c := wanted[first[t]], c == i) for i, t in data}
+    assert found == {i: (wanted[i], wanted[i] == i) for i, _ in data}
     assert len({found[30_000 + i][0] for i in range(9)}) == 1 and len({found[20_000 + i][0] for i in range(40)}) == 40 and found[10_003][0] == 10_000
 
 
+def test_minhash_ids_with_several_texts(spark):
+    """Id 5 has a copy of 1's text and one near 7's: it links both. Id 5 is also the least of a text of 8."""
+    words = lambda tag, n=80: [f"{tag}{i}" for i in range(n)]
+    near = [*words("b")[:-1], "other"]
+    data = [(1, " ".join(words("a"))), (5, " ".join(words("a"))), (5, " ".join(near)), (7, " ".join(words("b"))), (5, " ".join(words("c"))), (8, " ".join(words("c"))), (8, " ".join(words("c"))), (9, " ".join(words("d")))]
+    found = minhash_dedup.near_duplicate_classes(spark.createDataFrame([*data, *data], "doc_id long, text string")).collect()
+    assert len(found) == 16 and {(r["doc_id"], r["class_id"]) for r in found} == {(1, 1), (5, 1), (7, 1), (8, 1), (9, 9)}
+
+
+def test_document_frequencies_are_exact(spark, rows, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "RANGE_SHINGLES", 1_000)
+    data, frame = planted(spark, rows)
+    texts = sorted({t for _, t in data if t})
+    table = spark.createDataFrame([(i % 7, t) for i, t in enumerate(texts)], "chunk long, text string").repartition(5).sortWithinPartitions("chunk")
+    df, held = Counter(), defaultdict(set)
+    for i, t in enumerate(texts):
+        h = minhash_dedup.weighted_sets(pa.array([t]))[0].tolist()
+        df.update(h)
+        held[i % 7].update(h)
+    found = defaultdict(dict)
+    for r in minhash_dedup.document_frequencies(table, 10**6).collect():
+        found[r["chunk"]].update(zip(np.frombuffer(r["hashes"], np.uint64).tolist(), np.frombuffer(r["df"], np.uint32).tolist()))
+    assert found == {k: {h: df[h] for h in hs if df[h] > 1} for k, hs in held.items()}
+
+
+def test_minhash_recall_on_all_documents(spark):
+    """Of the documents that all pairs of sf0.01 link, how many have the same class; see the README."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    data = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    wanted = classes_by_hand(data)
+    found = {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_duplicate_classes(docs).collect()}
+    linked = [i for i, c in wanted.items() if list(wanted.values()).count(c) > 1]
+    assert len(linked) > 50 and sum(found[i] == wanted[i] for i in linked) / len(linked) >= 0.99
+    assert all(found[i] == i for i in set(wanted) - set(linked))
+
+
 def test_sampling_collides_as_often_as_sets_are_similar():
     rng = np.random.default_rng(1)
     h = bytes_text.mix64(np.arange(120, dtype=np.uint64))
@@ -185,10 +236,10 @@ def test_sampling_collides_as_often_as_sets_are_similar():
 
 def test_jaccard_matrix():
     texts = pa.array(["a b c d e f a b c d e f g", "a b c d e f g h", "", "x y", "a b c d e f a b c d e f"])
-    idf = np.linspace(1, 5, 1 << minhash_dedup.FEATURE_BITS)
-    m = minhash_dedup.jaccard_matrix(texts, idf)
     h, c, o = minhash_dedup.weighted_sets(texts)
-    sets = [(h[a:b], c[a:b] * idf[minhash_dedup.feature(h[a:b])]) for a, b in itertools.pairwise(o)]
+    idf = 1 + (h % np.uint64(7)).astype(float)
+    m = minhash_dedup.jaccard_matrix(h, c, o, idf)
+    sets = [(h[a:b], c[a:b] * idf[a:b]) for a, b in itertools.pairwise(o)]
     for i, j in itertools.permutations(range(5), 2):
         assert m[i, j] == pytest.approx(minhash_dedup.weighted_jaccard(sets[i], sets[j]))
 
