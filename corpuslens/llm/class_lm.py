@@ -39,12 +39,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.bytes_text import bounded_batches, mix64, slices, word_hashes
+from corpuslens.llm.bytes_text import binary_buffers, bounded_batches, mix64, slices, word_hashes
 from corpuslens.llm.tables import documents
 from corpuslens.plans.scratch import Scratch
 
 ITEMS, BUNDLES, CLASSES = 1_024, 256, 48
-SWEEPS = 12
 HEAD = 1 << 18
 TRANSITION_PRIOR = 50.0
 _ALL = ITEMS + BUNDLES + 1
@@ -175,7 +174,7 @@ def _phi(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
 
-def exchange_classes(bigrams: np.ndarray, n_classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
+def exchange_classes(bigrams: np.ndarray, n_classes: int = CLASSES) -> np.ndarray:
     """Class of each item (the last item, the end token, keeps the last class for itself).
 
     Starts from classes dealt in order of frequency; an item moves only for a real gain, to the
@@ -190,7 +189,8 @@ def exchange_classes(bigrams: np.ndarray, n_classes: int = CLASSES, sweeps: int
     k = n_classes + 1
     one_hot = np.eye(k)[cls]
     g = one_hot.T @ m @ one_hot
-    for _ in range(sweeps):
+    moved = 1
+    while moved:  # every move raises the likelihood, so this ends
         moved = 0
         for w in order:
             r = np.bincount(cls, weights=m[w], minlength=k)
@@ -216,8 +216,6 @@ def exchange_classes(bigrams: np.ndarray, n_classes: int = CLASSES, sweeps: int
             g[best, :] += r
             g[:, best] += c
             g[best, best] += own
-        if not moved:
-            break
     return cls
 
 
@@ -288,7 +286,7 @@ def _assign(shared):
 
         rest = (np.zeros(0, np.int64), np.zeros(0, np.int64))
         for batch in batches:
-            raw, offsets = _bytes_of(batch.column("contexts"))
+            raw, offsets = binary_buffers(batch.column("contexts"))
             h = np.concatenate([rest[0], np.repeat(batch.column("h").to_numpy(), np.diff(offsets) // 8)])
             packed = np.concatenate([rest[1], np.frombuffer(raw.tobytes(), np.int64)])
             if len(h):
@@ -302,15 +300,6 @@ def _assign(shared):
     return assign
 
 
-def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a binary array without nulls."""
-    column = column.cast(pa.large_binary())
-    _, offsets, data = column.buffers()
-    starts = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
-    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    return raw[starts[0] : starts[-1]], starts - starts[0]
-
-
 @dataclass
 class Classes:
     head: Head
@@ -434,7 +423,7 @@ def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if last is not None:
             whole, at = pa.concat_batches([last, whole]), at + 1
         n = whole.num_rows
-        raw, offsets = _bytes_of(whole.column("classes"))
+        raw, offsets = binary_buffers(whole.column("classes"))
         cls = raw.copy()
         cls[offsets[at] + words.column("m").to_numpy()] = words.column("known").to_numpy()
         known = whole.column("known").to_numpy() + np.bincount(at, minlength=n)
@@ -475,7 +464,7 @@ class ClassModel:
 
 def _class_pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(class before, class, offsets) of all tokens; the end token stands before a text."""
-    raw, offsets = _bytes_of(column)
+    raw, offsets = binary_buffers(column)
     cls = raw.astype(np.int64)
     previous = np.empty_like(cls)
     previous[1:] = cls[:-1]
@@ -485,10 +474,9 @@ def _class_pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(_CLASSES * _CLASSES, np.int64)
-    for batch in batches:
-        if batch.num_rows:
-            previous, cls, _ = _class_pairs(batch.column("classes"))
-            total += np.bincount(previous * _CLASSES + cls, minlength=len(total))
+    for batch in (part for whole in batches for part in slices(whole, "classes")):
+        previous, cls, _ = _class_pairs(batch.column("classes"))
+        total += np.bincount(previous * _CLASSES + cls, minlength=len(total))
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
 
@@ -512,9 +500,7 @@ def train(texts: DataFrame, scratch: Scratch) -> tuple[ClassModel, DataFrame, in
 def _score(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: ClassModel = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in slices(whole, "classes")):
             previous, cls, offsets = _class_pairs(batch.column("classes"))
             local = np.add.reduceat(model.log_transition[previous, cls] - model.log_emission_total[cls], offsets[:-1])
             m, seen = batch.column("m").to_numpy(), batch.column("seen").to_numpy()
@@ -527,14 +513,15 @@ def _score(shared):
 def score_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     scratch = Scratch(spark, "class-lm")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (~training("doc_id")).alias("held_out"))
-    fitted = fit_classes(rows.filter(~F.col("held_out")), scratch)
-    sequences = class_sequences(rows, fitted, scratch)
-    model = fit_model(fitted, sequences.filter(~F.col("held_out")))
-    shared = spark.sparkContext.broadcast(ClassModel(None, None, model.log_transition, model.log_emission_total, model.log_base_total))
-    scored = sequences.mapInArrow(_score(shared), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    with bounded_batches(spark):
+        fitted = fit_classes(rows.filter(~F.col("held_out")), scratch)
+        sequences = class_sequences(rows, fitted, scratch)
+        model = fit_model(fitted, sequences.filter(~F.col("held_out")))
+        shared = spark.sparkContext.broadcast(ClassModel(None, None, model.log_transition, model.log_emission_total, model.log_base_total))
+        scored = sequences.mapInArrow(_score(shared), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        scored = scratch.save(scored, "scored")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(fitted.n_total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
