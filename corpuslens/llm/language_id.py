@@ -211,23 +211,29 @@ def host_priors(scored: DataFrame, languages: list[str], scratch: Scratch) -> tu
     return scratch.save(hosts.select(F.col("host").alias("__host"), F.col("suffix").alias("__suffix"), fused.alias("__prior")), "hosts"), [math.log(t) for t in top]
 
 
-def identify(evidence: DataFrame, fit_texts: int = FIT_TEXTS) -> DataFrame:
-    """evidence (id, text, declared, host, suffix and any others) with lang_id, posterior, text_lang, kept."""
+#: Result columns; input columns of these names are replaced.
+_MADE = ("text_lang", "lang_id", "posterior", "kept")
+
+
+def identify(evidence: DataFrame, fit_texts: int = FIT_TEXTS, keep_text: bool = True) -> DataFrame:
+    """evidence (id, text, declared, host, suffix and any others) with lang_id, posterior, text_lang, kept.
+
+    Every text is scored once and the scored rows are saved; keep_text False leaves the texts out of them and of the result.
+    """
     spark = evidence.sparkSession
-    bounded_batches(spark)
     scratch = Scratch(spark, "language")
-    model = fit_text_model(evidence, fit_texts)
+    with bounded_batches(spark):
+        model = fit_text_model(evidence, fit_texts)
     names = model.languages
     languages = names[:-1]
+    carried = [c for c in evidence.columns if (keep_text or c != "text") and c not in _MADE]
     if not languages:
-        return evidence.withColumns({"text_lang": F.lit("und"), "lang_id": F.lit("und"), "posterior": F.lit(0.0), "kept": F.lit(False)})
-    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
-    most = max(1, BATCH_VALUES // len(names))
-    if rows <= 0 or rows > most:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(most))
+        return evidence.select(*carried).withColumns({"text_lang": F.lit("und"), "lang_id": F.lit("und"), "posterior": F.lit(0.0), "kept": F.lit(False)})
     score = _text_evidence(spark, model)
-    scored = evidence.withColumn("__ll", score(F.col("text")))
+    scored = evidence.withColumn("__ll", score(F.col("text"))).select(*carried, "__ll")
     scored = scored.withColumn("text_lang", F.when(F.col("__ll").isNull(), "und").otherwise(_arg_max(F.col("__ll"), names)))
+    with bounded_batches(spark, max(1, BATCH_VALUES // len(names))):
+        scored = scratch.save(scored, "scored")
     hosts, overall = host_priors(scored.select("host", "suffix", "text_lang"), languages, scratch)
     same = (F.col("host") == F.col("__host")) & F.col("suffix").eqNullSafe(F.col("__suffix"))
     if hosts.count() * max(1.0, len(languages) / HOST_WIDTH) <= MAX_BROADCAST_HOSTS:
@@ -277,10 +283,10 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
-    out = identify(document_evidence(documents(spark, sf_dir)))
+    out = identify(document_evidence(documents(spark, sf_dir)), keep_text=False)
     return out.select(F.col("id").alias("doc_id"), F.col("declared").alias("lang"), "lang_id", "text_lang", F.round("posterior", 6).alias("posterior"), "kept")
 
 
 def pages_language_id(spark, sf_dir: str) -> DataFrame:
-    out = identify(page_evidence(table(spark, sf_dir, "pages")))
+    out = identify(page_evidence(table(spark, sf_dir, "pages")), keep_text=False)
     return out.select(F.col("id").alias("page_id"), "declared", "suffix", "host", "lang_id", F.round("posterior", 6).alias("posterior"), "kept")
