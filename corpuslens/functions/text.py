@@ -1,7 +1,7 @@
 r"""Text expressions: whitespace, tokens, sentences, edit distances and sensitive tokens.
 
 Whitespace is Unicode white space plus U+001C to U+001F. All functions map columns to columns
-and stay in the JVM.
+and stay in the JVM, but for edit distances and case folding, which run in Arrow batches (functions.distance).
 """
 
 from __future__ import annotations
@@ -9,13 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpuslens.functions.distance import casefold, distance, subsequence
+
 #: Fixed value: the whitespace class that Python's str.split and str.strip use.
 WS = r"[\s\x1c-\x1f]"
 NOT_WS = r"[^\s\x1c-\x1f]"
 
-#: Full case folding where it differs from lower-casing in Latin and Greek text.
-FOLDS = {"ß": "ss", "ẞ": "ss", "ſ": "s", "ς": "σ", "µ": "μ", "ŉ": "ʼn", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
-
 
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)^{WS}+|{WS}+$", "")
@@ -30,14 +29,6 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, rf"(?U){WS}+"), lambda w: w != "")
 
 
-def casefold(text: Column) -> Column:
-    """Lower case with the full foldings of FOLDS."""
-    out = F.lower(text)
-    for a, b in FOLDS.items():
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
-
-
 def sentences(text: Column) -> Column:
     """Sentences: cut after . ! ? followed by whitespace, stripped, without empty ones."""
     parts = F.split(text, rf"(?U)(?<=[.!?]){WS}+")
@@ -49,41 +40,25 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _coded(words: Column, vocabulary: Column) -> Column:
-    """A string with one code point (U+00FF on) for each word."""
-    point = lambda w: F.decode(F.unhex(F.lpad(F.hex((F.array_position(vocabulary, w) + 255).cast("long")), 4, "0")), "UTF-16BE")
-    return F.array_join(F.transform(words, point), "")
-
-
 def sequence_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two token arrays with together fewer than 55,000 distinct tokens.
-
-    Every distinct token becomes a code point below the surrogates, so the built-in string distance
-    applies; larger vocabularies are rejected, not shortened.
-    """
-
-    def distance(pair: Column) -> Column:
-        vocabulary = F.array_distinct(F.concat(pair.a, pair.b))
-        coded = bind(
-            F.struct(pair.a.alias("a"), pair.b.alias("b"), vocabulary.alias("v")),
-            lambda t: F.when(F.size(t.v) < 55_000, F.levenshtein(_coded(t.a, t.v), _coded(t.b, t.v))).otherwise(F.raise_error(F.lit("too many distinct tokens"))),
-        )
-        return coded
-
-    return bind(F.struct(a.alias("a"), b.alias("b")), distance)
+    """Levenshtein distance of two token arrays."""
+    return distance(a, b)
 
 
 def character_error_rate(truth: Column, predicted: Column) -> Column:
     """Edit distance over the length of the truth; the distance itself for an empty truth."""
-    return F.levenshtein(truth, predicted).cast("double") / F.greatest(F.length(truth), F.lit(1))
+    return distance(truth, predicted).cast("double") / F.greatest(F.length(truth), F.lit(1))
 
 
 def word_error_rate(truth: Column, predicted: Column) -> Column:
     """Word edit distance over the words of the truth; the distance itself if it has none."""
-    return bind(
-        F.struct(tokens(truth).alias("t"), tokens(predicted).alias("p")),
-        lambda x: sequence_distance(x.t, x.p).cast("double") / F.greatest(F.size(x.t), F.lit(1)),
-    )
+    return distance(tokens(truth), tokens(predicted)).cast("double") / F.greatest(F.size(tokens(truth)), F.lit(1))
+
+
+def subsequence_ratio(truth: Column, predicted: Column) -> Column:
+    """Twice the longest common subsequence of code points over both lengths; 1 for two empty texts."""
+    both = F.length(truth) + F.length(predicted)
+    return F.when(both == 0, 1.0).otherwise(subsequence(truth, predicted) * 2.0 / both)
 
 
 def sentence_overlap(truth: Column, predicted: Column) -> Column:

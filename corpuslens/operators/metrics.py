@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -49,40 +51,38 @@ def maximum_matching(edges: list[list[int]]) -> int:
     return size
 
 
-@F.arrow_udf(IntegerType())
-def _matched(adjacency: pa.Array) -> pa.Array:
-    return pa.array([None if rows is None else maximum_matching(rows) for rows in adjacency.to_pylist()], pa.int32())
-
+def eligible_pairs(truth: list[str], predicted: list[str], least_overlap: float = OVERLAP) -> list[list[int]]:
+    """For each predicted sentence, the truth sentences of which it has ``least_overlap`` of the distinct case-folded tokens.
 
-def eligible_pairs(truth: Column, predicted: Column, least_overlap: float = OVERLAP) -> Column:
-    """For each predicted sentence, the indices of truth sentences with an overlap of at least ``least_overlap``."""
-    folded = lambda s: F.transform(T.sentences(s), lambda x: F.array_distinct(T.tokens(T.casefold(x))))
+    Shared tokens are counted through an index of the truth's tokens, not pair by pair; sentences without tokens match each other.
+    """
+    wanted = [set(s.casefold().split()) for s in truth]
+    holders: dict[str, list[int]] = {}
+    for i, words in enumerate(wanted):
+        for w in words:
+            holders.setdefault(w, []).append(i)
+    empty = [i for i, words in enumerate(wanted) if not words]
+    out = []
+    for s in predicted:
+        words = set(s.casefold().split())
+        shared = Counter(i for w in words for i in holders.get(w, ()))
+        found = [i for i, n in shared.items() if n / len(wanted[i]) >= least_overlap]
+        out.append(sorted(found if words else found + empty))
+    return out
 
-    def eligible(x: Column) -> Column:
-        def partners(p: Column) -> Column:
-            share = lambda g: F.when(F.size(g) == 0, F.when(F.size(p) == 0, 1.0).otherwise(0.0)).otherwise(F.size(F.array_intersect(g, p)) / F.size(g))
-            marked = F.transform(x.g, lambda g, i: F.when(share(g) >= least_overlap, i))
-            return F.array_compact(marked)
 
-        return F.transform(x.p, partners)
-
-    return T.bind(F.struct(folded(truth).alias("g"), folded(predicted).alias("p")), eligible)
+@F.arrow_udf(IntegerType())
+def _matched(truth: pa.Array, predicted: pa.Array) -> pa.Array:
+    rows = zip(truth.to_pylist(), predicted.to_pylist(), strict=True)
+    return pa.array([None if g is None or p is None else maximum_matching(eligible_pairs(g, p)) for g, p in rows], pa.int32())
 
 
 def evaluate(samples: DataFrame, truth: str = "ground_truth", predicted: str = "predicted") -> DataFrame:
     """Per-sample metrics; samples keep their other columns. Null texts count as empty."""
     g, p = F.coalesce(F.col(truth), F.lit("")), F.coalesce(F.col(predicted), F.lit(""))
-    out = samples.withColumns(
-        {
-            "cer": T.character_error_rate(g, p),
-            "wer": T.word_error_rate(g, p),
-            "__g": F.size(T.sentences(g)),
-            "__p": F.size(T.sentences(p)),
-            "__pairs": eligible_pairs(g, p),
-        }
-    )
-    # only index lists go to Python, for the matching
-    out = out.withColumn("matched_sentences", F.when(F.size("__pairs") > 0, _matched("__pairs")).otherwise(0)).drop("__pairs")
+    out = samples.withColumns({"__g": T.sentences(g), "__p": T.sentences(p)})
+    out = out.withColumns({"cer": T.character_error_rate(g, p), "wer": T.word_error_rate(g, p), "matched_sentences": _matched("__g", "__p")})
+    out = out.withColumns({"__g": F.size("__g"), "__p": F.size("__p")})
     both_empty = (F.col("__g") == 0) & (F.col("__p") == 0)
     ratio = lambda n: F.when(both_empty, 1.0).otherwise(F.col("matched_sentences") / F.greatest(F.col(n), F.lit(1)))
     out = out.withColumns({"sentence_precision": ratio("__p"), "sentence_recall": ratio("__g")})

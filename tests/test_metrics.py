@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpuslens.errors import EvaluationError
+from corpuslens.functions import distance as D
 from corpuslens.functions import text as T
 from corpuslens.operators import metrics as M
 
@@ -89,6 +90,37 @@ def test_word_distance_against_brute_force(spark):
     assert rows.filter(T.sequence_distance(F.col("a"), F.col("b")) != F.col("d")).count() == 0
 
 
+def brute_subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abcé\U0001f600", max_size=70), st.text("abcé\U0001f600", max_size=70))
+def test_distances_against_brute_force(a, b):
+    assert D.edit_distance(a, b) == brute_distance(a, b) and D.edit_distance(list(a), list(b)) == brute_distance(a, b)
+    assert D.common_subsequence(a, b) == brute_subsequence(a, b)
+
+
+def test_distances_of_long_texts_and_many_tokens(spark):
+    words = [f"w{i}" for i in range(60_000)]
+    other = ["new", *words[1:40_000], *words[40_001:], "end"]
+    assert D.edit_distance(words, other) == 3 and D.common_subsequence(words, other) == 59_998
+    row = spark.createDataFrame([(" ".join(words), " ".join(other))], "g string, p string")
+    assert row.select(T.word_error_rate(F.col("g"), F.col("p"))).first()[0] == 3 / 60_000
+    nulls = spark.sql("SELECT CAST(NULL AS STRING) AS g, 'x' AS p UNION ALL SELECT '', 'x'")
+    assert sorted((r[0] is None, r[1]) for r in nulls.select(D.distance(F.col("g"), F.col("p")), T.subsequence_ratio(F.coalesce("g", F.lit("")), F.col("p"))).collect()) == [(False, 0.0), (True, 0.0)]
+
+
+def test_casefold_is_pythons(spark):
+    texts = ["ß ẞ ﬃ ς Σ µ", "Ꭰꭰ ᾳ ᾼ ŉ ǰ և İ", None, ""]
+    assert [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.casefold(F.col("t"))).collect()] == [t and t.casefold() for t in texts]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 5), max_size=5, unique=True), max_size=6))
 def test_matching_size(edges):
