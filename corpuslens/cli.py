@@ -10,9 +10,11 @@ import sys
 
 from pyspark.sql import functions as F
 
-from corpuslens.errors import CorpusLensError
-from corpuslens.operators import experiment, imaging, lines, tokens
+from corpuslens.errors import CorpusLensError, InvalidImageError
+from corpuslens.operators import experiment, imaging, lines, metrics, tokens
+from corpuslens.functions import text as T
 from corpuslens.plans import sinks
+from corpuslens.plans.scratch import Scratch
 from corpuslens.session import get_session
 from corpuslens.sources import engines, images, json_files
 
@@ -32,24 +34,50 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("--ground-truth")
     x.add_argument("--output", required=True)
     x.add_argument("--confidence-threshold", type=float, default=lines.LOW_CONFIDENCE)
+    r = sub.add_parser("run", help="recognition, evaluation and a source-fidelity example, one line each")
+    r.add_argument("image")
+    r.add_argument("samples")
+    r.add_argument("--engine")
     return p
 
 
+def run_all(spark, image: str, samples: str, factory) -> list[str]:
+    """One line for each part of the engine, whether it ran or needs something from outside."""
+    page = recognise(spark, image, factory, lines.LOW_CONFIDENCE).first()
+    said = [f"recognition: done by {page['engine_name']}; {len(page['raw_text'])} characters, {len(page['sentences'])} sentences, {len(page['low_confidence_regions'])} uncertain tokens"]
+    macro = metrics.require_samples(metrics.macro_average(metrics.evaluate(json_files.load_samples(spark, samples)))).first()
+    figures = ", ".join(f"{m} {macro[m]:.4f}" for m in ("cer", "wer", "sentence_f1", "composite_score"))
+    said.append(f"evaluation: done; samples {macro['sample_count']}, {figures}")
+    said.append("classification: not run; it needs a client")
+    example = spark.sql("SELECT 'Please wait!!!' AS truth, 'Please wait!' AS predicted").select(T.source_fidelity(F.col("truth"), F.col("predicted"))).first()[0]
+    return [*said, f"source fidelity: done; example {example:.4f}"]
+
+
+def usable(spark, made):
+    """The preprocessed images, saved so that every mode reads them; an image that can't be used raises."""
+    saved = Scratch(spark, "images").save(made)
+    bad = saved.filter("error IS NOT NULL").select("origin", "error").limit(1).collect()
+    if bad:
+        raise InvalidImageError(f"{bad[0]['origin']}: {bad[0]['error']}")
+    return saved
+
+
 def recognise(spark, path: str, factory, threshold: float):
     """Page results of images through preprocessing, an engine and line assembly."""
     tokens.validate_threshold(threshold)
     loaded = images.load(spark, path)
-    made = imaging.preprocess_images(loaded)
-    found = engines.extract(made.filter("error IS NULL"), factory).withColumnRenamed("origin", "doc_id")
+    made = usable(spark, imaging.preprocess_images(loaded))
+    found = engines.extract(made, factory).withColumnRenamed("origin", "doc_id")
     heights = loaded.select(F.col("image.origin").alias("doc_id"), F.col("image.height").alias("image_height"))
     rows = tokens.require_valid(tokens.word_table_tokens(found))
-    return lines.recognise_pages(rows, heights, threshold, getattr(factory, "name", "custom"))
+    name = getattr(factory, "name", "custom")
+    return lines.recognise_pages(rows, heights, threshold, name, engines.engine_version(name))
 
 
 def run_profiles(spark, path: str, factory, truth_path: str | None, threshold: float):
     tokens.validate_threshold(threshold)
     pages = images.discover(spark, path)
-    made = imaging.preprocess_images(images.load(spark, path), all_profiles=True).filter("error IS NULL")
+    made = usable(spark, imaging.preprocess_images(images.load(spark, path), all_profiles=True))
     keyed = made.withColumn("origin", F.concat_ws("\t", json_files.stem(F.col("origin")), "profile"))
     found = None
     for mode in experiment.MODES:
@@ -75,6 +103,9 @@ def main(argv: list[str] | None = None) -> int:
                 sinks.write_page_file(pages, args.output)
             else:
                 print(lines.page_payload(pages).first()["json"])
+        elif args.command == "run":
+            factory = engines.create(engines.EngineSettings.resolve(args.engine))
+            print("\n".join(run_all(spark, args.image, args.samples, factory)))
         else:
             factory = engines.create(engines.EngineSettings.from_environment())
             sinks.write_experiment(run_profiles(spark, args.images, factory, args.ground_truth, args.confidence_threshold), args.output, args.confidence_threshold)

@@ -42,12 +42,14 @@ class RetryPolicy:
     max_delay: float = 2.0
 
     def __post_init__(self):
-        if isinstance(self.max_attempts, bool) or not isinstance(self.max_attempts, int) or self.max_attempts < 1:
-            raise ModelValidationError("max_attempts must be an integer of at least 1")
-        for name, least in (("initial_delay", 0.0), ("multiplier", 1.0), ("max_delay", 0.0)):
-            value = getattr(self, name)
-            if isinstance(value, bool) or not isinstance(value, (int, float)) or not math.isfinite(value) or value < least:
-                raise ModelValidationError(f"{name} must be a finite number of at least {least}")
+        whole = type(self.max_attempts) is int
+        if not whole or self.max_attempts <= 0:
+            raise ModelValidationError(f"a policy needs one attempt or more, as a whole number, not {self.max_attempts!r}")
+        for field, low in {"initial_delay": 0, "max_delay": 0, "multiplier": 1}.items():
+            seconds = getattr(self, field)
+            real = type(seconds) in (int, float) and math.isfinite(seconds)
+            if not real or seconds < low:
+                raise ModelValidationError(f"{field}: expected a finite number from {low} up, got {seconds!r}")
 
     def delays(self) -> list[float]:
         """Waits after each failed attempt but the last."""
@@ -301,6 +303,23 @@ def recovery_outcome(final: DataFrame) -> DataFrame:
     return final.withColumn("recovery", F.when(~routed, "not_routed").when(F.col("embedded_sentence").isNotNull(), "recovered").otherwise("unresolved"))
 
 
+def recovery_evaluation(final: DataFrame, gold: DataFrame) -> DataFrame:
+    """batch_id, input_index and outcome of every routed sentence against its gold category (batch_id, input_index, gold).
+
+    promoted_right: promoted to the gold category; promoted_wrong: to another, or though the gold one is Incomplete;
+    stayed_right: not promoted, and Incomplete is right; missed: not promoted, though a complete sentence was there.
+    """
+    routed = final.filter(F.size("agent_path") > 1).join(gold.select("batch_id", "input_index", "gold"), ["batch_id", "input_index"])
+    promoted = F.col("embedded_sentence").isNotNull()
+    outcome = (
+        F.when(promoted & (F.col("final_category") == F.col("gold")), "promoted_right")
+        .when(promoted, "promoted_wrong")
+        .when(F.col("gold") == INCOMPLETE, "stayed_right")
+        .otherwise("missed")
+    )
+    return routed.select("batch_id", "input_index", outcome.alias("outcome"))
+
+
 def disagreements(old: DataFrame, new: DataFrame) -> DataFrame:
     """Inputs that two classifier versions put into different categories."""
     right = new.select("batch_id", "input_index", F.col("final_category").alias("new_category"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import os
 import struct
@@ -14,6 +16,7 @@ from corpuslens.errors import ProfileExecutionError
 from corpuslens.operators.experiment import MODES, PROFILES, configuration_means, overall_ranking
 from corpuslens.operators.lines import page_payload
 from corpuslens.operators.metrics import evaluate, format_report, macro_average, require_samples
+from corpuslens.plans.scratch import Scratch
 from corpuslens.sources.json_files import load_samples, stem
 
 
@@ -55,26 +58,54 @@ def write_profile_images(made: DataFrame, uri: str) -> None:
     rows.foreachPartition(save)
 
 
+#: What a reader of the results should know.
+NOTES = [
+    "An engine's confidence says little about accuracy.",
+    "Removing ruled lines can remove strokes of letters too.",
+    "Confidence alone never decides the ranking.",
+]
+
+
 def write_experiment(records: DataFrame, path: str, threshold: float) -> None:
-    """records as JSON lines and CSV folders, and a small results.json with the ranking."""
+    """records as folders of JSON lines and CSV (for any size), and results.json and results.csv as single files.
+
+    The single files are streamed row by row to the shared store under ``path``, so the driver holds one partition at a time.
+    """
+    from pyarrow import fs
+
+    saved = Scratch(records.sparkSession, "experiment").save(records)
     try:
-        records.write.mode("overwrite").json(f"{path}/records")
-        records.write.mode("overwrite").option("header", True).csv(f"{path}/records_csv")
-        ranking = [r.asDict() for r in overall_ranking(configuration_means(records)).orderBy("overall_rank").collect()]
+        saved.write.mode("overwrite").json(f"{path}/records")
+        saved.write.mode("overwrite").option("header", True).csv(f"{path}/records_csv")
+        ranking = [r.asDict() for r in overall_ranking(configuration_means(saved)).orderBy("overall_rank").collect()]
         summary = {
-            "notes": ["confidence is engine-specific and not accuracy"],
+            "notes": NOTES,
             "low_confidence_threshold": threshold,
             "psm_modes": MODES,
             "profiles": PROFILES,
-            "ranking_basis": ["composite_score", "sfs", "sentence_f1", "wer", "cer", "profile", "psm"],
+            "ranking_basis": "composite score, source fidelity, sentence F1, word and character error rate of pages with a ground truth; none without one",
             "overall_ranking": ranking,
         }
-        text = records.sparkSession.createDataFrame([(json.dumps(summary, ensure_ascii=False),)], "value string")
-        text.coalesce(1).write.mode("overwrite").text(f"{path}/summary")
+        store, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(os.path.expanduser(path))}")
+        ordered = saved.orderBy("page", "profile", "psm")
+        with store.open_output_stream(f"{root}/results.json") as out, store.open_output_stream(f"{root}/results.csv") as table:
+            head = json.dumps(summary, ensure_ascii=False, indent=2)
+            out.write((head.removesuffix("\n}") + ',\n  "results": [').encode())
+            table.write((csv_line(saved.columns)).encode())
+            for i, row in enumerate(ordered.toLocalIterator()):
+                out.write((("," if i else "") + "\n    " + json.dumps(row.asDict(), ensure_ascii=False)).encode())
+                table.write(csv_line(["" if v is None else v for v in row]).encode())
+            out.write(b"\n  ]\n}\n")
     except OSError as x:
         raise ProfileExecutionError(f"could not write {path}") from x
 
 
+def csv_line(values: list) -> str:
+    text = io.StringIO()
+    csv.writer(text, lineterminator="\n").writerow(values)
+    return text.getvalue()
+
+
 def report_samples(samples: DataFrame) -> str:
     """Per-sample table and macro row of an evaluation set; results are collected, so this is for reports."""
     results = evaluate(samples)

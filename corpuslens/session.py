@@ -7,6 +7,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+from corpuslens.errors import ConfigurationError
+
 
 def get_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str = "corpuslens") -> SparkSession:
     """Local session for tests and benchmarks; clusters bring their own session."""
@@ -24,7 +26,7 @@ def get_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by spark.checkpoint.dir; one is made only where the setting is absent (tests)."""
+    """Folder named by spark.checkpoint.dir; where the setting is absent, a local master gets a folder and a cluster an error."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if found:
@@ -32,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     jvm_dir = context._jsc.sc().getCheckpointDir()
     if jvm_dir.isDefined():
         return jvm_dir.get().rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ConfigurationError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = "file://" + os.path.realpath(tempfile.mkdtemp(prefix="corpuslens-"))
     context.setCheckpointDir(made)
     return made

@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STATES = ["queued", "processing_ocr", "classifying", "completed", "failed"]
 NEXT = {None: {"queued"}, "queued": {"processing_ocr", "failed"}, "processing_ocr": {"classifying", "failed"}, "classifying": {"completed", "failed"}, "completed": set(), "failed": set()}
+RETENTION_MS = 24 * 3600 * 1000
 TRANSITIONS = "job_id string, from_state string, to_state string, ts timestamp, seconds double, accepted boolean"
 
 
@@ -27,6 +28,9 @@ def step(current: str | None, wanted: str) -> bool:
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     current, since = state.get if state.exists else (None, None)
     out = []
     events = pd.concat(list(batches)).sort_values(["ts", "state"], key=lambda c: c.map(STATES.index) if c.name == "state" else c)
@@ -36,18 +40,35 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         out.append((key[0], current, r.state, r.ts, seconds, ok))
         if ok:
             current, since = r.state, r.ts.timestamp()
-    if current in ("completed", "failed"):
-        state.remove()
-        state.update((current, since))
-    elif current is not None:
+    if current is not None:
         state.update((current, since))
+        state.setTimeoutTimestamp(max(int(events["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + RETENTION_MS)
     yield pd.DataFrame(out, columns=["job_id", "from_state", "to_state", "ts", "seconds", "accepted"])
 
 
 def transitions(events: DataFrame) -> DataFrame:
-    """One row per event: whether it was a legal step of its job, and the seconds spent in the state before."""
+    """One row per event: whether it was a legal step of its job, and the seconds spent in the state before.
+
+    events need a watermark on ts (as from deduplicated). A job is forgotten when the watermark has passed its last event by
+    RETENTION_MS; until then, steps after its last state are refused.
+    """
     keyed = events.select("job_id", "state", "ts").groupBy("job_id")
-    return keyed.applyInPandasWithState(_advance, TRANSITIONS, "state string, since double", "append", GroupStateTimeout.NoTimeout)
+    return keyed.applyInPandasWithState(_advance, TRANSITIONS, "state string, since double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def queue_depth(steps: DataFrame, window: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
+    """Jobs that entered and left each state by tumbling window, and the difference: the growth of the state's queue."""
+    rows = steps.filter("accepted").withWatermark("ts", delay)
+    moves = F.array(F.struct(F.col("to_state").alias("state"), F.lit(1).alias("into"), F.lit(0).alias("out_of")), F.struct(F.col("from_state").alias("state"), F.lit(0).alias("into"), F.lit(1).alias("out_of")))
+    each = rows.select("ts", F.explode(moves).alias("m")).filter("m.state IS NOT NULL")
+    sums = each.groupBy(F.window("ts", window), F.col("m.state").alias("state")).agg(F.sum("m.into").alias("entered"), F.sum("m.out_of").alias("left"))
+    return sums.withColumn("growth", F.col("entered") - F.col("left"))
+
+
+def throughput(steps: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """Jobs completed and failed by tumbling window."""
+    rows = steps.filter("accepted AND to_state IN ('completed', 'failed')").withWatermark("ts", delay)
+    return rows.groupBy(F.window("ts", window)).agg(F.count_if(F.col("to_state") == "completed").alias("completed"), F.count_if(F.col("to_state") == "failed").alias("failed"))
 
 
 def stage_latency(steps: DataFrame, window: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:

@@ -127,3 +127,11 @@ def test_disagreements(spark):
     schema = "batch_id string, input_index int, final_category string"
     old, new = spark.createDataFrame([("b", 0, "Simple"), ("b", 1, "Simple")], schema), spark.createDataFrame([("b", 0, "Simple"), ("b", 1, "Complex")], schema)
     assert [r["input_index"] for r in C.disagreements(old, new).collect()] == [1]
+
+
+def test_recovery_against_gold(spark):
+    final = spark.createDataFrame([("b", i, c, e, ["classifier", "embedded_sentence"][:n]) for i, (c, e, n) in enumerate([("Simple", "x", 2), ("Simple", "x", 2), ("Simple", "x", 2), ("Incomplete", None, 2), ("Incomplete", None, 2), ("Simple", None, 1)])],
+        "batch_id string, input_index int, final_category string, embedded_sentence string, agent_path array<string>")
+    gold = spark.createDataFrame([("b", i, g) for i, g in enumerate(["Simple", "Complex", "Incomplete", "Incomplete", "Simple", "Simple"])], "batch_id string, input_index int, gold string")
+    found = {r["input_index"]: r["outcome"] for r in C.recovery_evaluation(final, gold).collect()}
+    assert found == {0: "promoted_right", 1: "promoted_wrong", 2: "promoted_wrong", 3: "stayed_right", 4: "missed"}
