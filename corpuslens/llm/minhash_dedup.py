@@ -4,7 +4,7 @@ A document is the weighted set of its five-word shingles: weight = count in the
 1 + log10((1 + N) / (1 + df)), where N counts the distinct texts and df those that hold the shingle, both exactly.
 
 * Document frequencies: texts are dealt into chunks of about CHUNK_BYTES. Each chunk counts its texts by shingle, so that a
-  shingle that every text has is one number a chunk, and sends the counts, as sorted arrays, to buckets of hash ranges. A bucket
+  shingle that every text has is one number a chunk, and sends the counts, as sorted arrays, to hash ranges. A range
   adds them up and answers each chunk with the shingles that two texts or more have; all others have a frequency of 1.
 * Signatures: for each of BANDS * ROWS hash functions, improved consistent weighted sampling draws
   r, c ~ Gamma(2, 1) and beta ~ U(0, 1) from the shingle's hash; t = floor(ln w / r + beta),
@@ -240,6 +240,17 @@ def _same_id(by_id: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame
 # -- document frequencies --------------------------------------------------------------------
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    """Ascending hashes as differences, byte plane by byte plane: the leading planes are mostly zero and compress away."""
+    steps = np.diff(hashes, prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    return np.cumsum(steps, dtype=np.uint64)
+
+
 def _count_by_range(ranges: int) -> Callable:
     """Texts by shingle of each chunk, as sorted arrays for each hash range; a chunk may come in parts."""
     limits = np.array([-(-(i << 64) // ranges) for i in range(1, ranges)], np.uint64)
@@ -252,8 +263,8 @@ def _count_by_range(ranges: int) -> Callable:
             h, n = np.unique(np.concatenate(held), return_counts=True)
             cuts = np.concatenate([[0], np.searchsorted(h, limits), [len(h)]])
             full = np.flatnonzero(np.diff(cuts))
-            parts = lambda x: pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), now)), parts(h), parts(n.astype(np.uint32))], names=["range", "chunk", "hashes", "n"])
+            parts = lambda x, code: pa.array([code(x[cuts[i] : cuts[i + 1]]) for i in full], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), now)), parts(h, packed), parts(n.astype(np.uint32), np.ndarray.tobytes)], names=["range", "chunk", "hashes", "n"])
 
         for batch in (part for whole in batches for part in slices(whole)):
             hashes, _, offsets = weighted_sets(batch.column("text"))
@@ -276,7 +287,7 @@ def _add_up(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iter
     chunks, hashes, counts = [], [], []
     for batch in parts:
         chunks += batch.column("chunk").to_pylist()
-        hashes += [np.frombuffer(x, np.uint64) for x in batch.column("hashes").to_pylist()]
+        hashes += [unpacked(x) for x in batch.column("hashes").to_pylist()]
         counts += [np.frombuffer(x, np.uint32) for x in batch.column("n").to_pylist()]
     _, at = np.unique(np.concatenate(hashes), return_inverse=True)
     df = np.bincount(at, weights=np.concatenate(counts)).astype(np.uint32)
@@ -285,7 +296,7 @@ def _add_up(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iter
         n = df[at[begin : begin + len(h)]]
         begin += len(h)
         if (n > 1).any():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([h[n > 1].tobytes()], pa.binary()), pa.array([n[n > 1].tobytes()], pa.binary())], names=["chunk", "hashes", "df"])
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([packed(h[n > 1])], pa.binary()), pa.array([n[n > 1].tobytes()], pa.binary())], names=["chunk", "hashes", "df"])
 
 
 def document_frequencies(texts: DataFrame, n_bytes: int) -> DataFrame:
@@ -302,8 +313,8 @@ def _signer(n_texts: int) -> Callable:
     def sign(key: tuple[pa.Scalar, ...], texts: pa.Table, frequent: pa.Table) -> pa.Table:
         """Bands of the texts of a chunk, and the frequencies of their shingles in sorted order."""
         sampler = _sampler()
-        joined = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in frequent.column(name).to_pylist())])
-        known, df = joined("hashes", np.uint64), joined("df", np.uint32)
+        known = np.concatenate([np.zeros(0, np.uint64), *(unpacked(x) for x in frequent.column("hashes").to_pylist())])
+        df = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x, np.uint32) for x in frequent.column("df").to_pylist())])
         known, first = np.unique(known, return_index=True)  # a chunk that came in parts has two answers, which agree
         df = df[first]
         out = []
