@@ -15,9 +15,13 @@ from corpuslens.operators import classification as C
 from corpuslens.operators import experiment as X
 from corpuslens.operators import lines as L
 from corpuslens.operators import metrics as M
+from corpuslens.operators import monitoring as O
 from corpuslens.operators import reading_order as R
 from corpuslens.operators import tokens as K
-from corpuslens.sources.json_files import duplicates, stem
+from corpuslens.plans import sinks, store
+from corpuslens.plans.scratch import Scratch
+from corpuslens.sources.json_files import duplicates, load_ground_truth, load_samples, stem
+from corpuslens.streaming import jobs
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -38,6 +42,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt over all cores by a hash, if the table has fewer partitions; for work that is heavy per row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *columns) if df.rdd.getNumPartitions() < cores else df
+
+
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in columns})
 
@@ -100,12 +110,12 @@ def corrupted(text: Column) -> Column:
 
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as transcription pairs."""
-    turns = _table(spark, sf_dir, "conversations")
+    turns = _spread(_table(spark, sf_dir, "conversations"), "conv_id", "turn")
     return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("sample_id"), F.col("text").alias("ground_truth"), corrupted(F.col("text")).alias("predicted"))
 
 
 def item_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _table(spark, sf_dir, "benchmark")
+    items = _spread(_table(spark, sf_dir, "benchmark"), "item_id")
     return items.select(F.col("item_id").alias("sample_id"), F.col("text").alias("ground_truth"), corrupted(F.col("text")).alias("predicted"))
 
 
@@ -222,9 +232,11 @@ def page_texts(spark, sf_dir):
     return pages.select("doc_id", F.md5(F.col("raw_text").cast("binary")).alias("raw_md5"), F.md5(F.col("body_text").cast("binary")).alias("body_md5"), F.size("sentences").alias("n_sentences"), F.size("excluded_metadata_lines").alias("n_excluded"))
 
 
-@query(f"WITH {_WORDS} SELECT doc_id, round(avg(confidence), 6) AS mean_confidence, median(confidence) AS median_confidence, round(avg((confidence < 60)::INT), 6) AS low_confidence_token_ratio, count(*) AS non_empty_token_count FROM t GROUP BY doc_id")
+@query(f"WITH {_WORDS}, k AS (SELECT doc_id, line % 4 = 3 AS keyless, CASE WHEN line % 4 = 3 THEN -1 ELSE line END AS key, min(ord) AS first, string_agg(text, ' ' ORDER BY ord) AS text FROM t GROUP BY ALL), "
+    "p AS (SELECT doc_id, md5(string_agg(text, chr(10) ORDER BY first)) AS raw_md5 FROM k GROUP BY doc_id) SELECT doc_id, any_value(raw_md5) AS raw_md5, round(avg(confidence), 6) AS mean_confidence, median(confidence) AS median_confidence, round(avg((confidence < 60)::INT), 6) AS low_confidence_token_ratio, count(*) AS non_empty_token_count FROM t JOIN p USING (doc_id) GROUP BY doc_id")
 def confidence_statistics(spark, sf_dir):
-    stats = L.confidence_statistics(document_tokens(spark, sf_dir)).drop("raw_text")
+    """Lines without a number are one line here ("None"), unlike in line_assembly."""
+    stats = L.confidence_statistics(document_tokens(spark, sf_dir)).withColumn("raw_md5", F.md5(F.col("raw_text").cast("binary"))).drop("raw_text")
     return _rounded(stats, "mean_confidence", "low_confidence_token_ratio")
 
 
@@ -254,11 +266,93 @@ def resize_geometry(spark, sf_dir):
     return _rounded(out, "scale_x", "scale_y")
 
 
-@query()
+@query(f"WITH {_WORDS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS INTEGER) AS ord, text, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY line) AS INTEGER) AS line_num FROM t")
 def reading_order(spark, sf_dir):
-    """Lines rebuilt from boxes alone; sequential best-match grouping has no SQL form (see the tests)."""
-    jitter = F.pmod(F.xxhash64("doc_id", "ord"), F.lit(5)).cast("int")
-    return R.reconstruct(document_tokens(spark, sf_dir).withColumn("top", F.col("top") + jitter)).select("doc_id", "ord", "text", "line_num")
+    """Lines rebuilt from boxes alone, each token moved up or down by up to four pixels of its line's fifteen.
+
+    Lines are twenty apart, so that the rules must find the document's own lines and order again.
+    """
+    shift = (F.col("doc_id") * 7 + F.col("ord") * 3) % 5
+    return R.reconstruct(document_tokens(spark, sf_dir).withColumn("top", (F.col("top") + shift).cast("int"))).select("doc_id", "ord", "text", "line_num")
+
+
+_SAID = "CASE (ord * 7 + doc_id) % 13 WHEN 0 THEN 'nan' WHEN 1 THEN 'x' WHEN 2 THEN ' 12.5 ' ELSE CAST(CAST(confidence AS INTEGER) AS VARCHAR) END"
+_NUMBER = "CASE WHEN (line + doc_id) % 9 = 4 THEN '' WHEN line % 4 = 3 THEN NULL ELSE CAST(line + 1 AS VARCHAR) END"
+
+
+@query(f"""WITH {_WORDS}, a AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS INTEGER) AS place, text, {_SAID} AS said, {_NUMBER} AS number, (ord % 100000) * 50 AS x, top FROM t),
+c AS (SELECT *, CASE WHEN said IN ('nan', 'x') THEN NULL ELSE TRY_CAST(said AS DOUBLE) END AS confidence FROM a)
+SELECT doc_id, place AS ord, text, confidence, CAST(x AS INTEGER) AS "left", CAST(top AS INTEGER) AS top, CAST(45 AS INTEGER) AS width, CAST(15 AS INTEGER) AS height, CAST(1 AS INTEGER) AS page_num, CAST(NULL AS INTEGER) AS block_num, CAST(NULL AS INTEGER) AS paragraph_num,
+  TRY_CAST(number AS INTEGER) AS line_num, '1|||' || coalesce(number, 'None') || CASE WHEN number = '' THEN '|' || top ELSE '' END AS line_key, CASE WHEN confidence IS NULL THEN 'bad_confidence' END AS error FROM c""")
+def word_table(spark, sf_dir):
+    """Engine payloads of parallel string arrays back to tokens: fractions, missing arrays, bad numbers and line keys."""
+    words = document_tokens(spark, sf_dir)
+    odd = (F.col("ord") * 7 + F.col("doc_id")) % 13
+    said = F.when(odd == 0, "nan").when(odd == 1, "x").when(odd == 2, " 12.5 ").otherwise(F.col("confidence").cast("int").cast("string"))
+    line = F.floor(F.col("ord") / 100000)
+    number = F.when((line + F.col("doc_id")) % 9 == 4, "").otherwise(F.col("line_num").cast("string"))
+    token = F.struct("ord", "text", said.alias("conf"), F.concat(F.col("left").cast("string"), F.lit(".75")).alias("left"), F.col("top").cast("string").alias("top"), F.lit("45").alias("width"), F.lit("15").alias("height"), F.lit("1").alias("page_num"), number.alias("line_num"))
+    pages = words.groupBy("doc_id").agg(F.array_sort(F.collect_list(token)).alias("t"))
+    pick = lambda c: F.transform("t", lambda x: x[c]).alias(c)
+    payload = pages.select("doc_id", F.struct(*[pick(c) for c in ("text", "conf", "left", "top", "width", "height", "page_num", "line_num")]).alias("data"))
+    return K.word_table_tokens(payload).withColumn("line_key", F.array_join("line_key", "|"))
+
+
+_EDGE = "CASE i % 4 WHEN 3 THEN -1 ELSE 1 END"
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(range(0, len(x))) AS i, unnest(x) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+v AS (SELECT doc_id, i, text, ((doc_id * 13 + i * 7) % 120) / 100.0::DOUBLE AS score, CAST((i * 11) % 300 - 20 AS DOUBLE) AS x1, CAST((i * 17) % 200 - 10 AS DOUBLE) AS y1 FROM l WHERE regexp_matches(text, '\S')),
+e AS (SELECT *, x1 + 33 * {_EDGE} AS x2, y1 + 12 AS y2, score <= 1 AS good, i % 4 <> 3 AS boxed FROM v),
+p AS (SELECT *, {_PLACE.format("(x1 / 0.5)", 400)} AS l, {_PLACE.format("(x2 / 0.5)", 400)} AS r, {_PLACE.format("(y1 / 0.8)", 200)} AS t, {_PLACE.format("(y2 / 0.8)", 200)} AS b FROM e)
+SELECT doc_id, CAST(i AS INTEGER) AS ord, md5(text) AS text_md5, CASE WHEN good THEN round(score * 100, 6) END AS confidence, CASE WHEN boxed THEN l END AS "left", CASE WHEN boxed THEN t END AS top, CASE WHEN boxed THEN greatest(r - l, 0) END AS width, CASE WHEN boxed THEN greatest(b - t, 0) END AS height,
+  CASE WHEN NOT good THEN 'bad_score' WHEN NOT boxed THEN 'bad_box' END AS error FROM p""")
+def line_results(spark, sf_dir):
+    """Line-recognition results to tokens: scores, boxes or polygons, and places in the source image."""
+    pages = _table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("rec_texts"))
+    score = lambda i: ((F.col("doc_id") * 13 + i * 7) % 120).cast("double") / 100.0
+    left, top = lambda i: ((i * 11) % 300 - 20).cast("double"), lambda i: ((i * 17) % 200 - 10).cast("double")
+    right = lambda i: left(i) + F.when(i % 4 == 3, -33.0).otherwise(33.0)
+    box = lambda _, i: F.when(i % 2 == 1, F.array(left(i), top(i), right(i), top(i) + 12))
+    polygon = lambda _, i: F.when(i % 2 == 0, F.array(F.array(left(i), top(i)), F.array(right(i), top(i)), F.array(right(i), top(i) + 12), F.array(left(i), top(i) + 12)))
+    sizes = {"width": F.lit(400), "height": F.lit(200), "scale_x": F.lit(0.5), "scale_y": F.lit(0.8)}
+    pages = pages.withColumns({"rec_scores": F.transform("rec_texts", lambda _, i: score(i)), "rec_boxes": F.transform("rec_texts", box), "rec_polys": F.transform("rec_texts", polygon), **sizes})
+    return _rounded(K.line_result_tokens(pages), "confidence").select("doc_id", "ord", F.md5(F.col("text").cast("binary")).alias("text_md5"), "confidence", *K.BOX, "error")
+
+
+@query("""SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 0 THEN turn WHEN 1 THEN turn + 1 WHEN 5 THEN turn END AS n FROM conversations""")
+def page_json(spark, sf_dir):
+    """Wrapped and direct page results; lists, a wrapper without an object and broken text are none."""
+    kind, turn = (F.col("conv_id") + F.col("turn")) % 6, F.col("turn")
+    shapes = ['{"res": {"n": %d}, "n": 0}', '{"n": %d}', "[%d]", '{"res": %d}', '{"n": %d', '{"other": 1, "res": {"n": %d}}']
+    raw = F.lit(None).cast("string")
+    for k, shape in enumerate(shapes):
+        raw = F.when(kind == k, F.format_string(shape, turn + (1 if k == 1 else 0))).otherwise(raw)
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.get_json_object(K.page_result(raw), "$.n").try_cast("long").alias("n"))
+
+
+@query("""WITH i AS (SELECT p_partkey, p_size % 5 AS w, p_partkey % 4 + 1 AS h, p_partkey % 5 - 1 AS c, p_size % 7 = 0 AS short FROM part)
+SELECT p_partkey, CASE WHEN c < 0 THEN 'undecodable' WHEN c <> 3 THEN 'wrong_channels' WHEN w < 3 OR h < 3 THEN 'too_small' WHEN short THEN 'bad_size' END AS page_error,
+  CASE WHEN c < 0 THEN 'undecodable' WHEN c NOT IN (1, 3) THEN 'wrong_channels' WHEN w < 1 OR h < 1 THEN 'too_small' WHEN short THEN 'bad_size' END AS line_error FROM i""")
+def image_codes(spark, sf_dir):
+    """What pages for preprocessing and images for line recognition must be."""
+    sizes = _table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 5).alias("w"), (F.col("p_partkey") % 4 + 1).cast("int").alias("h"), (F.col("p_partkey") % 5 - 1).cast("int").alias("c"), (F.col("p_size") % 7 == 0).alias("short"))
+    n = F.greatest(F.col("w") * F.col("h") * F.col("c"), F.lit(0)) + F.when(F.col("short"), 1).otherwise(0)
+    image = F.struct(F.lit("x").alias("origin"), F.col("h").alias("height"), F.col("w").alias("width"), F.col("c").alias("nChannels"), F.lit(16).alias("mode"), F.repeat(F.lit("x"), n).cast("binary").alias("data"))
+    return sizes.withColumn("image", image).select("p_partkey", K.image_errors(F.col("image")).alias("page_error"), K.image_errors(F.col("image"), **K.LINE_IMAGES).alias("line_error"))
+
+
+@query(rf"""WITH {_MARKED}, low AS (SELECT doc_id, count(*) AS n FROM t WHERE confidence < 60 GROUP BY doc_id),
+pages AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY line_idx) AS raw_text, coalesce(string_agg(text, chr(10) ORDER BY line_idx) FILTER (WHERE NOT excluded), '') AS body_text FROM marked GROUP BY doc_id)
+SELECT md5(coalesce(raw_text, '')) AS raw_md5, CAST(len({_SENTENCES.format("coalesce(body_text, '')")}) AS INTEGER) AS n_sentences, CAST(coalesce(n, 0) AS INTEGER) AS n_low, 'replay' AS engine FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN pages USING (doc_id) LEFT JOIN low USING (doc_id)""")
+def page_files(spark, sf_dir):
+    """Whole page results written as JSON lines and read back."""
+    heights = _table(spark, sf_dir, "documents").select("doc_id", F.lit(1000).alias("image_height")).distinct()
+    path = Scratch(spark, "pages").path("json")
+    sinks.write_pages(L.recognise_pages(document_tokens(spark, sf_dir), heights), path)
+    schema = "raw_text string, sentences array<string>, low_confidence_regions array<struct<text: string>>, engine_name string"
+    found = spark.read.schema(schema).json(path)
+    return found.select(F.md5(F.col("raw_text").cast("binary")).alias("raw_md5"), F.size("sentences").alias("n_sentences"), F.size("low_confidence_regions").alias("n_low"), F.col("engine_name").alias("engine"))
 
 
 # -- experiment ------------------------------------------------------------------------------
@@ -279,19 +373,21 @@ def recognised(text: Column) -> Column:
 
 
 def experiment_records(spark, sf_dir):
+    """Every benchmark item as a page with a truth, and beside it an empty page without one."""
     items = _table(spark, sf_dir, "benchmark").select(F.concat(F.lit("p"), "item_id").alias("page"), "item_id", "text")
     cells = X.grid(items)
     records = cells.select("page", "profile", "psm", recognised(F.col("text")).alias("raw_text"))
-    truth = items.filter("item_id % 5 <> 0").select("page", F.col("text").alias("ground_truth"))
-    return X.with_truth(records, truth)
+    blank = items.select(F.concat("page", F.lit("-blank")).alias("page"), F.lit("").alias("text"))
+    unseen = X.grid(blank).select("page", "profile", "psm", F.col("text").alias("raw_text"))
+    return X.with_truth(records.unionByName(unseen), items.select("page", F.col("text").alias("ground_truth")))
 
 
 _SQL_PROFILE = "CASE profile " + " ".join(f"WHEN '{p}' THEN replace(text, '{a}', '{b}')" for p, (a, b) in _EDITS.items()) + " END"
 _SQL_MODE = "CASE psm WHEN 4 THEN x " + " ".join(f"WHEN {m} THEN replace(x, '{e[0]}', '{e[1]}')" for m, e in _MODE_EDITS.items() if e) + " END"
 _GRID = (
     "cells AS (SELECT item_id, 'p' || item_id AS page, text, profile, psm FROM benchmark, (VALUES " + ", ".join(f"('{p}')" for p in _EDITS) + ") a(profile), (VALUES (4), (6), (11), (12)) b(psm)), "
-    f"seen AS (SELECT item_id, page, text, profile, psm, {_SQL_MODE} AS raw_text FROM (SELECT *, {_SQL_PROFILE} AS x FROM cells)), "
-    + _pairs("SELECT page || '/' || profile || '/' || psm AS id, text AS truth, raw_text AS predicted FROM seen WHERE item_id % 5 <> 0")
+    f"seen AS (SELECT page, text, profile, psm, {_SQL_MODE} AS raw_text FROM (SELECT *, {_SQL_PROFILE} AS x FROM cells) UNION ALL SELECT page || '-blank', NULL, profile, psm, '' FROM cells), "
+    + _pairs("SELECT page || '/' || profile || '/' || psm AS id, text AS truth, raw_text AS predicted FROM seen WHERE text IS NOT NULL")
     + f", {_METRICS}, rec AS MATERIALIZED (SELECT s.page, s.profile, s.psm, m.id IS NOT NULL AS ground_truth_available, cer, wer, sentence_f1, composite_score, sfs FROM seen s LEFT JOIN m ON m.id = s.page || '/' || s.profile || '/' || s.psm)"
 )
 _ORDER = "round(composite_score, 9) DESC, round(sfs, 9) DESC, round(sentence_f1, 9) DESC, round(wer, 9), round(cer, 9), profile, psm"
@@ -306,10 +402,7 @@ def _comparable(records: DataFrame) -> DataFrame:
 @query(f"WITH RECURSIVE {_GRID}, k AS (SELECT profile, psm, row_number() OVER (ORDER BY round(c, 9) DESC, round(s, 9) DESC, round(f, 9) DESC, round(w, 9), round(r, 9), profile, psm) AS overall_rank FROM (SELECT profile, psm, avg(round(composite_score, 9)) AS c, avg(round(sfs, 9)) AS s, avg(round(sentence_f1, 9)) AS f, avg(round(wer, 9)) AS w, avg(round(cer, 9)) AS r FROM rec WHERE ground_truth_available GROUP BY ALL)) "
     f"SELECT page, profile, psm, ground_truth_available, {', '.join(f'round({c}, 6) AS {c}' for c in _SCORES)}, CAST(CASE WHEN ground_truth_available THEN row_number() OVER (PARTITION BY page, ground_truth_available ORDER BY {_ORDER}) END AS INTEGER) AS page_rank, CAST(overall_rank AS INTEGER) AS overall_rank FROM rec JOIN k USING (profile, psm)")
 def profile_ranking(spark, sf_dir):
-    records = _comparable(experiment_records(spark, sf_dir))
-    means = _comparable(X.configuration_means(records))
-    ranking = X.overall_ranking(means).select("profile", "psm", "overall_rank")
-    out = X.page_ranks(records).join(F.broadcast(ranking), ["profile", "psm"], "left")
+    out = X.rank_records(_comparable(experiment_records(spark, sf_dir)), _comparable)
     return _rounded(out, *_SCORES).select("page", "profile", "psm", "ground_truth_available", *_SCORES, "page_rank", "overall_rank")
 
 
@@ -406,13 +499,90 @@ def final_route(spark, sf_dir):
     return C.recovery_outcome(C.finalise(primary, embedded)).select("batch_id", "input_index", "final_category", "embedded_sentence", "reason", "error", "recovery")
 
 
-@query()
+_RULED = rf"""{_BATCHES.split("c AS (")[0].rstrip().rstrip(",")},
+w AS (SELECT *, list_transform({_TOKENS.format("sentence")}, lambda x: lower(trim(x, '.,;!?'))) AS words FROM i),
+x AS (SELECT *, len(list_intersect(words, ['and', 'but', 'or', 'so'])) > 0 AS joined, len(list_intersect(words, ['because', 'when', 'which', 'that', 'if'])) > 0 AS dependent FROM w),
+y AS MATERIALIZED (SELECT batch_id, input_index, sentence, len(words) || ' words' AS said, CASE WHEN len(words) < 3 THEN 'Incomplete' WHEN joined AND dependent THEN 'Compound-Complex' WHEN dependent THEN 'Complex' WHEN joined THEN 'Compound' ELSE 'Simple' END AS category FROM x)"""
+
+
+@query(f"""WITH {_RULED} SELECT batch_id, input_index, sentence AS original_sentence, category AS final_category, category AS original_classifier_category,
+CASE WHEN category = 'Incomplete' THEN 'Classifier: ' || said || ' Embedded agent: too short Outcome: No complete embedded sentence was found.' ELSE said END AS reason, CAST(NULL AS VARCHAR) AS embedded_sentence,
+CASE WHEN category = 'Incomplete' THEN 'classifier>embedded_sentence' ELSE 'classifier' END AS agent_path FROM y""")
 def classify_batches(spark, sf_dir):
-    """The whole pipeline with the rule client (Python clients have no SQL form)."""
+    """The whole pipeline with the rule client: batch calls, matching, routing, final records."""
     out = C.classify(batch_sentences(spark, sf_dir))
     return out.withColumn("agent_path", F.array_join("agent_path", ">"))
 
 
+_K = "(input_index + length(sentence)) % 8"
+
+
+@query(f"""WITH {_BATCHES.split("c AS (")[0].rstrip().rstrip(",")} SELECT batch_id, input_index, CASE {_K} WHEN 1 THEN 'unknown_category' WHEN 2 THEN 'blank_reason' WHEN 3 THEN CASE WHEN NOT contains(sentence, 'zq') THEN 'span_not_in_sentence' END WHEN 5 THEN 'unknown_agent' WHEN 6 THEN 'unknown_agent' WHEN 7 THEN 'unknown_category' END AS record_error FROM i""")
+def final_records(spark, sf_dir):
+    """Rules of a final record: categories, reason, span inside the sentence, known agents."""
+    rows = batch_sentences(spark, sf_dir)
+    kind = (F.col("input_index") + F.length("sentence")) % 8
+    rows = rows.select(
+        "batch_id", "input_index", F.col("sentence").alias("original_sentence"), F.when(kind == 1, "Other").otherwise("Simple").alias("final_category"), F.when(kind == 7, "simple").otherwise("Incomplete").alias("original_classifier_category"),
+        F.when(kind == 2, " \t").otherwise("r").alias("reason"), F.when(kind == 3, "zq").when(kind == 4, F.substring("sentence", 2, 5)).alias("embedded_sentence"),
+        F.when(kind == 5, F.array(F.lit("classifier"), F.lit("other"))).when(kind == 6, F.array().cast("array<string>")).otherwise(F.array(F.lit("classifier"))).alias("agent_path"),
+    )
+    return C.final_error(rows).select("batch_id", "input_index", "record_error")
+
+
+#: kind of reply -> (status, spans as (text, complete, category), broken rule); {a} and {b} are the sentence's first and last word.
+_REPLIES = [
+    ("single", [("{a}", True, "Simple")], None),
+    ("multiple", [("{a}", True, "Complex"), ("{b}", False, None)], None),
+    ("incomplete_only", [("{a}", False, None)], None),
+    ("none", [("{a}", True, "Simple")], "status_contradicts_spans"),
+    ("multiple", [("{a}", True, "Simple")], "status_contradicts_spans"),
+    ("unclear", [], "unknown_status"),
+    ("single", [(" ", True, "Simple")], "blank_span"),
+    ("single", [("{a}", True, "Incomplete")], "complete_without_category"),
+    ("incomplete_only", [("{a}", False, "Simple")], "incomplete_with_category"),
+    ("single", [("{a}zq", True, "Simple")], "spans_out_of_order"),
+    ("invalid_category", [], "invalid_category"),
+]
+_KIND = f"CAST((input_index * 5 + length(sentence)) % {len(_REPLIES)} AS INTEGER)"
+
+
+@query(f"""WITH {_BATCHES.split("c AS (")[0].rstrip().rstrip(",")} SELECT batch_id, input_index, CASE WHEN input_index % 13 = 7 THEN 'altered_input' WHEN {_KIND} = 1 AND NOT contains(substr(sentence, length({_TOKENS.format("sentence")}[1]) + 1), {_TOKENS.format("sentence")}[-1]) THEN 'spans_out_of_order' ELSE CASE {_KIND} {" ".join(f"WHEN {k} THEN '{e}'" for k, (_, _, e) in enumerate(_REPLIES) if e)} END END AS error FROM i""")
+def embedded_contract(spark, sf_dir):
+    """Rules of an embedded agent's reply: input copied, status and spans agree, spans valid and in order."""
+    words = T.tokens(F.col("sentence"))
+    first, last = F.element_at(words, 1), F.element_at(words, -1)
+    text = lambda t: F.concat(first, F.lit("zq")) if t == "{a}zq" else {"{a}": first, "{b}": last}.get(t, F.lit(t))
+    span = lambda t, whole, c: F.struct(text(t).alias("text"), F.lit(whole).alias("is_complete"), F.lit(c).cast("string").alias("category"))
+    kind = (F.col("input_index") * 5 + F.length("sentence")) % len(_REPLIES)
+    status, spans = F.lit(None).cast("string"), F.array().cast(C.SPANS)
+    for k, (said, parts, _) in enumerate(_REPLIES):
+        status = F.when(kind == k, said).otherwise(status)
+        spans = F.when(kind == k, F.array(*[span(*x) for x in parts]).cast(C.SPANS)).otherwise(spans)
+    copied = F.when(F.col("input_index") % 13 == 7, F.concat("sentence", F.lit(" "))).otherwise(F.col("sentence"))
+    rows = batch_sentences(spark, sf_dir).withColumns({"input_sentence": copied, "status": status, "embedded_spans": spans, "embedded_reason": F.lit("r")})
+    return rows.select("batch_id", "input_index", C.embedded_error(F.col("sentence")).alias("error"))
+
+
+@query(f"WITH {_RULED} SELECT batch_id, input_index, category AS old_category, CASE WHEN category = 'Complex' OR input_index % 10 = 0 THEN 'Simple' ELSE category END AS new_category FROM y WHERE category <> 'Simple' AND (category = 'Complex' OR input_index % 10 = 0)")
+def version_disagreements(spark, sf_dir):
+    """Sentences that a second classifier, which knows no dependent clauses, judges otherwise."""
+    old = C.classify(batch_sentences(spark, sf_dir)).select("batch_id", "input_index", "final_category")
+    other = F.when((F.col("final_category") == "Complex") | (F.col("input_index") % 10 == 0), "Simple").otherwise(F.col("final_category"))
+    return C.disagreements(old, old.withColumn("final_category", other))
+
+
+@query(f"""WITH {_SPANS}, f AS (SELECT batch_id, input_index, status, CASE WHEN status = 'incomplete_only' THEN 'Incomplete' ELSE CASE best.c WHEN 1 THEN 'Simple' WHEN 2 THEN 'Compound' WHEN 3 THEN 'Complex' ELSE 'Compound-Complex' END END AS final,
+  CASE input_index % 3 WHEN 0 THEN 'Incomplete' WHEN 1 THEN 'Simple' ELSE 'Complex' END AS gold FROM b)
+SELECT batch_id, input_index, CASE WHEN status <> 'incomplete_only' THEN CASE WHEN final = gold THEN 'promoted_right' ELSE 'promoted_wrong' END WHEN gold = 'Incomplete' THEN 'stayed_right' ELSE 'missed' END AS outcome FROM f""")
+def recovery_evaluation(spark, sf_dir):
+    primary, embedded = routed(spark, sf_dir)
+    final = C.finalise(primary, embedded)
+    third = F.col("input_index") % 3
+    gold = primary.select("batch_id", "input_index", F.when(third == 0, "Incomplete").when(third == 1, "Simple").otherwise("Complex").alias("gold"))
+    return C.recovery_evaluation(final, gold)
+
+
 @query("WITH p AS (SELECT o_orderkey, CAST(o_orderkey % 5 + 1 AS INTEGER) AS max_attempts, 0.25::DOUBLE * (o_custkey % 4) AS initial_delay FROM orders), a AS (SELECT *, unnest(range(1, max_attempts)) AS attempt FROM p) SELECT o_orderkey, CAST(attempt AS INTEGER) AS attempt, least(initial_delay * pow(2, attempt - 1), 2.0::DOUBLE) AS delay FROM a")
 def backoff_schedule(spark, sf_dir):
     orders = _table(spark, sf_dir, "orders")
@@ -451,3 +621,172 @@ def confusion_matrix(spark, sf_dir):
 round((SELECT count(*) FROM j WHERE gold = label AND predicted = label) / nullif((SELECT count(*) FROM j WHERE gold = label), 0)::DOUBLE, 6) AS recall FROM l""")
 def precision_recall(spark, sf_dir):
     return _rounded(M.precision_recall(_judged(spark, sf_dir), "gold", "predicted"), "precision", "recall")
+
+
+@query(f"SELECT CAST(item_id AS VARCHAR) AS sample_id, text AS ground_truth, {_CORRUPT.format('text')} AS predicted FROM benchmark")
+def evaluation_file(spark, sf_dir):
+    """Samples written as one JSON list and read through the checked source."""
+    items = item_pairs(spark, sf_dir).select(F.struct(F.col("sample_id").cast("string").alias("sample_id"), "ground_truth", "predicted", F.lit(1).alias("extra")).alias("s"))
+    path = Scratch(spark, "samples").path("json")
+    items.agg(F.to_json(F.array_sort(F.collect_list("s"))).alias("value")).write.text(path)
+    return load_samples(spark, path)
+
+
+@query("SELECT 'p' || item_id || '.v1' AS page, text AS ground_truth FROM benchmark")
+def ground_truth_file(spark, sf_dir):
+    """A map of pages, half of them with nested texts, written as JSON and read through the checked source."""
+    items = _table(spark, sf_dir, "benchmark").select(F.concat(F.lit("scans/p"), "item_id", F.lit(".v1.png")).alias("k"), "item_id", "text")
+    quoted = lambda c: F.element_at(F.split(F.to_json(F.struct(c.alias("x"))), '"x":'), 2)
+    value = F.when(F.col("item_id") % 2 == 0, F.to_json(F.struct(F.col("text").alias("ground_truth")))).otherwise(F.rtrim(quoted(F.col("text")), F.lit("}")))
+    pairs = items.select(F.concat(F.lit('"'), "k", F.lit('": '), value).alias("pair"))
+    path = Scratch(spark, "truth").path("json")
+    pairs.agg(F.concat(F.lit("{"), F.array_join(F.collect_list("pair"), ", "), F.lit("}")).alias("value")).write.text(path)
+    return load_ground_truth(spark, path)
+
+
+_HEADS = "['sample_id', 'CER', 'WER', 'Sent P', 'Sent R', 'Sent F1', 'Composite']"
+
+
+@query(f"""WITH RECURSIVE {_pairs(_ITEMS)}, {_METRICS},
+c AS (SELECT CAST(1 + row_number() OVER (ORDER BY id) AS INTEGER) AS n, [CAST(id AS VARCHAR), {", ".join(f"format('{{:.4f}}', {x})" for x in _METRIC_COLUMNS)}] AS cells FROM m
+  UNION ALL SELECT 0, {_HEADS} UNION ALL SELECT CAST(2 + count(*) AS INTEGER), ['MACRO (' || count(*) || ')', {", ".join(f"format('{{:.4f}}', avg({x}))" for x in _METRIC_COLUMNS)}] FROM m),
+z AS (SELECT list(k ORDER BY i) AS widths FROM (SELECT i, max(length(cells[i])) AS k FROM c, range(1, 8) r(i) GROUP BY i))
+SELECT n, array_to_string(list_transform(range(1, 8), lambda i: rpad(cells[i], CAST(widths[i] AS INTEGER), ' ')), ' | ') AS line FROM c, z
+UNION ALL SELECT 1, array_to_string(list_transform(widths, lambda k: repeat('-', k)), '-+-') FROM z""")
+def evaluation_report(spark, sf_dir):
+    """The printed report, line by line."""
+    results = M.evaluate(item_pairs(spark, sf_dir))
+    text = M.format_report(results.orderBy("sample_id").collect(), M.macro_average(results).first())
+    return spark.createDataFrame(list(enumerate(text.split("\n"))), "n int, line string")
+
+
+@query(f"SELECT id AS sample_id, round(1 - sfs, 6) AS silent_rate FROM (WITH RECURSIVE {_pairs(_ITEMS)}, {_METRICS} SELECT id, sfs, kept.n AS n FROM m JOIN kept USING (id)) WHERE n > 0")
+def silent_normalisation(spark, sf_dir):
+    """Share of sensitive tokens that a transcription changed."""
+    rows = M.source_fidelity_arrow(item_pairs(spark, sf_dir))
+    some = F.exists(T.tokens(F.col("ground_truth")), lambda t: T.is_sensitive(t))
+    return _rounded(rows.select("sample_id", M.silent_normalization_rate(F.col("sfs"), some).alias("silent_rate")), "silent_rate").filter("silent_rate IS NOT NULL")
+
+
+_LETTERS = "pair AS MATERIALIZED (SELECT item_id AS id, string_split(text, '') AS g, string_split(" + _CORRUPT.format("text") + ", '') AS p FROM benchmark)"
+_INDEL = _alignment("d", "0", "1").replace("ELSE 1 END, d.row[j + 1] + 1", "ELSE 2 END, d.row[j + 1] + 1")
+
+
+@query(f"WITH RECURSIVE {_LETTERS}, {_INDEL} SELECT d.id AS sample_id, round((len(g) + len(p) - d.row[-1]) / (len(g) + len(p))::DOUBLE, 6) AS ratio FROM d JOIN pair USING (id) WHERE d.i = len(g)")
+def subsequence_ratio(spark, sf_dir):
+    """Twice the longest common subsequence over both lengths."""
+    return _rounded(item_pairs(spark, sf_dir).select("sample_id", T.subsequence_ratio(F.col("ground_truth"), F.col("predicted")).alias("ratio")), "ratio")
+
+
+# -- monitoring ------------------------------------------------------------------------------
+
+_PAGE_RUNS = f"""{_WORDS}, a AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM t),
+b AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS island FROM a WHERE confidence < 60),
+runs AS MATERIALIZED (SELECT doc_id, min(ord) AS first_ord, max(ord) AS last_ord, count(*) AS length FROM b GROUP BY doc_id, island)"""
+
+
+@query(f"WITH {_PAGE_RUNS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_ord) AS INTEGER) AS run, CAST(first_ord AS INTEGER) AS first_ord, CAST(last_ord AS INTEGER) AS last_ord, length FROM runs")
+def low_confidence_runs(spark, sf_dir):
+    return O.low_confidence_runs(document_tokens(spark, sf_dir))
+
+
+@query(rf"""WITH {_PAGE_RUNS}, f AS (SELECT doc_id, avg(confidence) AS mean, avg((confidence < 60)::INT) AS low, sum(length(regexp_replace(text, '[\p{{L}}\p{{N}}\s.,;:!?''"()-]', '', 'g'))) / sum(length(text))::DOUBLE AS symbols, count(*) / count(DISTINCT top)::DOUBLE AS per_line FROM t GROUP BY doc_id),
+r AS (SELECT doc_id, max(length) AS run FROM runs GROUP BY doc_id)
+SELECT doc_id, round(mean, 6) AS mean_confidence, round(low, 6) AS low_share, coalesce(run, 0) AS low_run, array_to_string(list_filter([CASE WHEN mean < 50 THEN 'low_mean_confidence' END, CASE WHEN low > 0.4 THEN 'low_share' END, CASE WHEN coalesce(run, 0) >= 5 THEN 'low_run' END,
+  CASE WHEN symbols > 0.3 THEN 'symbols' END, CASE WHEN per_line < 1.5 THEN 'sparse' END], lambda x: x IS NOT NULL), ' ') AS triggers FROM f LEFT JOIN r USING (doc_id)""")
+def fallback_triggers(spark, sf_dir):
+    out = _rounded(O.fallback_triggers(document_tokens(spark, sf_dir)), "mean_confidence", "low_share")
+    return out.select("doc_id", "mean_confidence", "low_share", "low_run", F.array_join("triggers", " ").alias("triggers"))
+
+
+@query(f"""WITH {_WORDS}, x AS (SELECT doc_id, top AS line, greatest((ord % 100000) * 50 - 4, 0) AS l, greatest(top - 4, 0) AS t, least((ord % 100000) * 50 + 49, 5000) AS r, least(top + 19, 90000) AS b FROM t WHERE confidence < 60),
+n AS (SELECT *, CASE WHEN l > coalesce(max(r) OVER (PARTITION BY doc_id, line ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS new FROM x),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, line ORDER BY l, r ROWS UNBOUNDED PRECEDING) AS region FROM n)
+SELECT doc_id, CAST(line AS INTEGER) AS line, CAST(region AS BIGINT) AS region, CAST(min(l) AS INTEGER) AS "left", CAST(min(t) AS INTEGER) AS top, CAST(max(r) AS INTEGER) AS "right", CAST(max(b) AS INTEGER) AS bottom, count(*) AS tokens FROM g GROUP BY doc_id, line, region""")
+def merged_regions(spark, sf_dir):
+    return O.merged_regions(document_tokens(spark, sf_dir), F.lit(5000), F.lit(90000))
+
+
+@query(f"""WITH {_WORDS} SELECT doc_id, CAST(ord AS INTEGER) AS ord, CASE WHEN confidence < 10 AND ord % 3 > 0 THEN text || '*' ELSE text END AS text, text AS baseline_text, CASE WHEN confidence < 10 AND ord % 3 > 0 THEN 'second' ELSE 'baseline' END AS source FROM t""")
+def merged_readings(spark, sf_dir):
+    """Second readings of the least certain tokens, of which every third is refused."""
+    words = document_tokens(spark, sf_dir)
+    second = words.filter("confidence < 10").select("doc_id", "ord", F.concat("text", F.lit("*")).alias("text"), (F.col("ord") % 3 > 0).alias("accepted"))
+    return O.merge_readings(words, second)
+
+
+@query("""WITH c AS (SELECT p_brand, avg(p_retailprice) AS price, avg(p_size) AS size, count(*)::DOUBLE AS parts FROM part GROUP BY p_brand), s AS (SELECT *, 0.5 * price / 1000 + 0.25 * size / 50 + 0.25 * parts / 100 AS score, price >= 1000 AND size >= 20 AS passed FROM c)
+SELECT p_brand, round(score, 6) AS score, passed, CAST(CASE WHEN passed THEN row_number() OVER (PARTITION BY passed ORDER BY score DESC, p_brand) END AS INTEGER) AS rank FROM s""")
+def scorecard(spark, sf_dir):
+    """Brands as candidates: weighted figures and two gates."""
+    brands = _table(spark, sf_dir, "part").groupBy("p_brand").agg((F.avg("p_retailprice") / 1000).alias("price"), (F.avg("p_size") / 50).alias("size"), (F.count(F.lit(1)) / 100).alias("parts"))
+    return _rounded(O.scorecard(brands, {"price": 2.0, "size": 1.0, "parts": 1.0}, {"price": 1.0, "size": 0.4}), "score").select("p_brand", "score", "passed", "rank")
+
+
+@query("""SELECT CASE WHEN grouping(event_type) = 1 THEN 'all' ELSE coalesce(event_type, 'none') END AS event_type, CASE WHEN grouping(shard) = 1 THEN 'all' ELSE CAST(shard AS VARCHAR) END AS shard, count(*) AS events, round(avg(value), 6) AS mean_value
+FROM (SELECT *, user_id % 4 AS shard FROM events) GROUP BY CUBE (event_type, shard)""")
+def segmented_events(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").withColumn("shard", F.col("user_id") % 4)
+    return O.segmented(rows, ["event_type", "shard"], {"events": F.count(F.lit(1)), "mean_value": F.round(F.avg("value"), 6)})
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS events, count(*) FILTER (WHERE event_type = 'error') AS errors, round(sum(value), 4) AS cost FROM events GROUP BY 1")
+def hourly_dashboard(spark, sf_dir):
+    measures = {"events": F.count(F.lit(1)), "errors": F.count_if(F.col("event_type") == "error"), "cost": F.round(F.sum("value"), 4)}
+    return O.windowed(_table(spark, sf_dir, "events"), "1 hour", measures)
+
+
+@query("SELECT o_orderkey, CAST(ceil((o_custkey % 1000) / 60.0::DOUBLE * ((o_orderkey % 90) / 60.0::DOUBLE)) AS BIGINT) AS workers FROM orders")
+def capacity(spark, sf_dir):
+    rate, seconds = (F.col("o_custkey") % 1000).cast("double"), (F.col("o_orderkey") % 90).cast("double")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", O.concurrency(rate, seconds).cast("long").alias("workers"))
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 1 THEN 'not_an_object' WHEN 2 THEN 'wrong_keys' WHEN 3 THEN 'wrong_keys' ELSE CASE WHEN event_type NOT IN ('click', 'view') THEN 'unknown_category' END END AS error FROM events""")
+def reply_contract(spark, sf_dir):
+    """JSON replies with exactly two keys and a category from a list."""
+    kind = F.col("event_id") % 5
+    reply = (
+        F.when(kind == 1, F.format_string('["%s"]', "event_type"))
+        .when(kind == 2, F.format_string('{"category": "%s"}', "event_type"))
+        .when(kind == 3, F.format_string('{"category": "%s", "reason": "r", "more": 1}', "event_type"))
+        .otherwise(F.format_string('{"reason": "r", "category": "%s"}', "event_type"))
+    )
+    return _table(spark, sf_dir, "events").select("event_id", O.reply_error(reply, ["category", "reason"], {"category": ["click", "view"]}).alias("error"))
+
+
+_STEPS = """e AS (SELECT user_id AS job_id, event_id, ts, lead(ts) OVER w AS until, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, CASE k % 3 WHEN 1 THEN 'queued' WHEN 2 THEN 'processing_ocr' ELSE 'classifying' END AS state FROM e)"""
+
+
+def job_steps(spark, sf_dir) -> DataFrame:
+    """Accepted steps of jobs: a user's events in time, taking three states in turn."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    k = F.row_number().over(order)
+    state = lambda n: F.when(n % 3 == 1, "queued").when(n % 3 == 2, "processing_ocr").otherwise("classifying")
+    events = _table(spark, sf_dir, "events")
+    return events.select(
+        F.col("user_id").alias("job_id"), "ts", F.when(k > 1, state(k - 1)).alias("from_state"), state(k).alias("to_state"), (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(order).cast("timestamp"))).cast("double").alias("micros"), F.lit(True).alias("accepted"),
+    ).withColumn("seconds", F.col("micros") / 1e6)
+
+
+@query(f"WITH {_STEPS} SELECT time_bucket(INTERVAL 1 DAY, until) AS window_start, state AS from_state, count(*) AS jobs, round(avg(epoch_us(until) - epoch_us(ts)) / 1e6, 3) AS mean_seconds FROM s WHERE until IS NOT NULL GROUP BY ALL")
+def stage_latency(spark, sf_dir):
+    out = jobs.stage_latency(job_steps(spark, sf_dir), "1 day")
+    return out.select(F.col("window.start").alias("window_start"), "from_state", "jobs", F.round("mean_seconds", 3).alias("mean_seconds"))
+
+
+@query(f"""WITH {_STEPS}, m AS (SELECT ts, state, 1 AS i, 0 AS o FROM s UNION ALL SELECT until, state, 0, 1 FROM s WHERE until IS NOT NULL)
+SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, state, CAST(sum(i) AS BIGINT) AS entered, CAST(sum(o) AS BIGINT) AS "left", CAST(sum(i) - sum(o) AS BIGINT) AS growth FROM m GROUP BY ALL""")
+def queue_depth(spark, sf_dir):
+    out = jobs.queue_depth(job_steps(spark, sf_dir), "1 day")
+    return out.select(F.col("window.start").alias("window_start"), "state", "entered", "left", "growth")
+
+
+@query(f"WITH s AS (SELECT doc_id, {_SENTENCES.format('text')} AS x FROM documents) SELECT doc_id AS document_id, CAST(unnest(range(0, len(x))) AS INTEGER) AS ordinal, unnest(x) AS sentence FROM s")
+def normalised_sentences(spark, sf_dir):
+    """The sentence table after every document was delivered twice, an empty version first."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.lit(2).alias("delivered_at"), F.col("text").alias("raw_text"), F.col("text").alias("body_text"), T.sentences(F.col("text")).alias("sentences"))
+    pages = docs.withColumns({"low_confidence_regions": F.array().cast("array<string>"), "engine_name": F.lit("replay"), "engine_version": F.lit(None).cast("string")})
+    old = pages.withColumns({"delivered_at": F.lit(1), "sentences": F.array(F.lit("old"))})
+    return store.normalised(pages.unionByName(old))["sentences"]

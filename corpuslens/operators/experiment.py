@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,9 +59,12 @@ def overall_ranking(means: DataFrame) -> DataFrame:
     return means.withColumn("overall_rank", F.row_number().over(Window.orderBy(*quality_order())))
 
 
-def rank_records(records: DataFrame) -> DataFrame:
-    """Page ranks, and each configuration's overall rank on all of its records, with truth or without."""
-    ranking = overall_ranking(configuration_means(records)).select("profile", "psm", "overall_rank")
+def rank_records(records: DataFrame, prepared: Callable[[DataFrame], DataFrame] = lambda means: means) -> DataFrame:
+    """Page ranks, and each configuration's overall rank on all of its records, with truth or without.
+
+    prepared: applied to the means before they are ranked, to round them for example.
+    """
+    ranking = overall_ranking(prepared(configuration_means(records))).select("profile", "psm", "overall_rank")
     return page_ranks(records).join(F.broadcast(ranking), ["profile", "psm"], "left")
 
 
