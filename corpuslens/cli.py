@@ -14,7 +14,7 @@ from corpuslens.errors import CorpusLensError, InvalidImageError
 from corpuslens.operators import experiment, imaging, lines, metrics, tokens
 from corpuslens.functions import text as T
 from corpuslens.plans import sinks
-from corpuslens.plans.scratch import Scratch
+from corpuslens.plans.scratch import Scratch, clear
 from corpuslens.session import get_session
 from corpuslens.sources import engines, images, json_files
 
@@ -112,6 +112,8 @@ def main(argv: list[str] | None = None) -> int:
     except CorpusLensError as x:
         print(f"error: {x}", file=sys.stderr)
         return 2
+    finally:
+        clear()
     return 0
 
 

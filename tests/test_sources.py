@@ -282,3 +282,16 @@ def test_jobs_are_forgotten():
     assert out["accepted"].tolist() == [True, False] and state.value == ("completed", 10.0) and state.timeout == 20_000 + jobs.RETENTION_MS
     late = State(("completed", 10.0), True)
     assert list(jobs._advance(("j",), iter([]), late)) == [] and not late.exists
+
+
+def test_scratch_tables_are_released(spark):
+    from corpuslens.plans import scratch
+
+    outer = scratch.Scratch(spark, "outer")
+    kept = outer.save(spark.range(3))
+    with scratch.released():
+        inner = scratch.Scratch(spark, "inner")
+        assert inner.save(spark.range(5)).count() == 5 and os.path.exists(inner.root.removeprefix("file://"))
+    assert not os.path.exists(inner.root.removeprefix("file://")) and kept.count() == 3
+    outer.drop(kept)
+    assert not os.path.exists(kept._scratch_path.removeprefix("file://"))
