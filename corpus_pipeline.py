@@ -18,7 +18,7 @@ from corpuslens.llm.mixing import mix
 from corpuslens.llm.packing import pack
 from corpuslens.llm.quality import judge
 from corpuslens.llm.tables import DOCUMENT_COLUMNS, documents, table
-from corpuslens.plans.scratch import Scratch
+from corpuslens.plans.scratch import Scratch, released
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +60,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = documents(spark, sf_dir)
+    before = None
     for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        with released():  # the stage's own tables go when its rows are written
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return docs
