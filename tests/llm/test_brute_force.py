@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpuslens.llm import bytes_text, chat, class_lm, embedding_dedup, language_id, minhash_dedup, packing, quality, sharding, warc
+from corpuslens.llm import bytes_text, chat, class_lm, embedding_dedup, language_id, minhash_dedup, mixing, packing, quality, sharding, warc
 from corpuslens.llm.components import connected_components
 from corpuslens.llm.queries import ORACLES, QUERIES
 from corpuslens.plans.scratch import Scratch
@@ -196,6 +196,12 @@ def test_minhash_ids_with_several_texts(spark):
     assert len(found) == 16 and {(r["doc_id"], r["class_id"]) for r in found} == {(1, 1), (5, 1), (7, 1), (8, 1), (9, 9)}
 
 
+def test_packed_hashes():
+    h = np.unique(bytes_text.mix64(np.arange(1_000, dtype=np.uint64)))
+    for x in (h, h[:1], h[:0], np.array([0, 2**64 - 1], np.uint64)):
+        assert minhash_dedup.unpacked(minhash_dedup.packed(x)).tolist() == x.tolist()
+
+
 def test_document_frequencies_are_exact(spark, rows, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "RANGE_SHINGLES", 1_000)
     data, frame = planted(spark, rows)
@@ -208,7 +214,7 @@ def test_document_frequencies_are_exact(spark, rows, monkeypatch):
         held[i % 7].update(h)
     found = defaultdict(dict)
     for r in minhash_dedup.document_frequencies(table, 10**6).collect():
-        found[r["chunk"]].update(zip(np.frombuffer(r["hashes"], np.uint64).tolist(), np.frombuffer(r["df"], np.uint32).tolist()))
+        found[r["chunk"]].update(zip(minhash_dedup.unpacked(r["hashes"]).tolist(), np.frombuffer(r["df"], np.uint32).tolist()))
     assert found == {k: {h: df[h] for h in hs if df[h] > 1} for k, hs in held.items()}
 
 
@@ -244,38 +250,128 @@ def test_jaccard_matrix():
         assert m[i, j] == pytest.approx(minhash_dedup.weighted_jaccard(sets[i], sets[j]))
 
 
-@pytest.mark.parametrize("block", [7, 2048])
-def test_embeddings_against_all_pairs(spark, monkeypatch, block):
+def links_by_hand(x, threshold=0.9):
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= threshold
+    np.fill_diagonal(near, False)
+    return near
+
+
+@pytest.mark.parametrize("block, exact", [(7, True), (7, False), (2048, False)])
+def test_embeddings_against_all_pairs(spark, monkeypatch, block, exact):
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "_CELLS", 5_000)
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 12))
     x[100:160] = x[0] + rng.normal(size=(60, 12)) * 0.25
     x[160:200] = x[1]
-    u = x / np.linalg.norm(x, axis=1)[:, None]
-    near = u @ u.T >= 0.9
-    np.fill_diagonal(near, False)
+    near = links_by_hand(x)
     wanted = components(range(300), np.argwhere(near).tolist())
     data = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
-    found = embedding_dedup.near_duplicate_vectors(data).collect()
+    found = embedding_dedup.near_duplicate_vectors(data, exact=exact).collect()
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found} == {i: (int(near[i].sum()), wanted[i]) for i in range(300)}
 
 
-def test_kd_tree_against_recursion(spark, docs, rows):
-    out = sharding.kd_tree_shards(docs, n_shards=7).collect()
+def test_probes_lose_no_link_when_exact_and_few_by_default():
+    """64 dimensions, pairs at the threshold in random directions; the model is fitted on other vectors."""
+    rng = np.random.default_rng(7)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    fit, a = unit(rng.normal(size=(4_000, 64))), unit(rng.normal(size=(3_000, 64)))
+    across = rng.normal(size=a.shape)
+    across = unit(across - (across * a).sum(1)[:, None] * a)
+    b = 0.9001 * a + math.sqrt(1 - 0.9001**2) * across
+    shares = {}
+    for exact in (True, False):
+        model = embedding_dedup.Model(fit, 200, math.sqrt(0.2), exact)
+        homes = [embedding_dedup.nearest(x, model.centroids) for x in (a, b)]
+        probes = [model.probes(x, h) for x, h in zip((a, b), homes)]
+        hit = [i == j or j in p or i in q for i, j, p, q in zip(*homes, *probes)]
+        shares[exact] = np.mean(hit), np.mean([len(p) for p in probes[0]]) / 200
+    assert shares[True][0] == 1 and shares[False][0] > 0.99 and shares[False][1] < shares[True][1] / 3
+
+
+def test_embedding_recall_on_given_vectors(spark):
+    """The vectors of sf0.1 with a copy of every third at a cosine of 0.9 to 0.98, in random directions."""
+    given = np.array([r["embedding"] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()], np.float64)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    rng = np.random.default_rng(4)
+    u = unit(given)
+    some = u[::3]
+    across = rng.normal(size=some.shape)
+    across = unit(across - (across * some).sum(1)[:, None] * some)
+    cosine = rng.uniform(0.9, 0.98, len(some))[:, None]
+    x = np.concatenate([u, cosine * some + np.sqrt(1 - cosine**2) * across])
+    near = links_by_hand(x)
+    frame = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicate_vectors(frame).collect()}
+    assert near.sum() > 1_000 and sum(found.values()) >= 0.99 * near.sum() and all(found[i] <= n for i, n in enumerate(near.sum(1)))
+
+
+def kd_tree_by_hand(rows, leaves):
+    """{(doc_id, text): shard} by plain recursion: weights sorted by key, cut at the boundary nearest to the target."""
+    dims = [[zlib.crc32((r["source"] or "").encode()), zlib.crc32((r["lang"] or "").encode()), math.log2((r["n_chars"] or 0) + 1), r["doc_id"] or 0] for r in rows]
+    lo, hi = np.min(dims, axis=0), np.max(dims, axis=0)
+    scaled = [[int((v - a) / (b - a) * sharding._SCALE) if b > a else 0 for v, a, b in zip(d, lo, hi)] for d in dims]
+    weight = [len((r["text"] or "").encode()) + 8 for r in rows]
+    tie = [zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) for r in rows]
+    out, cuts = {}, []
+
+    def split(inside, first, m):
+        if m == 1 or not inside:
+            out.update(dict.fromkeys(inside, first))
+            return
+        widths = [max(scaled[i][d] for i in inside) - min(scaled[i][d] for i in inside) for d in range(4)]
+        dim = widths.index(max(widths))
+        by_key = Counter()
+        for i in inside:
+            by_key[(scaled[i][dim] << 32) + tie[i]] += weight[i]
+        target, before, cut = sum(by_key.values()) * (m // 2) / m, 0, None
+        for key in sorted(by_key):
+            upto = before + by_key[key]
+            if upto >= target:
+                cut = key + 1 if upto - target < target - before else key
+                break
+            before = upto
+        left = [i for i in inside if (scaled[i][dim] << 32) + tie[i] < cut]
+        cuts.append((len(inside), sum(weight[i] for i in left), target))
+        split(left, first, m // 2)
+        split([i for i in inside if (scaled[i][dim] << 32) + tie[i] >= cut], first + m // 2, m - m // 2)
+
+    split(list(range(len(rows))), 0, leaves)
+    return {(rows[i]["doc_id"], rows[i]["text"]): s for i, s in out.items()}, cuts
+
+
+@pytest.mark.parametrize("leaves, broadcast", [(24, 100_000), (7, 0)])
+def test_kd_tree_against_recursion(spark, docs, rows, monkeypatch, leaves, broadcast):
+    monkeypatch.setattr(sharding, "TOLERANCE", 0.0)
+    monkeypatch.setattr(sharding, "MAX_BROADCAST_NODES", broadcast)
+    out = sharding.kd_tree_shards(docs.select("doc_id", "text", "lang", "source", "n_chars"), n_shards=leaves).collect()
+    wanted, _ = kd_tree_by_hand(rows, leaves)
+    texts = {r["doc_id"]: r["text"] for r in rows}
+    assert {(r["doc_id"], texts[r["doc_id"]]): r["shard"] for r in out} == wanted
+    for s in range(leaves):
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
+
+
+def test_kd_tree_with_a_hot_source_against_recursion(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "TOLERANCE", 0.0)
+    rng = random.Random(6)
+    data = [(i, "x" * rng.randrange(400), rng.choice(("en", "de", None)), "hot" if i % 3 else f"s{i % 40}", rng.randrange(900)) for i in range(1_500)]
+    frame = spark.createDataFrame([*data, *data[:50]], "doc_id long, text string, lang string, source string, n_chars long")
+    wanted, _ = kd_tree_by_hand(frame.collect(), 11)
+    texts = {d[0]: d[1] for d in data}
+    assert {(r["doc_id"], texts[r["doc_id"]]): r["shard"] for r in sharding.kd_tree_shards(frame, n_shards=11).collect()} == wanted
+
+
+def test_kd_tree_query_is_balanced(spark, rows):
+    """The registered query, with its tolerance: shards differ by little more than the heaviest text."""
     sizes = Counter()
-    for r in out:
+    for r in QUERIES["op5_kd_tree_sharding"](spark, SF).collect():
         sizes[r["shard"]] += r["size"]
-    assert set(sizes) == set(range(7)) and sum(sizes.values()) == sum(len(r["text"].encode()) + 8 for r in rows)
     heaviest = max(len(r["text"].encode()) + 8 for r in rows)
+    assert set(sizes) == set(range(24)) and sum(sizes.values()) == sum(len(r["text"].encode()) + 8 for r in rows)
     # a node's cut is off by one text at most, halved at each level below
     assert max(sizes.values()) - min(sizes.values()) <= 2 * heaviest
-    dims = {r["doc_id"]: [zlib.crc32((r["source"] or "").encode()), zlib.crc32((r["lang"] or "").encode()), math.log2(r["n_chars"] + 1), r["doc_id"]] for r in rows}
-    lo, hi = np.min(list(dims.values()), axis=0), np.max(list(dims.values()), axis=0)
-    scaled = {i: [int((v - a) / (b - a) * sharding._SCALE) for v, a, b in zip(d, lo, hi)] for i, d in dims.items()}
-    shard = {r["doc_id"]: r["shard"] for r in out}
-    # the first cut separates shards 0-2 from 3-6 along the first of the widest dimensions
-    key = {i: (d[0] << 32) + zlib.crc32(str(i).encode()) for i, d in scaled.items()}
-    assert max(key[i] for i, s in shard.items() if s < 3) < min(key[i] for i, s in shard.items() if s >= 3)
 
 
 def test_skewed_source_is_cut(spark):
@@ -328,6 +424,27 @@ def test_packing_pads_least_over_all_lengths(docs, rows):
     assert sum(r["padding"] for r in found) == best[-1] and len({r["bucket"] for r in found}) == 4
 
 
+def test_mixing_meets_its_marginals_and_budget(spark, docs):
+    cells = docs.select("source", "lang", (F.col("doc_id") % 3).cast("string").alias("topic"), F.length("text").alias("n")).groupBy("source", "lang", "topic").agg(F.sum("n").alias("tokens"))
+    side, few, error = mixing.cell_probabilities(cells, Scratch(spark, "mix"), budget_share=0.3)
+    found = side.toPandas()
+    total = found.tokens.sum()
+    assert few and error <= mixing.TOLERANCE
+    for d in mixing.DIMENSIONS:
+        own = found.groupby(d).tokens.sum() ** mixing.TEMPER[d]
+        raked = (found.tokens * found.weight).groupby(found[d]).sum()
+        assert np.allclose(raked, own / own.sum() * total, rtol=1e-8)
+    assert (found.tokens * found.probability).sum() == pytest.approx(0.3 * total) and found.probability.max() <= 1
+
+
+def test_mixing_of_many_cells_is_the_same(spark, docs, monkeypatch):
+    given = {"lang": {"en": 3.0, "de": 1.0}}
+    result = lambda: {r["doc_id"]: (r["kept"], r["topic"], pytest.approx(r["weight"]), pytest.approx(r["probability"])) for r in mixing.mix(docs, given).collect()}
+    local = result()
+    monkeypatch.setattr(mixing, "MAX_LOCAL_CELLS", 0)
+    assert result() == local and len(local) > 100
+
+
 def test_class_lm_base_and_mass(spark, docs, rows):
     low = lambda s: re.sub("[A-Z]", lambda m: m[0].lower(), s)
     tokens = {r["doc_id"]: [*WORD.findall(low(r["text"])), "\n"] for r in rows}
@@ -357,6 +474,41 @@ def test_class_lm_base_and_mass(spark, docs, rows):
         assert m + 0.5 / 10 ** model.log_emission_total[k] == pytest.approx(1)
 
 
+def test_class_lm_score_from_raw_counts(spark, docs, rows):
+    """The model's classes are its own; transitions, emissions and scores are counted again from the texts."""
+    low = lambda s: re.sub("[A-Z]", lambda m: m[0].lower(), s or "")
+    model, _, _ = class_lm.train(docs.filter(class_lm.training("doc_id")).select("text"), Scratch(spark, "lm"))
+    end = class_lm._END_CLASS
+
+    def classes(words):
+        batch = class_lm.tokens_of(pa.array([" ".join(words)]))
+        return [int(x) for x in model.classes[model.head.item(batch, model.head.find(batch.hashes))]]
+
+    tokens = {r["doc_id"]: [*WORD.findall(low(r["text"])), "\n"] for r in rows}
+    cls = {i: classes(ts[:-1]) for i, ts in tokens.items()}
+    assert all(len(cls[i]) == len(ts) and cls[i][-1] == end for i, ts in tokens.items())
+    train = [i for i in tokens if zlib.crc32(str(i).encode()) % 5 != 1]
+    count, of = Counter(), {}
+    pairs, alone = Counter(), Counter()
+    for i in train:
+        count.update(tokens[i])
+        of.update(zip(tokens[i], cls[i]))
+        pairs.update(itertools.pairwise([end, *cls[i]]))
+        alone.update(cls[i])
+    words = Counter(of.values())
+    total = sum(alone.values())
+    share = lambda c: (alone[c] + 0.5) / (total + 0.5 * (class_lm.CLASSES + 1))
+    after = Counter()
+    for (a, _), n in pairs.items():
+        after[a] += n
+    transition = lambda a, b: (pairs[a, b] + class_lm.TRANSITION_PRIOR * share(b)) / (after[a] + class_lm.TRANSITION_PRIOR)
+    emission = lambda t, c: (count[t] + 0.5) / (alone[c] + 0.5 * (words[c] + 1))
+    found = {r["doc_id"]: r["score"] for r in QUERIES["op9_class_lm"](spark, SF).collect()}
+    for i, ts in tokens.items():
+        wanted = sum(math.log10(transition(a, b)) + math.log10(emission(t, b)) for t, (a, b) in zip(ts, itertools.pairwise([end, *cls[i]]), strict=True))
+        assert found[i] == pytest.approx(wanted, rel=1e-9)
+
+
 def test_words_beyond_the_items_get_their_own_classes(spark, docs, monkeypatch):
     rng = random.Random(5)
     first, second = [f"f{i}" for i in range(600)] * 10, [f"s{i}" for i in range(600)] * 10
@@ -428,6 +580,56 @@ def test_language_evidence_is_fused(spark):
         language_id.MAX_BROADCAST_HOSTS = salted
 
 
+def test_language_posterior_from_raw_counts(spark):
+    """Trigram counts, host counts and the fusion in plain Python, for the registered query."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    size, share = language_id.BUCKETS, language_id.UNIFORM_SHARE
+
+    def buckets(text):
+        raw = (text or "").encode()
+        return [((int.from_bytes(raw[i : i + 3], "big") * 0x9E3779B1) & 0xFFFFFFFF) >> 16 for i in range(len(raw) - 2)]
+
+    counts = defaultdict(Counter)
+    for r in rows:
+        if r["lang"]:
+            counts[r["lang"].lower()].update(buckets(r["text"]))
+    langs = sorted(x for x in counts if sum(counts[x].values()) >= language_id.MIN_TRIGRAMS)
+    k = len(langs)
+    totals = {x: sum(counts[x].values()) + 0.5 * size for x in langs}
+    log_p = lambda x, b: math.log((1 - share) * (counts[x][b] + 0.5) / totals[x] + share / size)
+    texts = {}
+    for r in rows:
+        b = Counter(buckets(r["text"]))
+        n = sum(b.values())
+        weight = 1 / (1 + n / language_id.EFFECTIVE)
+        texts[r["doc_id"]] = [weight * sum(c * log_p(x, y) for y, c in b.items()) for x in langs] + [-weight * n * math.log(size)] if n else None
+    first = lambda scores: max(range(len(scores)), key=lambda i: (scores[i], -i))
+    said = {i: first(t) if t else k for i, t in texts.items()}
+    seen = [(r["source"], said[r["doc_id"]]) for r in rows if said[r["doc_id"]] < k]
+    overall, strength = Counter(x for _, x in seen), language_id.PRIOR_STRENGTH
+    top = [(overall[x] + 1) / (len(seen) + k) for x in range(k)]
+    suffix = [(overall[x] + strength * top[x]) / (len(seen) + strength) for x in range(k)]
+    at_host = Counter(seen)
+    n_host = Counter(h for h, _ in seen)
+    found = {r["doc_id"]: r for r in QUERIES["op8_language_id"](spark, SF).collect()}
+    for r in rows:
+        t, f = texts[r["doc_id"]], found[r["doc_id"]]
+        if t is None:
+            assert (f["lang_id"], f["kept"], f["posterior"]) == ("und", False, 0.0)
+            continue
+        h, declared = r["source"], (r["lang"] or "").lower()
+        prior = [(at_host[h, x] + strength * suffix[x]) / (n_host[h] + strength) if n_host[h] and h is not None else top[x] for x in range(k)]
+        fused = [v + math.log(p) + math.log(1 - language_id.UND_PRIOR) for v, p in zip(t, prior)] + [t[k] + math.log(language_id.UND_PRIOR)]
+        if declared in langs:
+            agree = language_id.DECLARED_AGREES
+            fused = [v + (-math.log(k) if x == k else math.log(agree) if langs[x] == declared else math.log((1 - agree) / (k - 1))) for x, v in enumerate(fused)]
+        best, most = first(fused), max(fused)
+        posterior = 1 / sum(math.exp(v - most) for v in fused)
+        name = [*langs, "und"][best]
+        assert (f["lang_id"], f["text_lang"]) == (name, [*langs, "und"][said[r["doc_id"]]]) and f["posterior"] == pytest.approx(posterior, abs=2e-6)
+        assert f["kept"] == (name != "und" and posterior >= language_id.MIN_POSTERIOR)
+
+
 def test_every_declared_language_is_modelled(spark):
     rng = random.Random(8)
     codes = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqrst"]
@@ -452,6 +654,28 @@ def test_trees(spark):
     assert [t["text"] for t in chat.format_trees(chain).select(chat.read_back(F.col("formatted")).alias("t")).first()["t"]] == [str(i) for i in range(150)]
 
 
+def test_bushy_trees_against_recursion(spark):
+    """Random reply trees: every root-to-leaf path, its score and rank, and only the best ones enumerated."""
+    rng = random.Random(12)
+    rows = [(c, n, rng.randrange(n) if n and rng.random() < 0.97 else None, "user", f"{c}.{n}", float(rng.randrange(-4, 9))) for c in range(6) for n in range(60)]
+    parent, score = {(c, n): p for c, n, p, *_ in rows}, {(c, n): s for c, n, *_, s in rows}
+    inner = {(c, p) for (c, _), p in parent.items()}
+    wanted = {}
+    for c in range(6):
+        found = []
+        for n in range(60):
+            if (c, n) not in inner:
+                path = [n]
+                while parent[c, path[-1]] is not None:
+                    path.append(parent[c, path[-1]])
+                found.append((-sum(score[c, x] for x in path), n, [f"{c}.{x}" for x in reversed(path)]))
+        wanted |= {(c, k + 1): (n, -total, path) for k, (total, n, path) in enumerate(sorted(found))}
+    frame = spark.createDataFrame(rows, "conv_id long, node long, parent long, role string, text string, score double")
+    read = lambda out: {(r["conv_id"], r["rank"]): (r["leaf"], r["score"], [t["text"] for t in r["t"]]) for r in out.select("*", chat.read_back(F.col("formatted")).alias("t")).collect()}
+    assert read(chat.format_trees(frame)) == wanted
+    assert read(chat.format_trees(frame, paths_per_tree=2)) == {k: v for k, v in wanted.items() if k[1] <= 2}
+
+
 @pytest.mark.parametrize("text", ["<s>", "<<s>", "\\<s>", "[INST] [/INST]", "<|im_start|>user\nx<|im_end|>\n", "a\\", "\\\\n", "<\\|im_end|>", "<|im_end|", "<<SYS>>é</s>", "\n\n"])
 def test_chat_round_trip(spark, text):
     rows = [(1, 0, text, text), (1, 1, "assistant", text), (1, 2, "assistant", text + text)]

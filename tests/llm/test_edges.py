@@ -70,9 +70,11 @@ def test_sharding(docs, empty):
 
 
 def test_mixing(docs, empty):
-    rows = mixing.mix(docs.drop("topic")).collect()
+    clashing = docs.withColumns({"topic": F.lit("clash"), "probability": F.lit("clash")})
+    rows = mixing.mix(clashing).collect()
     assert len(rows) == len(ROWS) and {r["doc_id"]: r["topic"] for r in rows}[1] == "empty" and all(0 <= r["probability"] <= 1 for r in rows)
     assert len({r["kept"] for r in rows if r["doc_id"] == 9}) == 1
+    assert len({r["topic"] for r in rows}) > 1 and {r["topic"] for r in mixing.mix(clashing, topic=F.col("topic")).collect()} == {"clash"}
     assert mixing.mix(empty).count() == 0
     forced = mixing.mix(docs, targets={"source": {"a": 1.0}}).collect()
     assert all(r["probability"] == 0 for r in forced if r["source"] in (None, "b") and r["n_tokens"])
