@@ -1,9 +1,10 @@
 r"""Reply trees to formatted conversations, in DataFrame expressions only.
 
-Root-to-leaf paths come from iterative self-joins that double their reach: after k rounds every
-leaf knows its first 2**k ancestors, so a tree of depth d takes log2(d) rounds. Branches are ranked
-by the sum of their messages' scores (a null counts 0; ties go to the smaller leaf id) and each chosen
-branch is formatted as one conversation.
+Root-to-leaf paths come from iterative self-joins that double their reach, so a tree of depth d takes log2(d) rounds. The
+first rounds run over messages: after k of them each knows its 2**k-th ancestor and the sum of scores on the way, with one row
+a message however many branches share it. Branches are ranked
+by the sum of their messages' scores (a null counts 0; ties go to the smaller leaf id), and only the chosen ones
+are enumerated, by the same jumps, and formatted as one conversation each.
 
 Template: ``<|im_start|>role\ntext<|im_end|>\n`` per turn. In texts and roles a backslash is doubled,
 every control string gets a backslash after its first character, and a newline in a role becomes
@@ -56,28 +57,36 @@ def linear_tree(turns: DataFrame) -> DataFrame:
     )
 
 
-def reply_paths(messages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(conv_id, leaf, node, up) for all messages on all root-to-leaf paths; up counts from the leaf."""
-    links = messages.select("conv_id", "node", "parent")
+def ranked_leaves(messages: DataFrame, scratch: Scratch, paths_per_tree: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """(conv_id, leaf, score, rank) of the best leaves of each tree, and the jumps (conv_id, node, above) of 1, 2, 4, ... steps up."""
+    links = messages.select("conv_id", "node", "parent", F.coalesce(F.col("score"), F.lit(0.0)).alias("total"))
     known = links.select(F.col("conv_id").alias("c"), F.col("node").alias("n"))
     same = F.col("conv_id").eqNullSafe(F.col("c"))
-    links = links.join(known, same & (F.col("parent") == F.col("n")), "left").select("conv_id", "node", F.col("n").alias("above"))
-    links = scratch.save(links, "links")
-    inner = links.filter("above IS NOT NULL").select(F.col("conv_id").alias("c"), F.col("above").alias("n")).distinct()
-    paths = scratch.save(
-        links.join(inner, same & (F.col("node") == F.col("n")), "left_anti").select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "leaves"
-    )
-    largest = links.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
-    jumps, reach = links.filter("above IS NOT NULL"), 1
-    while reach < largest and not jumps.isEmpty():
-        to = jumps.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("above").alias("a"))
-        further = paths.join(to, same & (F.col("node") == F.col("n"))).select("conv_id", "leaf", F.col("a").alias("node"), (F.col("up") + reach).alias("up"))
-        paths = scratch.save(paths.unionByName(further), "paths")
-        jumps = scratch.save(jumps.join(to, same & (F.col("above") == F.col("n"))).select("conv_id", "node", F.col("a").alias("above")), "jumps")
+    now = scratch.save(links.join(known, same & (F.col("parent") == F.col("n")), "left").select("conv_id", "node", F.col("n").alias("above"), "total"), "links")
+    inner = now.filter("above IS NOT NULL").select(F.col("conv_id").alias("c"), F.col("above").alias("n")).distinct()
+    leaves = scratch.save(now.join(inner, same & (F.col("node") == F.col("n")), "left_anti").select(F.col("conv_id").alias("lc"), F.col("node").alias("leaf")), "leaves")
+    largest = now.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    jumps, reach = [], 1
+    while reach < largest and not (open_ := now.filter("above IS NOT NULL").select("conv_id", "node", "above")).isEmpty():
+        jumps.append(open_)
+        to = now.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("above").alias("a"), F.col("total").alias("t"))
+        further = now.join(to, same & (F.col("above") == F.col("n")), "left")
+        now = scratch.save(further.select("conv_id", "node", F.col("a").alias("above"), (F.col("total") + F.coalesce("t", F.lit(0.0))).alias("total")), "jumps")
         reach *= 2
-    roots = links.filter("above IS NULL").select(F.col("conv_id").alias("c"), F.col("node").alias("n"))
-    rooted = paths.join(roots, same & (F.col("node") == F.col("n"))).select(F.col("conv_id").alias("c"), F.col("leaf").alias("l"))
-    return paths.join(rooted, same & (F.col("leaf") == F.col("l")), "left_semi")
+    # messages that still have something above them are caught in a cycle
+    scored = leaves.join(now.filter("above IS NULL"), F.col("lc").eqNullSafe(F.col("conv_id")) & (F.col("leaf") == F.col("node"))).select("conv_id", "leaf", F.col("total").alias("score"))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "leaf")))
+    return scratch.save(ranked if paths_per_tree is None else ranked.filter(F.col("rank") <= paths_per_tree), "ranked"), jumps
+
+
+def reply_paths(leaves: DataFrame, jumps: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """(conv_id, leaf, node, up) for all messages between the leaves (conv_id, leaf) and their roots; up counts from the leaf."""
+    paths = leaves.select("conv_id", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
+    for k, jump in enumerate(jumps):
+        to = jump.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("above").alias("a"))
+        further = paths.join(to, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n")))
+        paths = scratch.save(paths.unionByName(further.select("conv_id", "leaf", F.col("a").alias("node"), (F.col("up") + 2**k).alias("up"))), "paths")
+    return paths
 
 
 def format_trees(messages: DataFrame, paths_per_tree: int | None = None, trainable_role: str = "assistant") -> DataFrame:
@@ -88,23 +97,14 @@ def format_trees(messages: DataFrame, paths_per_tree: int | None = None, trainab
     """
     scratch = Scratch(messages.sparkSession, "chat")
     messages = scratch.save(messages.select("conv_id", "node", "parent", "role", "text", "score"), "messages")
-    paths = reply_paths(messages, scratch)
-    keyed = messages.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "role", "text", "score")
+    ranked, jumps = ranked_leaves(messages, scratch, paths_per_tree)
+    paths = reply_paths(ranked, jumps, scratch)
+    keyed = messages.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "role", "text")
     same = F.col("conv_id").eqNullSafe(F.col("c"))
-    scored = (
-        paths.join(keyed.select("c", "n", "score"), same & (F.col("node") == F.col("n")))
-        .groupBy("conv_id", "leaf")
-        .agg(F.sum(F.coalesce(F.col("score"), F.lit(0.0))).alias("score"))
-    )
-    best = Window.partitionBy("conv_id").orderBy(F.desc("score"), "leaf")
-    ranked = scored.withColumn("rank", F.row_number().over(best))
-    if paths_per_tree is not None:
-        ranked = ranked.filter(F.col("rank") <= paths_per_tree)
-    ranked = scratch.save(ranked, "ranked")
     chosen = ranked.select(F.col("conv_id").alias("rc"), F.col("leaf").alias("rl"), F.col("score").alias("path_score"), "rank")
     turns = (
         paths.join(chosen, F.col("conv_id").eqNullSafe(F.col("rc")) & (F.col("leaf") == F.col("rl")))
-        .join(keyed.drop("score"), same & (F.col("node") == F.col("n")))
+        .join(keyed, same & (F.col("node") == F.col("n")))
         .select("conv_id", "leaf", "path_score", "rank", (-F.col("up")).alias("at"), escape_role(F.col("role")).alias("r"), escape(F.col("text")).alias("t"), (F.col("role") == trainable_role).alias("train"))
     )
     before = Window.partitionBy("conv_id", "leaf").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
