@@ -48,6 +48,8 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 3
 BLOCK, COLUMNS = 512, 4_096
+#: Shingles that a block is planned for; blocks of long texts have fewer members.
+BLOCK_SHINGLES = 1 << 19
 CHUNK_BYTES = 2 << 20
 #: Shingles that a hash range of the frequency count is planned for.
 RANGE_SHINGLES = 1 << 20
@@ -336,8 +338,9 @@ def _signer(n_texts: int) -> Callable:
                     bands[:, b] = value
             lists = pa.ListArray.from_arrays(np.arange(0, BANDS * size + 1, BANDS, dtype=np.int32), pa.array(bands.view(np.int64).ravel()))
             frequencies = pa.array([n[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
-            out.append(pa.Table.from_arrays([batch.column("place"), lists, frequencies], names=["place", "bands", "df"]))
-        return pa.concat_tables(out) if out else pa.table({"place": pa.array([], pa.int64()), "bands": pa.array([], pa.list_(pa.int64())), "df": pa.array([], pa.binary())})
+            shingles = pa.array(np.add.reduceat(counts, offsets[:-1]).astype(np.int64))  # every text has a word
+            out.append(pa.Table.from_arrays([batch.column("place"), shingles, lists, frequencies], names=["place", "size", "bands", "df"]))
+        return pa.concat_tables(out) if out else pa.table({"place": pa.array([], pa.int64()), "size": pa.array([], pa.int64()), "bands": pa.array([], pa.list_(pa.int64())), "df": pa.array([], pa.binary())})
 
     return sign
 
@@ -430,15 +433,16 @@ def _links_left_apart(bands: DataFrame, buckets: DataFrame, parts: DataFrame, te
     """Links between members of one bucket in different components, its hub aside.
 
     The members outside the bucket's largest component (strays) are compared with each other and with all
-    others, in blocks of about BLOCK members; a group returns at most one link for two components.
+    others, in blocks of about BLOCK members or BLOCK_SHINGLES shingles; a group returns at most one link for two components.
     """
-    inside = bands.join(buckets.select(F.col("band").alias("k"), "least"), F.col("band") == F.col("k")).filter("id <> least").select("band", "id")
-    placed = scratch.save(inside.join(parts, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("component", "id").alias("component")), "placed")
-    by_part = placed.groupBy("band", "component").count()
-    main = F.max(F.struct("count", "component"))
-    mixed = by_part.groupBy("band").agg(main.alias("main"), F.sum("count").alias("n"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    mixed = scratch.save(mixed.select(F.col("band").alias("k"), F.col("main.component").alias("main"), blocks(F.col("n") - F.col("main.count")).alias("strays"), blocks(F.col("main.count")).alias("others")), "mixed")
+    inside = bands.join(buckets.select(F.col("band").alias("k"), "least"), F.col("band") == F.col("k")).filter("id <> least").select("band", "id", "size")
+    placed = scratch.save(inside.join(parts, F.col("id") == F.col("node"), "left").select("band", "id", "size", F.coalesce("component", "id").alias("component")), "placed")
+    by_part = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("size"))
+    main = F.max(F.struct("count", "component", "size"))
+    mixed = by_part.groupBy("band").agg(main.alias("main"), F.sum("count").alias("n"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_SHINGLES)).cast("int")
+    strays, others = blocks(F.col("n") - F.col("main.count"), F.col("size") - F.col("main.size")), blocks(F.col("main.count"), F.col("main.size"))
+    mixed = scratch.save(mixed.select(F.col("band").alias("k"), F.col("main.component").alias("main"), strays.alias("strays"), others.alias("others")), "mixed")
     stray = F.col("component") != F.col("main")
     own = F.pmod(F.xxhash64("id"), F.when(stray, F.col("strays")).otherwise(F.col("others"))).cast("int")
     members = placed.join(mixed, F.col("band") == F.col("k")).select("band", "id", "component", "strays", "others", stray.alias("left"), own.alias("own"))
@@ -470,8 +474,8 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
         distinct = _distinct_texts(texts, by_id, classes, scratch)
         frequencies = document_frequencies(distinct, n_bytes or 0)
         chunks = distinct.select("place", "chunk", "text").groupBy("chunk").cogroup(frequencies.groupBy("chunk"))
-        signed = scratch.save(chunks.applyInArrow(_signer(n_texts), "place long, bands array<long>, df binary"), "signed")
-        bands = scratch.save(signed.select(F.col("place").alias("id"), F.explode("bands").alias("band")), "bands")
+        signed = scratch.save(chunks.applyInArrow(_signer(n_texts), "place long, size long, bands array<long>, df binary"), "signed")
+        bands = scratch.save(signed.select(F.col("place").alias("id"), "size", F.explode("bands").alias("band")), "bands")
         buckets = scratch.save(bands.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most"), "buckets")
         stars = bands.join(buckets.select(F.col("band").alias("k"), "least"), F.col("band") == F.col("k")).filter("id <> least")
         stars = scratch.save(stars.select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "stars")

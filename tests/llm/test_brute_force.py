@@ -178,7 +178,7 @@ def classes_by_hand(data):
 
 @pytest.mark.parametrize("chunk, block, ids", [(2 << 20, 512, 2_000_000), (3_000, 8, 0)])
 def test_minhash_against_all_pairs(spark, rows, monkeypatch, chunk, block, ids):
-    for name, value in (("CHUNK_BYTES", chunk), ("BLOCK", block), ("MAX_BROADCAST_IDS", ids), ("RANGE_SHINGLES", chunk // 100)):
+    for name, value in (("CHUNK_BYTES", chunk), ("BLOCK", block), ("BLOCK_SHINGLES", 1_000 * block), ("MAX_BROADCAST_IDS", ids), ("RANGE_SHINGLES", chunk // 100)):
         monkeypatch.setattr(minhash_dedup, name, value)
     data, frame = planted(spark, rows)
     wanted = classes_by_hand(data)
