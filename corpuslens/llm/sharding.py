@@ -1,28 +1,35 @@
 """K-d tree sharding: recursive weighted-median splits along the widest metadata dimension.
 
-All steps are DataFrame expressions. Metadata values become integers in [0, 2**30); a split key is
+All steps are DataFrame expressions. The text is read once, for its size and checksum; from then on a narrow table (id, size,
+place on each axis, shard so far) is read, and written anew at each level, so plans stay short however deep the tree is.
+Metadata values become integers in [0, 2**30); a split key is
 that integer followed by 32 hash bits of the id, so that ties (a source holding a third of all
-rows, say) can be cut anywhere. A weighted quantile is found by histograms: bytes are summed per
-(node, bin) with partial aggregation, the bin that holds the quantile is split into BINS finer
+rows, say) can be cut anywhere. A weighted quantile is found by histograms, for all nodes of a level at once: bytes are summed
+per (node, bin) with partial aggregation, the bin that holds the quantile is split into BINS finer
 bins, and so on until that bin weighs at most TOLERANCE of a shard. The driver sees one row per
-node and pass, at most as many as there are shards.
+node and pass, at most as many as there are shards; nodes go back as a relation, broadcast if they are at most
+MAX_BROADCAST_NODES.
 
 Defined cases: a null text has no bytes and weighs only its overhead; null metadata count as the
-empty string or 0; rows with equal ids stay together; an empty table gives no rows; when there
+empty string or 0; rows with equal ids and metadata stay together; an empty table gives no rows; when there
 are fewer rows than shards some shards stay empty. Other input columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.llm.tables import documents
 from corpuslens.plans.numbering import number_within
 from corpuslens.plans.scratch import Scratch
 
 BINS = 4096
 TOLERANCE = 0.0005
 OVERHEAD_BYTES = 8
+MAX_BROADCAST_NODES = 100_000
 _SCALE = 2**30 - 1
 
 
@@ -44,10 +51,10 @@ def default_dimensions() -> dict[str, Column]:
     }
 
 
-def _values(spark, names: list[str], rows: list[tuple]) -> DataFrame:
-    """A small literal relation (one row per tree node)."""
-    body = ", ".join("(" + ", ".join(str(v) for v in row) + ")" for row in rows)
-    return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(names)})")
+def _relation(spark, schema: str, rows: list[dict]) -> DataFrame:
+    """One row per tree node, from a single literal; marked for a broadcast if it is small."""
+    made = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+    return F.broadcast(made) if len(rows) <= MAX_BROADCAST_NODES else made
 
 
 def _split_key(n_dimensions: int) -> Column:
@@ -55,46 +62,33 @@ def _split_key(n_dimensions: int) -> Column:
     return chosen * F.lit(2**32) + F.col("__tie")
 
 
-def _descend(df: DataFrame, splits: DataFrame, n_dimensions: int) -> DataFrame:
+def _descend(spark, rows: DataFrame, nodes: list[dict], n_dimensions: int) -> DataFrame:
     """Move the rows right of their node's threshold to the node's right child."""
-    moved = df.join(F.broadcast(splits), F.col("shard") == F.col("__node"), "left")
+    splits = _relation(spark, "__node int, __dim int, __cut bigint, __left int", [{"__node": n["shard"], "__dim": n["dim"], "__cut": n["cut"], "__left": n["left"]} for n in nodes])
+    moved = rows.join(splits, F.col("shard") == F.col("__node"), "left")
     right = F.col("__cut").isNotNull() & (_split_key(n_dimensions) >= F.col("__cut"))
-    return moved.withColumn("shard", F.when(right, F.col("shard") + F.col("__left")).otherwise(F.col("shard"))).drop(
-        "__node", "__dim", "__cut", "__left"
-    )
+    return moved.withColumn("shard", F.when(right, F.col("shard") + F.col("__left")).otherwise(F.col("shard"))).select(*rows.columns)
 
 
 def _find_cuts(spark, rows: DataFrame, nodes: list[dict], n_dimensions: int, shard_bytes: float) -> None:
-    """Refine each node's bracket [lo, hi) until the bin that holds its target weight is light enough."""
+    """Refine each node's bracket [lo, hi) until the bin that holds its target weight is light enough; sets cut."""
+    by_node = Window.partitionBy("__node").orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)  # BINS rows a node
     pending = list(nodes)
     while pending:
         for n in pending:
             n["width"] = max(1, -(-(n["hi"] - n["lo"]) // BINS))
-        brackets = _values(
+        brackets = _relation(
             spark,
-            ["__node", "__dim", "__lo", "__hi", "__width", "__before", "__target"],
-            [(n["shard"], n["dim"], f"{n['lo']}L", f"{n['hi']}L", f"{n['width']}L", f"{n['before']}L", f"{n['target']!r}D") for n in pending],
-        )
-        bin_bytes = (
-            rows.join(F.broadcast(brackets), F.col("shard") == F.col("__node"))
-            .withColumn("__key", _split_key(n_dimensions))
-            .filter((F.col("__key") >= F.col("__lo")) & (F.col("__key") < F.col("__hi")))
-            .groupBy("__node", F.expr("(__key - __lo) div __width").alias("__bin"))
-            .agg(F.sum("size").alias("__bytes"), F.first("__before").alias("__b"), F.first("__target").alias("__t"))
-        )
-        running = F.sum("__bytes").over(_by_node())
-        found = (
-            bin_bytes.withColumn("__upto", F.col("__b") + running)
-            .filter(F.col("__upto") >= F.col("__t"))
-            .groupBy("__node")
-            .agg(F.min(F.struct("__bin", "__upto", "__bytes")).alias("m"))
-            .select("__node", "m.__bin", "m.__upto", "m.__bytes")
-            .collect()
+            "__node int, __dim int, __lo bigint, __hi bigint, __width bigint, __before bigint, __target double",
+            [{"__node": n["shard"], "__dim": n["dim"], "__lo": n["lo"], "__hi": n["hi"], "__width": n["width"], "__before": n["before"], "__target": n["target"]} for n in pending],
         )
-        by_node = {r["__node"]: r for r in found}
+        keyed = rows.join(brackets, F.col("shard") == F.col("__node")).withColumn("__key", _split_key(n_dimensions)).filter("__key >= __lo AND __key < __hi")
+        bins = keyed.groupBy("__node", F.expr("(__key - __lo) div __width").alias("__bin")).agg(F.sum("size").alias("__bytes"), F.first("__before").alias("__b"), F.first("__target").alias("__t"))
+        reached = bins.withColumn("__upto", F.col("__b") + F.sum("__bytes").over(by_node)).filter("__upto >= __t")
+        found = {r["__node"]: r["m"] for r in reached.groupBy("__node").agg(F.min(F.struct("__bin", "__upto", "__bytes")).alias("m")).collect()}  # a row a node
         still = []
         for n in pending:
-            r = by_node.get(n["shard"])
+            r = found.get(n["shard"])
             if r is None:
                 n["cut"] = n["hi"]
                 continue
@@ -108,12 +102,6 @@ def _find_cuts(spark, rows: DataFrame, nodes: list[dict], n_dimensions: int, sha
         pending = still
 
 
-def _by_node():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("__node").orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
-
-
 def kd_tree_shards(
     df: DataFrame,
     id_column: str = "doc_id",
@@ -149,11 +137,12 @@ def kd_tree_shards(
     ).first()
     total = stats["bytes"] or 0
     leaves = n_shards if n_shards is not None else max(1, -(-total // target_bytes))
-    rows = raw.withColumn("shard", F.lit(0))
+    axes = []
     for i in range(k):
         lo, width = stats[f"lo{i}"] or 0.0, (stats[f"hi{i}"] or 0.0) - (stats[f"lo{i}"] or 0.0)
         scaled = F.floor((F.col(f"__v{i}") - F.lit(lo)) / F.lit(width) * F.lit(float(_SCALE))) if width > 0 else F.lit(0)
-        rows = rows.withColumn(f"__d{i}", scaled.cast("long")).drop(f"__v{i}")
+        axes.append(scaled.cast("long").alias(f"__d{i}"))
+    rows = scratch.save(raw.select(id_column, "size", "text_crc32", "__tie", *axes, F.lit(0).alias("shard")), "level")
     sizes = {0: leaves}  # first shard of each node -> number of leaves below it
     while total and any(m > 1 for m in sizes.values()):
         spread = (
@@ -173,18 +162,16 @@ def kd_tree_shards(
         if not nodes:
             break
         _find_cuts(spark, rows, nodes, k, total / leaves)
-        splits = _values(spark, ["__node", "__dim", "__cut", "__left"], [(n["shard"], n["dim"], f"{n['cut']}L", n["left"]) for n in nodes])
-        rows = _descend(rows, splits, k)
+        below = scratch.save(_descend(spark, rows, nodes, k), "level")
+        scratch.drop(rows)
+        rows = below
         children = {n["shard"]: n["left"] for n in nodes}
         sizes |= {n["shard"] + n["left"]: sizes[n["shard"]] - n["left"] for n in nodes}
         sizes |= children
-    placed = scratch.save(rows.select(id_column, "size", "text_crc32", "shard"), "placed")
-    return number_within(placed, "shard", id_column, "slot", stats["n"])
+    return number_within(rows.select(id_column, "size", "text_crc32", "shard"), "shard", id_column, "slot", stats["n"])
 
 
 def op5_kd_tree_sharding(spark, sf_dir: str) -> DataFrame:
-    from corpuslens.llm.tables import documents
-
     out = kd_tree_shards(documents(spark, sf_dir), n_shards=24)
     return out.select(
         "doc_id",
