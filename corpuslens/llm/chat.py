@@ -66,15 +66,17 @@ def ranked_leaves(messages: DataFrame, scratch: Scratch, paths_per_tree: int | N
     inner = now.filter("above IS NOT NULL").select(F.col("conv_id").alias("c"), F.col("above").alias("n")).distinct()
     leaves = scratch.save(now.join(inner, same & (F.col("node") == F.col("n")), "left_anti").select(F.col("conv_id").alias("lc"), F.col("node").alias("leaf")), "leaves")
     largest = now.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
-    jumps, reach = [], 1
-    while reach < largest and not (open_ := now.filter("above IS NOT NULL").select("conv_id", "node", "above")).isEmpty():
-        jumps.append(open_)
-        to = now.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("above").alias("a"), F.col("total").alias("t"))
-        further = now.join(to, same & (F.col("above") == F.col("n")), "left")
-        now = scratch.save(further.select("conv_id", "node", F.col("a").alias("above"), (F.col("total") + F.coalesce("t", F.lit(0.0))).alias("total")), "jumps")
+    # done: messages whose root is reached; their totals are final and are saved once
+    done, open_, jumps, reach = now.filter("above IS NULL"), now.filter("above IS NOT NULL"), [], 1
+    while reach < largest and not open_.isEmpty():
+        jumps.append(open_.select("conv_id", "node", "above"))
+        to = done.unionByName(open_).select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("above").alias("a"), F.col("total").alias("t"))
+        further = open_.join(to, same & (F.col("above") == F.col("n")))
+        further = scratch.save(further.select("conv_id", "node", F.col("a").alias("above"), (F.col("total") + F.col("t")).alias("total")), "jumps")
+        done, open_ = done.unionByName(further.filter("above IS NULL")), further.filter("above IS NOT NULL")
         reach *= 2
-    # messages that still have something above them are caught in a cycle
-    scored = leaves.join(now.filter("above IS NULL"), F.col("lc").eqNullSafe(F.col("conv_id")) & (F.col("leaf") == F.col("node"))).select("conv_id", "leaf", F.col("total").alias("score"))
+    # messages that are still open are caught in a cycle
+    scored = leaves.join(done, F.col("lc").eqNullSafe(F.col("conv_id")) & (F.col("leaf") == F.col("node"))).select("conv_id", "leaf", F.col("total").alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "leaf")))
     return scratch.save(ranked if paths_per_tree is None else ranked.filter(F.col("rank") <= paths_per_tree), "ranked"), jumps
 
