@@ -178,7 +178,9 @@ def exchange_classes(bigrams: np.ndarray, n_classes: int = CLASSES) -> np.ndarra
     """Class of each item (the last item, the end token, keeps the last class for itself).
 
     Starts from classes dealt in order of frequency; an item moves only for a real gain, to the
-    lowest numbered of equally good classes, so the result depends on the counts alone.
+    lowest numbered of equally good classes, so the result depends on the counts alone. Gains are
+    exact changes of the likelihood, and less than rounding can feign is none: every move raises the
+    likelihood, no classes come back and the sweeps end.
     """
     m = bigrams.astype(np.float64)
     n = m.sum(0) + m.sum(1)
@@ -189,8 +191,9 @@ def exchange_classes(bigrams: np.ndarray, n_classes: int = CLASSES) -> np.ndarra
     k = n_classes + 1
     one_hot = np.eye(k)[cls]
     g = one_hot.T @ m @ one_hot
+    least = 1e-13 * float(_phi(m.sum()))  # over 400 roundings of the largest term
     moved = 1
-    while moved:  # every move raises the likelihood, so this ends
+    while moved:
         moved = 0
         for w in order:
             r = np.bincount(cls, weights=m[w], minlength=k)
@@ -201,7 +204,7 @@ def exchange_classes(bigrams: np.ndarray, n_classes: int = CLASSES) -> np.ndarra
             g[a, :] -= r
             g[:, a] -= c
             g[a, a] -= own
-            rows, cols = g.sum(1), g.sum(0)
+            rows, cols = g.sum(1) + c, g.sum(0) + r  # the neighbours' own pairs with w stay theirs wherever it goes
             out_w, in_w = r.sum() + own, c.sum() + own
             base = _phi(g)
             across, down = _phi(g + r[None, :]) - base, _phi(g + c[:, None]) - base
@@ -209,7 +212,7 @@ def exchange_classes(bigrams: np.ndarray, n_classes: int = CLASSES) -> np.ndarra
             gain = across.sum(1) - np.diag(across) + down.sum(0) - np.diag(down) + _phi(diagonal + r + c + own) - _phi(diagonal)
             gain -= _phi(rows + out_w) - _phi(rows) + _phi(cols + in_w) - _phi(cols)
             best = int(np.argmax(gain[:n_classes]))
-            if best != a and gain[best] <= gain[a] + 1e-9 * abs(gain[a]):
+            if best != a and gain[best] <= gain[a] + least:
                 best = int(a)
             moved += best != a
             cls[w] = best
