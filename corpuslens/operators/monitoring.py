@@ -10,8 +10,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.functions.text import is_blank
+from corpuslens.functions.text import bind, is_blank
 from corpuslens.operators.lines import LOW_CONFIDENCE
+from corpuslens.operators.tokens import as_pages
 
 
 @dataclass(frozen=True)
@@ -26,13 +27,20 @@ class TriggerLimits:
 
 
 def low_confidence_runs(tokens: DataFrame, key: str = "doc_id", threshold: float = LOW_CONFIDENCE) -> DataFrame:
-    """key, run (from 1), first_ord, last_ord, length of every run of neighbouring tokens below the threshold (gaps and islands)."""
-    rows = tokens.filter(~is_blank(F.col("text"))).select(key, "ord", (F.col("confidence") < threshold).alias("low"))
-    page = Window.partitionBy(key).orderBy("ord")
-    rows = rows.withColumn("__all", F.row_number().over(page)).filter("low")
-    rows = rows.withColumn("__island", F.col("__all") - F.row_number().over(page))
-    runs = rows.groupBy(key, "__island").agg(F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"), F.count(F.lit(1)).alias("length"))
-    return runs.select(key, F.row_number().over(Window.partitionBy(key).orderBy("first_ord")).alias("run"), "first_ord", "last_ord", "length")
+    """key, run (from 1), first_ord, last_ord, length of every run of neighbouring tokens below the threshold.
+
+    A run begins at a low token after none or a high one, and ends before the next high one; both are found in the page's array.
+    """
+    pages = as_pages(tokens, (key,), ("confidence",))
+    seen = F.transform("tokens", lambda x: F.struct(x.ord.alias("ord"), F.coalesce(x.confidence < threshold, F.lit(False)).alias("low")))
+
+    def runs(t: Column) -> Column:
+        edges = lambda step: F.filter(F.transform(t, lambda x, i: F.when(x.low & ~F.coalesce(F.get(t, i + step).low, F.lit(False)), i)), lambda i: i.isNotNull())
+        run = lambda a, b: F.struct(F.get(t, a).ord.alias("first_ord"), F.get(t, b).ord.alias("last_ord"), (b - a + 1).cast("long").alias("length"))
+        return F.zip_with(edges(-1), edges(1), run)
+
+    found = pages.select(key, F.posexplode(bind(seen, runs)).alias("run", "__r"))
+    return found.select(key, (F.col("run") + 1).alias("run"), "__r.first_ord", "__r.last_ord", "__r.length")
 
 
 def fallback_triggers(tokens: DataFrame, key: str = "doc_id", limits: TriggerLimits | None = None, threshold: float = LOW_CONFIDENCE) -> DataFrame:
@@ -41,7 +49,8 @@ def fallback_triggers(tokens: DataFrame, key: str = "doc_id", limits: TriggerLim
     A page without a non-blank token has the one trigger "blank".
     """
     limits = limits or TriggerLimits()
-    rows = tokens.filter(~is_blank(F.col("text")))
+    rows = tokens.select(key, F.inline("tokens")) if "tokens" in tokens.columns else tokens
+    rows = rows.filter(~is_blank(F.col("text")))
     odd = F.length("text") - F.length(F.regexp_replace("text", r"[^\p{L}\p{N}\s.,;:!?'\"()-]", ""))
     figures = rows.groupBy(key).agg(
         F.avg("confidence").alias("mean_confidence"),
